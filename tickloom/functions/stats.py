@@ -43,6 +43,14 @@ def xs_zscore(
     return z if winsor is None else clip(z, -winsor, winsor)
 
 
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Aggregate: correlation over rows with both values; NULL without spread."""
+    x, y = col(x), col(y)
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    return div(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def compound_return(r: Column | str) -> Column:
     """Aggregate: compounded simple return, NULL inputs skipped."""
     return F.product(F.lit(1.0) + col(r)) - F.lit(1.0)

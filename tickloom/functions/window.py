@@ -73,6 +73,25 @@ def roll_pair(
     return F.when(F.count(x).over(w) >= mp, fn(x, y).over(w))
 
 
+def roll_corr(
+    x: Column | str,
+    y: Column | str,
+    n: int,
+    min_periods: int | None = None,
+    lag: int = 0,
+    keys: Sequence[str] = KEYS,
+    order: str = "ts",
+) -> Column:
+    """Rolling correlation; NULL when either side has no spread in the frame."""
+    x, y = col(x), col(y)
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    w = trailing(n, lag, keys, order)
+    mp = n if min_periods is None else min_periods
+    spread = F.stddev_pop(x).over(w) * F.stddev_pop(y).over(w)
+    return F.when(F.count(x).over(w) >= mp, div(F.covar_pop(x, y).over(w), spread))
+
+
 def pct_change(x: Column | str, n: int = 1, keys: Sequence[str] = KEYS, order: str = "ts") -> Column:
     """Simple ``n``-bar return without filling gaps."""
     return div(x, shift(x, n, keys, order)) - F.lit(1.0)

@@ -10,22 +10,20 @@ from ..functions.scalar import day, div
 from ..functions.window import ordered
 
 
-def held_by_expiry(
-    calendar: DataFrame, contracts: DataFrame, offset_days: int = 3
-) -> DataFrame:
+def held_by_expiry(days: DataFrame, contracts: DataFrame, offset_days: int = 3) -> DataFrame:
     """Held contract per (asset_code, bar) when rolling ``offset_days`` before expiry.
 
     At most one roll per bar: with contract k due from bar d_k on, the roll out
     of k happens at r_k = max(r_{k-1} + 1, d_k), which unrolls to the running
-    maximum of (d_k - k) plus k.  The last contract never rolls.
+    maximum of (d_k - k) plus k.  The last contract never rolls.  ``days`` is
+    the one-row calendar array.
     """
     chain = contracts.withColumn(
         "k", F.row_number().over(Window.partitionBy("asset_code").orderBy("expiry", "symbol")) - 1
     )
     due = F.date_sub(day("expiry"), offset_days)
-    days = calendar.agg(F.array_sort(F.collect_set(day("ts")))).scalar()
-    chain = chain.withColumn("_days", days).withColumn(
-        "_due", F.size(F.filter("_days", lambda d: d < due))
+    chain = chain.withColumn("_days", days.scalar()).withColumn(
+        "_due", F.size(F.filter("_days", lambda d: day(d) < due))
     )
     w = Window.partitionBy("asset_code").orderBy("k")
     roll_pos = (

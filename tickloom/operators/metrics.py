@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import day, div
-from ..functions.stats import cagr, compound_return, sample_kurtosis, sample_skew, sharpe, sortino
+from ..functions.stats import cagr, compound_return, correlation, sample_kurtosis, sample_skew, sharpe, sortino
 from ..functions.window import cumulative, ordered, roll, roll_pair
 from .calendar import downsample
 
@@ -172,7 +172,7 @@ def per_year_table(
     labels = F.when(crosses, period_labels("ts", *split)).otherwise(
         F.array(F.year(day("ts")).cast("string"))
     )
-    d = daily.withColumn("period", F.explode(labels))
+    d = daily.withColumn("_labels", labels).withColumn("period", F.explode("_labels")).drop("_labels")
     eq = F.product(1 + F.coalesce("net", F.lit(0.0))).over(cumulative((*keys, "period")))
     d = d.withColumn("_eq", eq)
     d = d.withColumn("_dd", F.col("_eq") / F.max("_eq").over(cumulative((*keys, "period"))) - 1)
@@ -254,7 +254,7 @@ def benchmark_stats(daily: DataFrame, ppy: float = PPY, keys=RUN, r="net", b="be
             F.min("_bdd").alias("bench_max_dd"),
             F.when(n > 2, beta).alias("beta"),
             F.when(n > 2, (F.avg(x) - beta * F.avg(y)) * ppy).alias("alpha_ann"),
-            F.when(n > 2, F.corr(x, y)).alias("corr"),
+            F.when(n > 2, correlation(x, y)).alias("corr"),
             F.when(n > 2, F.stddev_samp(d) * math.sqrt(ppy)).alias("te_ann"),
             F.when(n > 2, div(F.avg(d) * ppy, F.stddev_samp(d) * math.sqrt(ppy))).alias("ir"),
         )

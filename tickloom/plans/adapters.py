@@ -10,12 +10,14 @@ the order in which partial sums are merged.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.scalar import as_ts, day, div
-from ..functions.window import cumulative, ordered
+from ..functions.window import cumulative, ffill, ordered, shift
 from ..operators import calendar as cal
+from ..operators.carry import annualized_basis
 from ..session import configure
 
 PX_WINDOW = 63
@@ -24,9 +26,20 @@ LIQUID_MIN = 8
 FREQ = "1d"
 
 
+_SCHEMAS: dict[str, StructType] = {}
+_CONFIGURED: set[str] = set()
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    configure(spark)
-    return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+    """A driver table.  Its schema is inferred once per path: inference is a
+    Spark job of its own, and a plan reads the small tables several times."""
+    if spark.sparkContext.applicationId not in _CONFIGURED:
+        configure(spark)
+        _CONFIGURED.add(spark.sparkContext.applicationId)
+    path = f"{sf.rstrip('/')}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def nations(spark: SparkSession, sf: str) -> DataFrame:
@@ -228,3 +241,95 @@ def orders_by_symbol(spark: SparkSession, sf: str, priority: str | None = None)
 
 def corp_events(spark: SparkSession, sf: str) -> DataFrame:
     return orders_by_symbol(spark, sf, "1-URGENT")
+
+
+# --- derived event tables --------------------------------------------------
+
+
+def membership(spark: SparkSession, sf: str, top: int = 15) -> DataFrame:
+    """Quarterly snapshots (date = last bar of the quarter) of the symbols with
+    the highest traded value in the quarter."""
+    q = bars(spark, sf).groupBy("symbol", F.trunc(day("ts"), "quarter").alias("q")).agg(
+        F.sum(F.round(F.col("value") * 100).cast("long")).alias("v"), F.max("ts").alias("ts")
+    )
+    w = Window.partitionBy("q")
+    ranked = q.withColumns(
+        {
+            "date": F.max("ts").over(w),
+            "rk": F.row_number().over(w.orderBy(F.desc("v"), "symbol")),
+        }
+    )
+    return ranked.filter(F.col("rk") <= top).select(day("date").alias("date"), "symbol")
+
+
+def dividends(spark: SparkSession, sf: str) -> DataFrame:
+    """Urgent orders as small cash dividends."""
+    return corp_events(spark, sf).select(
+        "symbol", day("event_date").alias("ex_date"), (F.col("magnitude") / 1e6).alias("value")
+    )
+
+
+def splits(spark: SparkSession, sf: str) -> DataFrame:
+    """One 2-for-1 or 3-for-1 split per symbol, on a day its orders decide."""
+    first = orders_by_symbol(spark, sf).groupBy("symbol").agg(
+        F.max("event_date").alias("hi"), F.min("event_id").alias("k")
+    )
+    return first.select(
+        "symbol",
+        F.date_sub(day("hi"), (F.col("k") % 900 + 200).cast("int")).alias("ex_date"),
+        (2 + F.col("k") % 2).cast("double").alias("value"),
+    )
+
+
+def basis(spark: SparkSession, sf: str) -> DataFrame:
+    """The panel with an annualised basis: near = price, far = price 21 bars ago,
+    30 days apart; missing on bars without a trade, then filled 5 bars."""
+    near_far = annualized_basis("close", shift("close", 21), F.lit(30.0))
+    p = panel(spark, sf).withColumn("_b", F.when(F.col("volume").isNotNull(), near_far))
+    return p.withColumn("basis", ffill("_b", 5)).drop("_b")
+
+
+def vol_curve(spark: SparkSession, sf: str) -> DataFrame:
+    """A volatility futures curve: per bar three monthly expiries whose levels
+    come from three sectors' traded value per unit."""
+    b = bars(spark, sf).join(F.broadcast(symbols(spark, sf)), "symbol")
+    per_day = b.groupBy("ts", "sector").agg(
+        F.sum(F.round(F.col("value") * 100).cast("long")).alias("c"),
+        F.sum(F.col("volume").cast("long")).alias("v"),
+    )
+    w = Window.partitionBy("sector").orderBy("ts").rowsBetween(-20, 0)
+    level = div(F.sum("c").over(w), F.sum("v").over(w) * 100) / 100
+    slot = F.dense_rank().over(Window.partitionBy("ts").orderBy("sector"))
+    month = F.trunc(day("ts"), "month")
+    return (
+        per_day.withColumns({"settle": level, "slot": slot})
+        .filter(F.col("slot") <= 4)
+        .select(
+            day("ts").alias("date"),
+            F.date_add(F.add_months(month, F.col("slot") - 1), 14).alias("expiry"),
+            "settle",
+        )
+    )
+
+
+def option_surface(spark: SparkSession, sf: str) -> DataFrame:
+    """Implied volatilities per bar and underlying: range-based levels at two
+    expiries."""
+    b = bars(spark, sf)
+    spread = div(F.col("high") - F.col("low"), F.col("high") + F.col("low"))
+    month = F.trunc(day("ts"), "month")
+    return b.select(
+        day("ts").alias("date"),
+        F.explode(F.array(F.date_add(F.add_months(month, 1), 14), F.date_add(F.add_months(month, 2), 14))).alias("expiry"),
+        F.col("symbol").alias("underlying_symbol"),
+        F.col("close").alias("strike"),
+        (F.lit(0.05) + spread * 0.4).alias("iv0"),
+    ).select(
+        "date", "expiry", "underlying_symbol", "strike",
+        F.when(F.month("expiry") % 2 == 0, F.col("iv0")).otherwise(F.col("iv0") * 1.1).alias("iv"),
+    )
+
+
+def first_symbol(panel_df: DataFrame) -> Column:
+    """The alphabetically first symbol, as a scalar subquery."""
+    return panel_df.agg(F.min("symbol")).scalar()

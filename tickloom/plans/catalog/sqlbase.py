@@ -69,6 +69,125 @@ cev AS (
   JOIN nations ON c_nationkey = n_nationkey)"""
 
 
+MEMBERS = """
+qv AS (
+  SELECT symbol, date_trunc('quarter', ts) AS q, sum(CAST(round(value * 100) AS BIGINT)) AS v, max(ts) AS ts
+  FROM bars GROUP BY 1, 2),
+membership AS (
+  SELECT date, symbol FROM (
+    SELECT symbol, max(ts) OVER (PARTITION BY q) AS date,
+      row_number() OVER (PARTITION BY q ORDER BY v DESC, symbol) AS rk FROM qv) WHERE rk <= 15)"""
+
+DIVS = """
+divs AS (SELECT symbol, event_date AS ex_date, magnitude / 1e6 AS value FROM cev WHERE priority = '1-URGENT')"""
+
+SPLITS = """
+splits AS (
+  SELECT symbol, CAST(max(event_date) AS DATE) - CAST(min(event_id) % 900 + 200 AS INTEGER) AS ex_date,
+    CAST(2 + min(event_id) % 2 AS DOUBLE) AS value FROM cev GROUP BY symbol)"""
+
+BASIS = """
+basis0 AS (
+  SELECT *, CASE WHEN volume IS NOT NULL THEN
+    (close / nullif(lag(close, 21) OVER (PARTITION BY symbol ORDER BY ts), 0) - 1) * (365.0::DOUBLE / 30) END AS b0
+  FROM panel),
+basis AS (
+  SELECT *, last_value(b0 IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts
+    ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS basis FROM basis0)"""
+
+CURVE = """
+curve0 AS (
+  SELECT ts, sector, sum(CAST(round(value * 100) AS BIGINT)) AS c, sum(CAST(volume AS BIGINT)) AS v
+  FROM bars GROUP BY 1, 2),
+curve1 AS (
+  SELECT ts, CAST(sum(c) OVER w AS DOUBLE) / nullif(CAST(sum(v) OVER w AS DOUBLE) * 100, 0) / 100 AS settle,
+    dense_rank() OVER (PARTITION BY ts ORDER BY sector) AS slot
+  FROM curve0 WINDOW w AS (PARTITION BY sector ORDER BY ts ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)),
+curve AS (
+  SELECT ts, CAST(date_trunc('month', ts) + to_months(CAST(slot - 1 AS INTEGER)) AS DATE) + 14 AS expiry, settle
+  FROM curve1 WHERE slot <= 4)"""
+
+SURFACE = """
+surface0 AS (
+  SELECT ts, symbol, close AS strike, unnest([1, 2]) AS m,
+    0.05::DOUBLE + (high - low) / nullif(high + low, 0) * 0.4::DOUBLE AS iv0 FROM bars),
+surface1 AS (
+  SELECT ts, symbol, strike, iv0, CAST(date_trunc('month', ts) + to_months(m) AS DATE) + 14 AS expiry FROM surface0),
+surface AS (
+  SELECT *, CASE WHEN month(expiry) % 2 = 0 THEN iv0 ELSE iv0 * 1.1::DOUBLE END AS iv FROM surface1)"""
+
+# The book most portfolio queries run on: 252-21 momentum, monthly, top and
+# bottom fifth, dollar neutral.
+BOOK_SRC = """
+book_src AS (
+  SELECT *, lag(tr, 21) OVER (PARTITION BY symbol ORDER BY ts)
+    / nullif(lag(tr, 252) OVER (PARTITION BY symbol ORDER BY ts), 0) - 1 AS signal FROM panel)"""
+
+
+def book() -> str:
+    """``book``: the panel with the sample weights ``w``."""
+    return (
+        rebalance()
+        + ","
+        + BOOK_SRC
+        + ","
+        + xs_weights("bw", "book_src", 0.2, 0.2, False)
+        + """,
+book AS (SELECT p.*, b.w FROM panel p JOIN bw b ON p.symbol = b.symbol AND p.ts = b.ts)"""
+    )
+
+
+def accounts(
+    src: str = "book",
+    lag: int = 1,
+    c: tuple = (4.0, 0.6, 3.0, 10.0, 0.5, 300.0),
+    nav: float = 1.0,
+    prefix: str = "",
+) -> str:
+    """``held``, ``positions`` and ``daily`` of a weight table."""
+    com, fee, spr, coef, ex, bor = c
+    p = prefix
+    held = f"coalesce(lag(m, {lag}) OVER (PARTITION BY symbol ORDER BY ts), 0)" if lag else "m"
+    return f"""
+{p}held0 AS (SELECT *, CASE WHEN in_universe THEN coalesce(w, 0) ELSE 0 END AS m,
+    {roll("avg", "value", 20, 6, 1)} AS adv FROM {src}),
+{p}held1 AS (SELECT symbol, sector, ts, pos, close, adv, coalesce(ret, 0) AS r, {held} AS w FROM {p}held0),
+{p}held AS (SELECT *, w - coalesce(lag(w) OVER (PARTITION BY symbol ORDER BY ts), 0) AS dw FROM {p}held1),
+{p}g AS (SELECT ts, sum(w * r) AS g FROM {p}held GROUP BY ts),
+{p}nav AS (SELECT ts, {nav} * coalesce(product(1 + g) OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS nav_prev FROM {p}g),
+{p}positions AS (
+  SELECT h.*, nav_prev,
+    CASE WHEN abs(dw) * nav_prev > 0 THEN {com} + {fee} ELSE 0 END AS commission_bps,
+    CASE WHEN abs(dw) * nav_prev > 0 THEN {spr} ELSE 0 END AS spread_bps,
+    CASE WHEN abs(dw) * nav_prev > 0 AND adv > 0 THEN {coef} * pow(abs(dw) * nav_prev / adv, {ex}) ELSE 0 END AS impact_bps,
+    CASE WHEN w < 0 THEN {bor} / 252.0::DOUBLE ELSE 0 END AS borrow_bps
+  FROM {p}held h JOIN {p}nav n ON h.ts = n.ts),
+{p}daily0 AS (
+  SELECT ts, pos, sum(w * r) AS gross, sum(abs(dw) * commission_bps / 1e4) AS commission,
+    sum(abs(dw) * spread_bps / 1e4) AS spread, sum(abs(dw) * impact_bps / 1e4) AS impact,
+    sum(abs(w) * borrow_bps / 1e4) AS borrow FROM {p}positions GROUP BY ts, pos),
+{p}daily1 AS (SELECT *, gross - commission - spread - impact - borrow AS net FROM {p}daily0),
+{p}daily AS (SELECT *, {nav} * product(1 + net) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS equity FROM {p}daily1)"""
+
+
+SHARPE = (
+    "CASE WHEN count({x}) >= 3 AND stddev_samp({x}) > 0 THEN avg({x}) * 252 / (stddev_samp({x}) * sqrt(252)) END"
+)
+
+
+def sharpe(x: str) -> str:
+    return SHARPE.format(x=x)
+
+
+def ewm(x: str, decay: str, mp: int, keys: str = "symbol") -> str:
+    w = over(None, 0, keys, "pos")
+    k = f"pow({decay}, -CAST(pos AS DOUBLE))"
+    return (
+        f"CASE WHEN count({x}) {w} >= {mp} THEN sum(({x}) * {k}) {w}"
+        f" / nullif(sum(CASE WHEN ({x}) IS NOT NULL THEN {k} END) {w}, 0) END"
+    )
+
+
 def with_(base: str, *more: str) -> str:
     """``WITH`` prefix from a base and further ``name AS (...)`` parts."""
     parts = [base.strip().rstrip(",")] + [m.strip().strip(",") for m in more if m.strip()]
