@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rolling import Roll, rolling
 from ..functions.scalar import clip, col, day, div
 from ..functions.stats import xs_zscore
-from ..functions.window import roll
 
 
 def annualized_basis(near, far, days) -> Column:
@@ -15,10 +15,16 @@ def annualized_basis(near, far, days) -> Column:
     return (div(near, far) - 1) * div(F.lit(365.0), col(days).cast("double"))
 
 
-def slope_zscore(basis, window: int = 252, min_periods: int = 63) -> Column:
-    mu = roll(F.avg, basis, window, min_periods, 1)
-    sd = roll(F.stddev_samp, basis, window, min_periods, 1)
-    return div(col(basis) - mu, sd)
+def slope_zscore(
+    df: DataFrame, basis: str = "basis", window: int = 252, min_periods: int = 63, out: str = "z"
+) -> DataFrame:
+    """Basis against its own lagged mean and deviation."""
+    stats = [
+        Roll("_mu", "avg", basis, window, min_periods, 1),
+        Roll("_sd", "std", basis, window, min_periods, 1),
+    ]
+    z = div(F.col(basis) - F.col("_mu"), "_sd")
+    return rolling(df, stats).withColumn(out, z).drop("_mu", "_sd")
 
 
 def carry_xs(basis, clamp: float = 2.0) -> Column:

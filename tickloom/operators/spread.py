@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rolling import Roll, rolling
 from ..functions.scalar import div
 from ..functions.stats import half_life, mean_ratio, ols_log_slope
-from ..functions.window import cumulative, trailing
+from ..functions.window import cumulative
 
 PAIR = ("pair_id",)
 
@@ -43,10 +44,12 @@ def formation_rows(pairs: DataFrame, formation: int, every: int) -> DataFrame:
         F.greatest(F.lit(0), F.floor((F.col("pos") - formation) / every) + 1).alias("_j0"),
         F.floor(F.col("pos") / every).alias("_j1"),
     )
-    return span.filter(F.col("_j0") <= F.col("_j1")).select(
-        *PAIR, "pos", "a", "b",
-        (F.explode(F.sequence("_j0", "_j1")) * every + formation).alias("refit"),
-    )
+    return (
+        span.filter(F.col("_j0") <= F.col("_j1"))
+        .select(*PAIR, "pos", "a", "b", F.explode(F.sequence("_j0", "_j1")).alias("_j"))
+        .withColumn("refit", F.col("_j") * every + formation)
+        .drop("_j")
+    )
 
 
 def in_force(pairs: DataFrame, fits: DataFrame, src: list[str], out: list[str]) -> DataFrame:
@@ -71,42 +74,43 @@ def refits(
     min_hl: float = 5.0,
     max_hl: float = 40.0,
     method: str = "ols_log",
+    on_bars: bool = True,
 ) -> DataFrame:
-    """One row per (pair, refit): hedge ratio, half-life, tradable flag."""
+    """One row per (pair, refit): hedge ratio, half-life, tradable flag.
+
+    Hedge ratio, spread, its lag and the AR(1) regression all partition by
+    (pair, refit), so one shuffle of the formation rows serves the whole fit.
+    ``on_bars=False`` skips the check that a refit falls on an existing bar,
+    for callers that join the fits to bars anyway.
+    """
     rows = formation_rows(pairs, formation, every)
-    slope = ols_log_slope("a", "b") if method == "ols_log" else mean_ratio("a", "b")
-    fits = rows.groupBy(*PAIR, "refit").agg(slope.alias("beta_fit"))
-    level = (
-        F.when((F.col("a") > 0) & (F.col("b") > 0), F.ln("a") - F.col("beta_fit") * F.ln("b"))
-        if method == "ols_log"
-        else F.col("a") - F.col("beta_fit") * F.col("b")
-    )
-    s = (
-        rows.join(fits, [*PAIR, "refit"])
-        .withColumn("s", level)
-        .filter(F.col("s").isNotNull())
-        .withColumn(
-            "s_lag",
-            F.lag("s").over(cumulative_order(("pair_id", "refit"))),
+    cohort = Window.partitionBy(*PAIR, "refit")
+    if method == "ols_log":
+        ok = (F.col("a") > 0) & (F.col("b") > 0)
+        rows = rows.withColumns({"x": F.when(ok, F.ln("a")), "y": F.when(ok, F.ln("b"))})
+        beta = F.when(
+            (F.count("y").over(cohort) >= 3) & (F.stddev_pop("y").over(cohort) >= 1e-12),
+            F.regr_slope("x", "y").over(cohort),
         )
-    )
-    ar = s.groupBy(*PAIR, "refit").agg(
+    else:
+        ok = F.col("a").isNotNull() & F.col("b").isNotNull()
+        rows = rows.withColumns({"x": F.when(ok, F.col("a")), "y": F.when(ok, F.col("b"))})
+        ratio = F.when((F.col("a") > 0) & (F.col("b") > 0), div("a", "b"))
+        beta = F.when(F.count(ratio).over(cohort) >= 3, F.avg(ratio).over(cohort))
+    s = rows.withColumn("beta_fit", beta).withColumn("s", F.col("x") - F.col("beta_fit") * F.col("y"))
+    seen = Window.partitionBy(*PAIR, "refit").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("s_lag", F.last("s", ignorenulls=True).over(seen))
+    out = s.groupBy(*PAIR, "refit").agg(
+        F.max("beta_fit").alias("beta_fit"),
         F.regr_slope(F.col("s") - F.col("s_lag"), F.col("s_lag")).alias("_b"),
         F.count("s").alias("_n"),
     )
-    out = fits.join(ar, [*PAIR, "refit"], "left").withColumn(
-        "hl_fit", half_life(F.col("_b"), F.coalesce("_n", F.lit(0)))
-    )
+    out = out.withColumn("hl_fit", half_life(F.col("_b"), F.col("_n")))
     ok = F.col("hl_fit").between(min_hl, max_hl) & (F.col("hl_fit") != float("inf"))
-    return out.select(
-        *PAIR, "refit", "beta_fit", "hl_fit", F.coalesce(ok, F.lit(False)).alias("ok_fit")
-    )
-
-
-def cumulative_order(keys):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*keys).orderBy("pos")
+    out = out.select(*PAIR, "refit", "beta_fit", "hl_fit", F.coalesce(ok, F.lit(False)).alias("ok_fit"))
+    if not on_bars:
+        return out
+    return out.join(pairs.select(*PAIR, F.col("pos").alias("refit")), [*PAIR, "refit"], "left_semi")
 
 
 def spread_z(df: DataFrame, z_window: int = 63, frac: float = 0.75, method: str = "ols_log") -> DataFrame:
@@ -122,28 +126,33 @@ def spread_z(df: DataFrame, z_window: int = 63, frac: float = 0.75, method: str
     else:
         both = F.col("a").isNotNull() & F.col("b").isNotNull()
         df = df.withColumns({"_x": F.when(both, F.col("a")), "_y": F.when(both, F.col("b"))})
-    w = trailing(z_window, 1, PAIR, "pos")
     beta = F.col("beta")
-    df = df.withColumns(
+    few = {"n": z_window, "min_periods": max(5, int(z_window * frac)), "lag": 1}
+    df = rolling(
+        df,
+        [
+            Roll("_mx", "avg", "_x", **few),
+            Roll("_my", "avg", "_y", **few),
+            Roll("_vx", "pvar", "_x", **few),
+            Roll("_vy", "pvar", "_y", **few),
+            Roll("_cxy", "pcov", "_x", y="_y", **few),
+        ],
+        PAIR,
+        "pos",
+    ).withColumns(
         {
             "spread": F.col("_x") - beta * F.col("_y"),
-            "_m": F.avg("_x").over(w) - beta * F.avg("_y").over(w),
-            "_v": F.var_pop("_x").over(w)
-            + beta * beta * F.var_pop("_y").over(w)
-            - 2 * beta * F.covar_pop("_x", "_y").over(w),
-            "_c": F.count("_x").over(w),
+            "_m": F.col("_mx") - beta * F.col("_my"),
+            "_v": F.col("_vx") + beta * beta * F.col("_vy") - 2 * beta * F.col("_cxy"),
         }
     )
     sd = F.sqrt(F.greatest(F.col("_v"), F.lit(0.0)))
-    z = F.when(
-        (F.col("_c") >= max(5, int(z_window * frac))) & (sd >= 1e-12),
-        div(F.col("spread") - F.col("_m"), sd),
-    )
-    return df.withColumn("z", z).drop("_x", "_y", "_m", "_v", "_c")
+    z = F.when(sd >= 1e-12, div(F.col("spread") - F.col("_m"), sd))
+    return df.withColumn("z", z).drop("_x", "_y", "_mx", "_my", "_vx", "_vy", "_cxy", "_m", "_v")
 
 
 def pair_signals(pairs: DataFrame, formation=252, every=21, z_window=63, min_hl=5.0, max_hl=40.0, method="ols_log") -> DataFrame:
-    fits = refits(pairs, formation, every, min_hl, max_hl, method)
+    fits = refits(pairs, formation, every, min_hl, max_hl, method, on_bars=False)
     df = in_force(pairs, fits, ["beta_fit", "hl_fit", "ok_fit"], ["beta", "half_life", "tradable"])
     return spread_z(df.withColumn("tradable", F.coalesce("tradable", F.lit(False))), z_window, method=method)
 

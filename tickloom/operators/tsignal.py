@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rolling import Roll, rolling
 from ..functions.scalar import EPS, clip, col, div, finite, null_mean, positive
 from ..functions.window import (
     cumulative,
@@ -22,16 +23,18 @@ XOVER_SPANS = ((8, 24), (16, 48), (32, 96))
 
 
 def trailing_vol(
-    ret: Column | str = "ret",
+    df: DataFrame,
     window: int = 63,
     min_periods: int | None = None,
     lag: int = 1,
     ann: float | None = None,
-) -> Column:
+    ret: str = "ret",
+    out: str = "vol",
+) -> DataFrame:
     """Lagged rolling population deviation of returns."""
     mp = max(5, window // 3) if min_periods is None else min_periods
-    v = roll(F.stddev_pop, ret, window, mp, lag)
-    return v if ann is None else v * F.lit(math.sqrt(ann))
+    df = rolling(df, [Roll(out, "pstd", ret, window, mp, lag)])
+    return df if ann is None else df.withColumn(out, F.col(out) * F.lit(math.sqrt(ann)))
 
 
 def price_from_returns(ret: Column | str = "ret") -> Column:
@@ -46,23 +49,48 @@ def skip_return(px: Column | str, formation: int, skip: int) -> Column:
     return div(near, shift(px, formation)) - 1
 
 
+def vote(df: DataFrame, parts: list[str], out: str, clamp: float) -> DataFrame:
+    """Null-skipping mean of materialised columns, clipped.
+
+    The parts are columns, not expressions: a window function written into an
+    expression several times is evaluated as often.
+    """
+    df = df.withColumn("_vote", null_mean([F.col(p) for p in parts])).drop(*parts)
+    return df.withColumn(out, clip("_vote", -clamp, clamp)).drop("_vote")
+
+
 def sign_ensemble(
-    px: Column | str = "tr", lookbacks=(21, 63, 252), clamp: float = 1.0
-) -> Column:
+    df: DataFrame, px: str = "tr", lookbacks=(21, 63, 252), clamp: float = 1.0, out: str = "signal"
+) -> DataFrame:
     """Mean sign of the lookback returns; unavailable lookbacks do not vote."""
-    return clip(null_mean([F.signum(pct_change(px, n)) for n in lookbacks]), -clamp, clamp)
+    df = df.withColumns({f"_s{n}": F.signum(pct_change(px, n)) for n in lookbacks})
+    return vote(df, [f"_s{n}" for n in lookbacks], out, clamp)
 
 
 def channel_ensemble(
-    px: Column | str = "tr", lookbacks=(21, 63, 252), clamp: float = 1.0, frac: float = 0.5
-) -> Column:
+    df: DataFrame,
+    px: str = "tr",
+    lookbacks=(21, 63, 252),
+    clamp: float = 1.0,
+    frac: float = 0.5,
+    out: str = "signal",
+) -> DataFrame:
     """Mean position inside the lagged high-low channel, each clipped to ±1."""
-    parts = []
+    edges = {}
     for n in lookbacks:
         mp = max(2, int(n * frac))
-        hi, lo = roll(F.max, px, n, mp, 1), roll(F.min, px, n, mp, 1)
-        parts.append(clip(div((col(px) - lo) * 2.0, positive(hi - lo)) - 1.0, -1.0, 1.0))
-    return clip(null_mean(parts), -clamp, clamp)
+        edges |= {f"_hi{n}": roll(F.max, px, n, mp, 1), f"_lo{n}": roll(F.min, px, n, mp, 1)}
+    df = df.withColumns(edges)
+    place = {
+        f"_c{n}": div(
+            (F.col(px) - F.col(f"_lo{n}")) * 2.0, positive(F.col(f"_hi{n}") - F.col(f"_lo{n}"))
+        )
+        - 1.0
+        for n in lookbacks
+    }
+    df = df.withColumns(place).drop(*edges)
+    df = df.withColumns({c: clip(c, -1.0, 1.0) for c in place})
+    return vote(df, list(place), out, clamp)
 
 
 def crossover_ensemble(
@@ -89,20 +117,19 @@ def crossover_ensemble(
     else:
         for s in span_set:
             df = ewm_long(df, px, f"_e{s}", span=s, min_periods=s)
-    scale = roll(F.stddev_pop, px, vol_window, max(3, int(vol_window * frac)), 1)
-    df = df.withColumn("_scale", positive(scale)).withColumns(
-        {f"_y{i}": div(F.col(f"_e{f}") - F.col(f"_e{s}"), "_scale") for i, (f, s) in enumerate(spans)}
+    k = range(len(spans))
+    scale = Roll("_scale", "pstd", px, vol_window, max(3, int(vol_window * frac)), 1)
+    df = rolling(df, [scale]).withColumns(
+        {
+            f"_y{i}": div(F.col(f"_e{f}") - F.col(f"_e{s}"), positive("_scale"))
+            for i, (f, s) in enumerate(spans)
+        }
     )
     mp = max(10, int(norm_window * frac))
-    parts = [
-        finite(div(F.col(f"_y{i}"), positive(roll(F.stddev_pop, f"_y{i}", norm_window, mp, 1))))
-        for i in range(len(spans))
-    ]
-    df = df.withColumns({f"_p{i}": p for i, p in enumerate(parts)})
-    signal = clip(null_mean([F.col(f"_p{i}") for i in range(len(spans))]), -clamp, clamp)
-    return df.withColumn(out, signal).drop(
-        "_scale", *[f"_e{s}" for s in span_set], *[f"_{c}{i}" for c in "yp" for i in range(len(spans))]
-    )
+    df = rolling(df, [Roll(f"_d{i}", "pstd", f"_y{i}", norm_window, mp, 1) for i in k])
+    df = df.withColumns({f"_p{i}": div(F.col(f"_y{i}"), positive(f"_d{i}")) for i in k})
+    df = df.drop("_scale", *[f"_e{s}" for s in span_set], *[f"_{c}{i}" for c in "yd" for i in k])
+    return vote(df, [f"_p{i}" for i in k], out, clamp)
 
 
 def to_weights(

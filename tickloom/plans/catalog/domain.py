@@ -156,11 +156,11 @@ def delisting(spark, sf):
 @query(
     "ADJ-06",
     PANEL
-    + f" SELECT symbol, ts, {r(S.pct('tr'), 8)} AS ret, {r(S.roll('avg', 'value', 20, 6, 1), 2)} AS adv FROM panel",
+    + f" SELECT symbol, ts, {r(S.pct('tr'), 8)} AS ret, {r('ln(' + S.roll('avg', 'value', 20, 6, 1) + ')', 8)} AS log_adv FROM panel",
 )
 def returns_and_adv(spark, sf):
     return A.panel(spark, sf).select(
-        "symbol", "ts", R(pct_change("tr"), 8).alias("ret"), R(trailing_adv(), 2).alias("adv")
+        "symbol", "ts", R(pct_change("tr"), 8).alias("ret"), R(F.ln(trailing_adv()), 8).alias("log_adv")
     )
 
 
@@ -243,7 +243,7 @@ def annual_basis(spark, sf):
     + f" SELECT symbol, ts, {r('(basis - (' + S.roll('avg', 'basis', 252, 63, 1) + ')) / nullif(' + S.roll('stddev_samp', 'basis', 252, 63, 1) + ', 0)', 5)} AS z FROM basis",
 )
 def basis_zscore(spark, sf):
-    return A.basis(spark, sf).select("symbol", "ts", R(carry.slope_zscore("basis"), 5).alias("z"))
+    return carry.slope_zscore(A.basis(spark, sf)).select("symbol", "ts", R("z", 5).alias("z"))
 
 
 @query(

@@ -267,7 +267,7 @@ def xs_weights(
     valid = "signal IS NOT NULL AND in_universe"
     if weighting == "inverse_vol":
         valid += " AND vol > 0"
-    raw = {"equal": "1.0::DOUBLE", "inverse_vol": "1.0 / vol", "signal": "greatest(abs(z), 1e-6)"}[
+    raw = {"equal": "1.0::DOUBLE", "inverse_vol": "1.0 / vol", "signal": "greatest(least(abs(coalesce(z, 0)), 3), 1e-6)"}[
         weighting
     ]
     nbot = "0" if long_only else f"greatest(1, round_even(n * {bottom}, 0))"
