@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import day, div
 from ..functions.stats import cagr, compound_return, correlation, sample_kurtosis, sample_skew, sharpe, sortino
 from ..functions.window import cumulative, ordered, roll, roll_pair
-from .calendar import downsample
+from .sessions import downsample
 
 RUN = ("run_id",)
 PPY = 252.0
@@ -289,12 +289,15 @@ def average_hold(trades: DataFrame, keys=RUN) -> DataFrame:
     t = trades.withColumns(
         {"_e": F.when(is_entry, 1).otherwise(0), "_x": F.when(is_exit, 1).otherwise(0)}
     ).filter((F.col("_e") + F.col("_x")) > 0)
-    w = Window.partitionBy(*by).orderBy("ts", F.desc("_x")).rowsBetween(Window.unboundedPreceding, 0)
+    # Within a bar: rule exits, then entries, then universe exits at the close.
+    turn = F.when(is_entry, 1).when(F.col("reason") == "delist", 2).otherwise(0)
+    line = Window.partitionBy(*by).orderBy("ts", turn)
+    w = line.rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumns({"_ne": F.sum("_e").over(w), "_nx": F.sum("_x").over(w)})
     t = t.withColumn(
         "_lost", F.greatest(F.lit(0), F.max(F.col("_nx") - F.col("_ne")).over(w))
     )
-    prev_lost = F.coalesce(F.lag("_lost").over(Window.partitionBy(*by).orderBy("ts", F.desc("_x"))), F.lit(0))
+    prev_lost = F.coalesce(F.lag("_lost").over(line), F.lit(0))
     t = t.withColumn("_prev", prev_lost)
     entries = t.filter("_e = 1").select(*by, F.col("_ne").alias("k"), F.col("ts").alias("t0"))
     exits = t.filter("_x = 1 and _lost = _prev").select(

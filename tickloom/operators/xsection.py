@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import EPS, div
 from ..functions.stats import xs_zscore
 from ..functions.window import cumulative
-from .calendar import is_period_end
+from .sessions import is_period_end
 
 
 def fractile_weights(

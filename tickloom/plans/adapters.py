@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.scalar import as_ts, day, div
 from ..functions.window import cumulative, ffill, ordered, shift
-from ..operators import calendar as cal
+from ..operators import sessions as cal
 from ..operators.carry import annualized_basis
 from ..session import configure
 

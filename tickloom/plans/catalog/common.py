@@ -37,7 +37,7 @@ def first_symbol_panel(spark, sf) -> DataFrame:
 
 def others_flat(spark, sf, w: DataFrame) -> DataFrame:
     """Weights of one instrument spread to the full grid, 0 elsewhere."""
-    from ...operators.calendar import grid_of
+    from ...operators.sessions import grid_of
 
     grid = grid_of(A.days(spark, sf), A.symbols(spark, sf).select("symbol")).select("symbol", "ts")
     return grid.join(w.select("symbol", "ts", "w"), ["symbol", "ts"], "left").withColumn(

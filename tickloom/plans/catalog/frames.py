@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ...functions.scalar import as_ts, day
 from ...functions.scalar import rnd as R
 from ...functions.window import ffill, ordered
-from ...operators import calendar as cal
+from ...operators import sessions as cal
 from ...operators.checks import truncated
 from ...sources import files, landed, reference
 from .. import adapters as A

@@ -276,10 +276,10 @@ FUND_STEP = """CASE WHEN m.on_ THEN NOT (coalesce(x.trail < 0.05, FALSE) OR coal
 FUND_M = symbol_machine("fund", "on_", "FALSE AS on_", FUND_STEP)
 
 
-def funding_inputs(panel):
-    """Funding rate per bar (scaled return on trading bars), its trail and the
-    count of negative days."""
-    daily = W.ffill(F.when(F.col("volume").isNotNull(), F.col("ret") * 100), 3)
+def funding_inputs(panel, scale: float = 100.0):
+    """Annual funding rate per bar (scaled return on trading bars), its trail
+    and the count of negative days."""
+    daily = W.ffill(F.when(F.col("volume").isNotNull(), F.col("ret") * scale), 3)
     p = panel.withColumn("daily", daily)
     neg = F.coalesce(F.col("daily") < 0, F.lit(False)).cast("int")
     return p.withColumns(

@@ -72,7 +72,7 @@ def portfolio_vol(spark, sf):
 
 
 VT_SQL = """
-rw AS (SELECT ts, pos, CASE WHEN pvol > 1e-12 THEN least(greatest(0.1 / pvol, 0.3), 2) END AS raw FROM pv),
+rw AS MATERIALIZED (SELECT ts, pos, CASE WHEN pvol > 1e-12 THEN least(greatest(0.1 / pvol, 0.3), 2) END AS raw FROM pv),
 vt AS (
   SELECT CAST(-1 AS BIGINT) AS pos, NULL::DOUBLE AS cur
   UNION ALL SELECT x.pos, CASE WHEN x.raw IS NOT NULL AND (v.cur IS NULL OR abs(x.raw - v.cur) > 0.15 * abs(v.cur)) THEN x.raw ELSE v.cur END
@@ -114,7 +114,7 @@ ol AS (SELECT *, coalesce(lag(w) OVER (PARTITION BY symbol ORDER BY ts), 0) * co
 op AS (SELECT ts, pos, sum(c) AS pret FROM ol GROUP BY 1, 2),
 oe AS (SELECT *, sqrt({S.ewm("pret * pret", HL20, 10, "1")} * 1.0) * sqrt(252) AS v FROM op),
 og AS (SELECT pos, lag(v) OVER (ORDER BY pos) AS v FROM oe),
-orw AS (SELECT pos, CASE WHEN v > 0 THEN least(greatest(0.1 / v, {floor}), {cap}) WHEN v = 0 THEN {cap} END AS raw FROM og),
+orw AS MATERIALIZED (SELECT pos, CASE WHEN v > 0 THEN least(greatest(0.1 / v, {floor}), {cap}) WHEN v = 0 THEN {cap} END AS raw FROM og),
 ov AS (
   SELECT CAST(-1 AS BIGINT) AS pos, 1.0::DOUBLE AS cur
   UNION ALL SELECT x.pos, CASE WHEN x.raw IS NOT NULL AND abs(x.raw - o.cur) > 0.15 * greatest(abs(o.cur), 1e-12) THEN x.raw ELSE o.cur END
@@ -151,7 +151,7 @@ COST_COLS = ("commission", "spread", "impact")
 
 
 def cost_rows(book, dp=6):
-    return book.positions.select(
+    return book.costed().select(
         "symbol", "ts", *[R(f"{c}_bps", dp).alias(c) for c in COST_COLS], R("borrow_bps", dp).alias("borrow")
     )
 

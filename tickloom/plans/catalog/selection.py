@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ...functions.scalar import as_ts, day
 from ...functions.scalar import rnd as R
-from ...operators import calendar, risk
+from ...operators import risk, sessions
 from ...sources.store import merge_bars
 from .. import adapters as A
 from . import sqlbase as S
@@ -177,7 +177,7 @@ def union_keep_last(spark, sf):
 )
 def traded_rebalances(spark, sf):
     traded = A.bars(spark, sf).filter(F.col("symbol") == "NATION_1").select("ts")
-    return calendar.rebalance_dates(A.calendar(spark, sf), "ME").intersect(traded)
+    return sessions.rebalance_dates(A.calendar(spark, sf), "ME").intersect(traded)
 
 
 @query(
@@ -198,7 +198,7 @@ def union_of_indexes(spark, sf):
     + """ SELECT symbol, ts FROM (SELECT symbol, ts FROM syms CROSS JOIN cal) EXCEPT SELECT symbol, ts FROM bars""",
 )
 def missing_keys(spark, sf):
-    grid = calendar.grid_of(A.days(spark, sf), A.symbols(spark, sf).select("symbol"))
+    grid = sessions.grid_of(A.days(spark, sf), A.symbols(spark, sf).select("symbol"))
     return grid.select("symbol", "ts").join(A.bars(spark, sf).select("symbol", "ts"), ["symbol", "ts"], "left_anti")
 
 
