@@ -6,10 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.align import keep_last
-from ..schemas import BAR_COLUMNS
+from ..schemas import BAR_COLUMNS, BAR_NUMERIC
 
 BUCKETS = 64
 
+# Read with this schema: inferred, a partition value such as 1d becomes a number.
+STORE_SCHEMA = "symbol string, ts timestamp_ntz, {}, freq string, symbol_bucket int".format(
+    ", ".join(f"{c} double" for c in BAR_NUMERIC)
+)
+
 
 def bucket_of(symbol: Column | str = "symbol", buckets: int = BUCKETS) -> Column:
     s = F.col(symbol) if isinstance(symbol, str) else symbol
@@ -35,7 +40,9 @@ def write_bars(spark: SparkSession, bars: DataFrame, path: str, freq: str) -> No
     Files inside a partition are sorted by (symbol, ts), so a range scan skips
     row groups by their statistics.
     """
-    fresh = bars.withColumns({"freq": F.lit(freq), "symbol_bucket": bucket_of()})
+    absent = {c: F.lit(None).cast("double") for c in BAR_NUMERIC if c not in bars.columns}
+    bars = bars.withColumns(absent) if absent else bars
+    fresh = bars.select(*BAR_COLUMNS).withColumns({"freq": F.lit(freq), "symbol_bucket": bucket_of()})
     stored = _existing(spark, path, fresh)
     merged = merge_bars(stored, fresh)
     (
@@ -57,7 +64,7 @@ def _existing(spark: SparkSession, path: str, fresh: DataFrame) -> DataFrame | N
     pick = F.col("freq").isin(sorted({r["freq"] for r in touched})) & F.col(
         "symbol_bucket"
     ).isin(sorted({r["symbol_bucket"] for r in touched}))
-    return spark.read.parquet(path).filter(pick)
+    return spark.read.schema(STORE_SCHEMA).parquet(path).filter(pick)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -75,7 +82,7 @@ def read_bars(
     freq: str = "1d",
 ) -> DataFrame:
     """Range scan: partition pruning on freq and bucket, pushdown on symbol and ts."""
-    df = spark.read.parquet(path).filter(F.col("freq") == freq)
+    df = spark.read.schema(STORE_SCHEMA).parquet(path).filter(F.col("freq") == freq)
     if symbols is not None:
         buckets = spark.createDataFrame([(s,) for s in symbols], "symbol string").select(bucket_of())
         # As many values as symbols asked for.
@@ -85,7 +92,7 @@ def read_bars(
         df = df.filter(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
     if end is not None:
         df = df.filter(F.col("ts") <= F.lit(end).cast("timestamp_ntz"))
-    return df.select(*[c for c in BAR_COLUMNS if c in df.columns], "freq")
+    return df.select(*BAR_COLUMNS, "freq")
 
 
 def audit_row(bars: DataFrame, freq: str, provider: str, status: str = "ok", detail: str = "") -> DataFrame:
