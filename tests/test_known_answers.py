@@ -132,7 +132,7 @@ def test_trade_statistics_and_holding(spark):
     s = metrics.trade_stats(trades).first()
     assert s["n"] == 4 and s["win_rate"] == 0.5 and s["profit_factor"] == pytest.approx(2.4)
     assert (s["avg_win"], s["avg_loss"], s["expectancy"]) == pytest.approx((0.06, -0.025, 0.0175))
-    assert metrics.average_hold(trades).first()[0] == pytest.approx(4.0)
+    assert metrics.average_hold(trades).first()["avg_hold_days"] == pytest.approx(4.0)
 
 
 def test_in_and_out_of_sample_guards(spark):
