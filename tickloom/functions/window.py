@@ -128,7 +128,12 @@ def ewm_fits(n_bars: int, halflife: float | None = None, span: float | None = No
 
 def _ewm_sums(x: Column, decay: float, keys: Sequence[str], pos: str):
     w = cumulative(keys, pos)
-    weight = F.when(x.isNotNull(), F.pow(F.lit(decay), -F.col(pos).cast("double")))
+    last_pos = int(MAX_EXPONENT / math.log(1.0 / decay))
+    too_long = F.raise_error(F.lit(f"EWMA closed form ends at bar {last_pos}; use ewm_long"))
+    power = F.when(
+        F.col(pos) <= last_pos, F.pow(F.lit(decay), -F.col(pos).cast("double"))
+    ).otherwise(too_long.cast("double"))
+    weight = F.when(x.isNotNull(), power)
     return w, weight, F.sum(weight * x).over(w), F.sum(weight).over(w)
 
 
@@ -143,7 +148,8 @@ def ewm_mean(
     """Exponentially weighted mean, weights normalised over the seen history.
 
     Closed form over a cumulative frame: sum(x / d**pos) / sum(1 / d**pos).
-    Valid while :func:`ewm_fits`; longer series use :func:`ewm_long`.
+    Valid while :func:`ewm_fits`; beyond that it fails rather than overflow, and
+    :func:`ewm_long` takes over.
     """
     x = col(x)
     w, _, wx, ww = _ewm_sums(x, decay_of(halflife, span), keys, pos)

@@ -179,8 +179,10 @@ def broker_bars(spark, sf):
 FROM cev WHERE priority = '1-URGENT' GROUP BY 1, 2""",
 )
 def exchange_dividends(spark, sf):
-    ev = A.corp_events(spark, sf).withColumn("ts", F.col("event_date"))
-    pages = month_pages(ev, "dividends", {"registryclosedate": day("ts"), "value": F.col("magnitude")})
+    # A page holds at most a thousand order keys, however many orders a symbol has.
+    ev = A.corp_events(spark, sf).withColumn("page", F.floor(F.col("event_id") / 1000))
+    cols = {"registryclosedate": day("event_date"), "value": F.col("magnitude")}
+    pages = landed.as_blocks(ev, "dividends", cols, ["symbol", "page"])
     d = landed.dividends(pages)
     cents = F.sum(F.round(F.col("value") * 100).cast("long"))
     return d.groupBy("symbol", as_ts("ex_date").alias("ex_date"), "kind").agg(F.count("*").alias("n"), R(cents / 100, 2).alias("value"))
