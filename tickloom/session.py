@@ -42,20 +42,25 @@ def local_session(cpus: str = "8", app: str = "tickloom") -> SparkSession:
     return spark
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it.
 
     ``spark.checkpoint.dir`` wins.  Only a local-mode session without that
-    setting gets a temporary folder; on a cluster a missing setting is an
-    error, because a machine-local path would not be shared.
+    setting gets a temporary folder, one per application; on a cluster a missing
+    setting is an error, because a machine-local path would not be shared.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root:
+        return root
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _LOCAL_DIRS[app]
 
 
 def scratch(spark: SparkSession, label: str) -> str:
