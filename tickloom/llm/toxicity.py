@@ -118,7 +118,7 @@ def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, doubt: float = 5.0, steps: int = 200, rate: float = 0.05, ridge: float = 3e-4) -> Model:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, doubt: float = 4.0, steps: int = 200, rate: float = 0.05, ridge: float = 3e-4) -> Model:
     """Non-negative PU fit on word sets."""
     model = Model(np.zeros(1 << BITS), -30.0)
     if not positive or not unlabelled:
