@@ -10,12 +10,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import exact_dedup, mixing, simhash
+from tickloom.llm import decontaminate, exact_dedup, mixing, quality, simhash
 from tickloom.llm.common import table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go; it is trained on the labels of ``docs``."""
+    return quality.drop_rejected(docs, table(spark, sf_dir, "labels"))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the one with the most characters stays."""
     return exact_dedup.drop_exact(docs)
@@ -26,14 +31,21 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.drop_near(docs)
 
 
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth of the words or more lies in benchmark windows go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How many copies and words of each remaining document the mix takes."""
     return mixing.mix(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality", drop_low_quality),
     ("exact_dedup", drop_copies),
     ("near_dedup", drop_near_copies),
+    ("decontamination", drop_benchmark),
     ("mixing", mix_sources),
 ]
 

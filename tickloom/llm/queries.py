@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, quality, simhash, tokens, toxicity
+from . import decontaminate, exact_dedup, mixing, quality, simhash, tokens, toxicity
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -20,6 +20,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_exact_dedup, op3_quality, op7_mixing, op8_toxicity, op9_simhash, op10_token_counts)
+    f.__name__: f for f in (op2_exact_dedup, op3_quality, op4_decontamination, op7_mixing, op8_toxicity, op9_simhash, op10_token_counts)
 }
 
 ORACLES: dict[str, str] = {
