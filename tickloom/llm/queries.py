@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, mixing, quality, simhash, tokens, toxicity
+from . import chat, decontaminate, exact_dedup, language, lines, mixing, quality, simhash, tokens, toxicity
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_groups(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -24,6 +28,14 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predictions(table(spark, sf_dir, "documents"))
+
+
+def op6_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -43,7 +55,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_exact_dedup, op3_quality, op4_decontamination, op7_mixing, op8_toxicity, op9_simhash, op10_token_counts)
+    f.__name__: f
+    for f in (
+        op1_line_dedup,
+        op2_exact_dedup,
+        op3_quality,
+        op4_decontamination,
+        op5_language,
+        op6_chat_rotation,
+        op7_mixing,
+        op8_toxicity,
+        op9_simhash,
+        op10_token_counts,
+    )
 }
 
 ORACLES: dict[str, str] = {
@@ -59,4 +83,26 @@ select doc_id,
        h as text_sha256
 from d
 window w as (partition by h order by n desc, doc_id nulls last rows between unbounded preceding and unbounded following)""",
+    "op6_chat_rotation": r"""
+with t as (
+  select conv_id, turn, coalesce(role, 'unknown') as role, replace(coalesce(text, ''), '<|', '< |') as text
+  from conversations),
+n as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as position from t),
+p as (select distinct conv_id, role as perspective from t where role <> 'system'),
+v as (
+  select n.conv_id, p.perspective, n.position, n.turn,
+         case when n.role = p.perspective then 'assistant' when n.role = 'system' then 'system' else 'user' end as shown,
+         case when n.role not in (p.perspective, 'system') then regexp_replace(n.role, '[^A-Za-z0-9_-]', '_', 'g') end as name,
+         n.text
+  from n join p on n.conv_id is not distinct from p.conv_id),
+h as (select *, '<|im_start|>' || shown || coalesce(' name=' || name, '') || chr(10) as head from v),
+s as (select *, head || text || '<|im_end|>' || chr(10) as segment from h),
+o as (
+  select *, cast(sum(length(segment)) over (partition by conv_id, perspective order by position) as bigint) as "end" from s)
+select conv_id, perspective, position, turn, shown as role, name, segment, "end" - length(segment) as start, "end",
+       shown = 'assistant' as train,
+       case when shown = 'assistant' then "end" - length(segment) + length(head) end as train_start,
+       case when shown = 'assistant' then "end" - 1 end as train_end
+from o""",
 }
