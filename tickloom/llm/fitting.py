@@ -29,6 +29,6 @@ def spread(rows: DataFrame, by: str, cap: int, key: str = "doc_id", seed: int =
 
 
 def with_features(docs: DataFrame, chosen: DataFrame, features: Column) -> DataFrame:
-    """Features of the documents in ``chosen`` (doc_id and labels), which is bounded by its sample size."""
+    """Features, made of ``text``, of the documents in ``chosen`` (doc_id and labels), which is bounded by its sample size."""
     chosen = chosen.withColumnRenamed("doc_id", "_id")
-    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(*[c for c in chosen.columns if c != "_id"], "doc_id", features.alias("features"))
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(*[c for c in chosen.columns if c != "_id"], "doc_id", features.alias("features"))

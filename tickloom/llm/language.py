@@ -240,7 +240,7 @@ def train(docs: DataFrame, cap: int = 500, **options) -> Network | None:
         for texts in batches:
             yield pd.Series([sample_windows(t) for t in texts], dtype=object)
 
-    rows = with_features(docs.where(text_or_empty().rlike(r"\p{L}")).drop("lang"), spread(known, "lang", cap), windows(text_or_empty())).orderBy("doc_id", "lang").toPandas()
+    rows = with_features(docs.where(text_or_empty().rlike(r"\p{L}")), spread(known, "lang", cap), windows(text_or_empty())).orderBy("doc_id", "lang").toPandas()
     if rows.empty:
         return None
     languages = sorted(set(rows["lang"]))
