@@ -57,8 +57,23 @@ def test_ewm(frame):
     close(series(out, "s"), x.ewm(halflife=20, min_periods=20).std(), 1e-4)
 
 
-def test_blocked_ewm_equals_closed_form(frame):
-    # span 2 makes blocks of 273 rows, so 400 rows cross a boundary.
-    out = W.ewm_long(frame[0], "x", "m", span=2, min_periods=3)
-    close(series(out, "m"), pd.Series(X).ewm(span=2, min_periods=3).mean())
-    assert not W.ewm_fits(5000, span=8) and W.ewm_fits(2500, span=8)
+def test_ewm_of_a_long_series_with_a_gap(spark):
+    rng = np.random.default_rng(3)
+    x = pd.Series(np.cumsum(rng.normal(size=50_000)) + 100)
+    x[20_000:20_600] = np.nan
+    df = spark.createDataFrame([("A", i, None if np.isnan(v) else float(v)) for i, v in enumerate(x)], "symbol string, pos long, x double")
+    out = df.withColumns({"m": W.ewm_mean("x", span=8, min_periods=3), "s": W.ewm_std("x", halflife=20, min_periods=20), "ts": W.col("pos")})
+    got = out.orderBy("pos").toPandas()
+    np.testing.assert_allclose(got["s"], x.ewm(halflife=20, min_periods=20).std(), rtol=1e-6)
+    filled = got["m"].notna()
+    np.testing.assert_allclose(got["m"][filled], x.ewm(span=8, min_periods=3).mean()[filled], rtol=1e-9)
+    assert filled[2:20_300].all() and filled[20_600:].all()
+
+
+def test_one_wild_value_does_not_spoil_later_frames(spark):
+    rng = np.random.default_rng(4)
+    x = 100 + rng.normal(0, 0.01, 1000) + np.arange(1000) * 0.001
+    x[10] = 1e9
+    df = spark.createDataFrame([("A", i, float(v)) for i, v in enumerate(x)], "symbol string, ts long, x double")
+    got = series(rolling(df, [Roll("s", "std", "x", 63, 63)]), "s")
+    np.testing.assert_allclose(got[100:], pd.Series(x).rolling(63).apply(lambda w: np.std(w, ddof=1))[100:], rtol=1e-9)

@@ -1,14 +1,9 @@
-"""Rolling moments at constant cost per row.
+"""Rolling moments, evaluated directly over their frames.
 
-A frame of n rows evaluated directly costs n updates per row.  Sums over a
-frame are differences of running sums, so mean, deviation, covariance and
-correlation need only running totals and two lagged reads, all on one
-partitioning and one sort order.
-
-Two guards keep the results as good as a direct evaluation: values are shifted
-by the key's first value before squaring, and a frame whose values are all
-equal is recognised exactly (by the position of the last change), so that its
-deviation is zero rather than rounding noise.
+Differences of running sums would cost the same for any frame, but one large value
+leaves its rounding error in every later row.  So each frame is aggregated by itself,
+with the built-in moments that update means instead of raw sums.  All statistics of a
+call share one partitioning and one sort order.
 """
 
 from __future__ import annotations
@@ -16,14 +11,22 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scalar import div
-from .window import KEYS, cumulative, ordered
+from .scalar import div, finite
+from .window import KEYS, trailing
 
-SINGLE = ("sum", "avg", "std", "pstd", "var", "pvar")
-PAIRED = ("cov", "pcov", "corr")
+MOMENTS = {
+    "sum": F.sum,
+    "avg": F.avg,
+    "std": F.stddev_samp,
+    "pstd": F.stddev_pop,
+    "var": F.var_samp,
+    "pvar": F.var_pop,
+    "cov": F.covar_samp,
+    "pcov": F.covar_pop,
+}
 
 
 @dataclass(frozen=True)
@@ -43,111 +46,21 @@ class Roll:
 def rolling(
     df: DataFrame, rolls: Sequence[Roll], keys: Sequence[str] = KEYS, order: str = "ts"
 ) -> DataFrame:
-    """Add all ``rolls`` as columns."""
-    original = df.columns
-    names: dict[tuple[str, str | None], str] = {}
-    series = {}
+    """Add all ``rolls`` as columns; a pair of series counts the rows where both have a value."""
+    results = {}
     for spec in rolls:
-        if spec.fn not in SINGLE + PAIRED:
+        if spec.fn not in MOMENTS and spec.fn != "corr":
             raise ValueError(f"unknown rolling function {spec.fn!r}")
-        for x, y in ((spec.x, spec.y), (spec.y, spec.x)) if spec.y else ((spec.x, None),):
-            if (x, y) not in names:
-                names[x, y] = f"_r{len(names)}"
-                value = F.col(x) if y is None else F.when(F.col(y).isNotNull(), F.col(x))
-                series[names[x, y]] = value.cast("double")
-    run, before = cumulative(keys, order), cumulative(keys, order, lag=1)
-    df = df.withColumns(series)
-    df = df.withColumns(
-        {
-            k: v
-            for s in series
-            for k, v in {
-                f"{s}n": F.count(s).over(run),
-                f"{s}o": F.first(s, ignorenulls=True).over(run),
-                f"{s}p": F.last(s, ignorenulls=True).over(before),
-            }.items()
-        }
-    )
-
-    def shifted(s: str) -> Column:
-        return F.col(s) - F.col(f"{s}o")
-
-    def total(x: Column) -> Column:
-        return F.coalesce(F.sum(x).over(run), F.lit(0.0))
-
-    sums = {}
-    for s in series:
-        d = shifted(s)
-        sums |= {f"{s}s": total(d), f"{s}q": total(d * d)}
-        # Index (among values) of the last value that differs from the one before.
-        changed = F.max(F.when(F.col(s) != F.col(f"{s}p"), F.col(f"{s}n"))).over(run)
-        sums[f"{s}c"] = F.coalesce(changed, F.lit(0))
-    products = {}
-    for spec in rolls:
+        frame = trailing(spec.n, spec.lag, keys, order)
+        series = [F.col(c).cast("double") for c in (spec.x, spec.y) if c]
         if spec.y:
-            a, b = names[spec.x, spec.y], names[spec.y, spec.x]
-            products[a, b] = f"{a}{b}"
-            sums[f"{a}{b}"] = total(shifted(a) * shifted(b))
-    df = df.withColumns(sums)
-    edge = ordered(keys, order)
-    cache: dict[tuple[str, int], str] = {}
-
-    def at(col: str, back: int) -> str:
-        """The running total ``back`` rows ago (0 before the first row)."""
-        if back == 0:
-            return col
-        return cache.setdefault((col, back), f"{col}_{back}")
-
-    for spec in rolls:
-        x = names[spec.x, spec.y]
-        cols = [f"{x}{k}" for k in "nsqc"]
-        if spec.y:
-            b = names[spec.y, spec.x]
-            cols += [f"{b}{k}" for k in "sqc"] + [products[x, b]]
-        for c in cols:
-            at(c, spec.lag)
-            at(c, spec.lag + spec.n)
-    df = df.withColumns(
-        {name: F.lag(F.col(c), back, 0).over(edge) for (c, back), name in cache.items()}
-    )
-
-    def window_sum(col: str, spec: Roll) -> Column:
-        return F.col(at(col, spec.lag)) - F.col(at(col, spec.lag + spec.n))
-
-    def constant(s: str, n_col: str, spec: Roll) -> Column:
-        return F.col(at(f"{s}c", spec.lag)) <= F.col(at(n_col, spec.lag + spec.n)) + 1
-
-    results = {}
-    for spec in rolls:
-        x = names[spec.x, spec.y]
-        n = window_sum(f"{x}n", spec)
-        s = window_sum(f"{x}s", spec)
-
-        def spread(series_name: str, spec=spec, n=n, x=x) -> Column:
-            """Sum of squared deviations in the frame."""
-            m = window_sum(f"{series_name}s", spec)
-            raw = window_sum(f"{series_name}q", spec) - div(m * m, n)
-            flat = constant(series_name, f"{x}n", spec)
-            return F.when(flat, F.lit(0.0)).otherwise(F.greatest(raw, F.lit(0.0)))
-
-        if spec.fn in SINGLE:
-            value = {
-                "sum": lambda: s + n * F.col(f"{x}o"),
-                "avg": lambda: div(s, n) + F.col(f"{x}o"),
-                "var": lambda: div(spread(x), n - 1),
-                "pvar": lambda: div(spread(x), n),
-                "std": lambda: F.sqrt(div(spread(x), n - 1)),
-                "pstd": lambda: F.sqrt(div(spread(x), n)),
-            }[spec.fn]()
+            whole = series[0].isNotNull() & series[1].isNotNull()
+            series = [F.when(whole, c) for c in series]
+        if spec.fn == "corr":  # NULL, not an error, where a series does not move
+            scale = F.stddev_pop(series[0]).over(frame) * F.stddev_pop(series[1]).over(frame)
+            value = div(F.covar_pop(*series).over(frame), scale)
         else:
-            b = names[spec.y, spec.x]
-            cross = window_sum(products[x, b], spec) - div(s * window_sum(f"{b}s", spec), n)
-            value = {
-                "cov": lambda: div(cross, n - 1),
-                "pcov": lambda: div(cross, n),
-                "corr": lambda: div(cross, F.sqrt(spread(x) * spread(b))),
-            }[spec.fn]()
-        mp = spec.n if spec.min_periods is None else spec.min_periods
-        results[spec.out] = F.when(n >= mp, value)
-    keep = [c for c in original if c not in results]
-    return df.withColumns(results).select(*keep, *results)
+            value = finite(MOMENTS[spec.fn](*series).over(frame))
+        least = spec.n if spec.min_periods is None else spec.min_periods
+        results[spec.out] = F.when(F.count(series[0]).over(frame) >= least, value)
+    return df.select(*[c for c in df.columns if c not in results], *[c.alias(name) for name, c in results.items()])

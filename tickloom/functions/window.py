@@ -16,9 +16,6 @@ from pyspark.sql import functions as F
 from .scalar import col, div
 
 KEYS = ("symbol",)
-# exp(700) is close to the largest double: the closed-form EWMA stays exact
-# while bars * ln(1/decay) is below this.
-MAX_EXPONENT = 700.0
 
 
 def ordered(keys: Sequence[str] = KEYS, order: str = "ts") -> WindowSpec:
@@ -121,20 +118,41 @@ def decay_of(halflife: float | None = None, span: float | None = None) -> float:
     return 0.5 ** (1.0 / halflife) if halflife is not None else 1.0 - 2.0 / (span + 1.0)
 
 
-def ewm_fits(n_bars: int, halflife: float | None = None, span: float | None = None) -> bool:
-    """Whether the closed form stays inside double range for ``n_bars`` rows."""
-    return n_bars * math.log(1.0 / decay_of(halflife, span)) <= MAX_EXPONENT
+class _Ewm:
+    """Running sums of exponentially weighted values, without a limit on the length.
 
+    ``decay ** -pos`` would overflow on long series, so positions are cut into blocks of
+    ``size`` bars and each row sums over the pair of its block and the one before, with
+    powers counted from the start of the pair.  Pairs overlap: they start at even blocks
+    or at odd ones, and a row takes the pair in which its own block is the second.  What
+    lies further back weighs less than ``exp(-DEPTH)`` and cannot be seen in a double.
+    A stretch without values longer than a pair gives NULL.
+    """
+
+    DEPTH = 170.0  # four times this is still inside double range, as squared weights need
+
+    def __init__(self, x: Column, decay: float, keys: Sequence[str], pos: str):
+        self.x, self.decay, self.keys, self.pos = x, decay, keys, pos
+        self.size = max(1, int(self.DEPTH / math.log(1.0 / decay)))
+
+    def total(self, value: Callable[[Column], Column]) -> Column:
+        """Sum of ``value(weight)`` over the rows up to this one that have a value."""
+        at, pair = F.col(self.pos), 2 * self.size
+
+        def over(shift_by: int) -> Column:
+            place = F.pmod(at + shift_by, F.lit(pair)).cast("double")
+            weight = F.when(self.x.isNotNull(), F.pow(F.lit(self.decay), -place))
+            w = Window.partitionBy(*self.keys, F.floor((at + shift_by) / pair)).orderBy(self.pos)
+            return F.sum(value(weight)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+
+        second = F.pmod(F.floor(at / self.size), F.lit(2)) == 1
+        return F.when(second, over(0)).otherwise(over(self.size))
 
-def _ewm_sums(x: Column, decay: float, keys: Sequence[str], pos: str):
-    w = cumulative(keys, pos)
-    last_pos = int(MAX_EXPONENT / math.log(1.0 / decay))
-    too_long = F.raise_error(F.lit(f"EWMA closed form ends at bar {last_pos}; use ewm_long"))
-    power = F.when(
-        F.col(pos) <= last_pos, F.pow(F.lit(decay), -F.col(pos).cast("double"))
-    ).otherwise(too_long.cast("double"))
-    weight = F.when(x.isNotNull(), power)
-    return w, weight, F.sum(weight * x).over(w), F.sum(weight).over(w)
+    def mean(self) -> Column:
+        return div(self.total(lambda w: w * self.x), self.total(lambda w: w))
+
+    def seen(self) -> Column:
+        return F.count(self.x).over(cumulative(self.keys, self.pos))
 
 
 def ewm_mean(
@@ -145,15 +163,9 @@ def ewm_mean(
     keys: Sequence[str] = KEYS,
     pos: str = "pos",
 ) -> Column:
-    """Exponentially weighted mean, weights normalised over the seen history.
-
-    Closed form over a cumulative frame: sum(x / d**pos) / sum(1 / d**pos).
-    Valid while :func:`ewm_fits`; beyond that it fails rather than overflow, and
-    :func:`ewm_long` takes over.
-    """
-    x = col(x)
-    w, _, wx, ww = _ewm_sums(x, decay_of(halflife, span), keys, pos)
-    return F.when(F.count(x).over(w) >= min_periods, div(wx, ww))
+    """Exponentially weighted mean, weights normalised over the seen history."""
+    e = _Ewm(col(x), decay_of(halflife, span), keys, pos)
+    return F.when(e.seen() >= min_periods, e.mean())
 
 
 def ewm_std(
@@ -165,65 +177,11 @@ def ewm_std(
     pos: str = "pos",
 ) -> Column:
     """Debiased exponentially weighted standard deviation."""
-    x = col(x)
-    w, weight, wx, ww = _ewm_sums(x, decay_of(halflife, span), keys, pos)
-    mean = div(wx, ww)
-    biased = div(F.sum(weight * x * x).over(w), ww) - mean * mean
-    w2 = F.sum(weight * weight).over(w)
-    variance = biased * div(ww * ww, ww * ww - w2)
-    return F.when(
-        F.count(x).over(w) >= max(2, min_periods), F.sqrt(F.greatest(variance, F.lit(0.0)))
-    )
-
-
-def ewm_long(
-    df: DataFrame,
-    x: str,
-    out: str,
-    halflife: float | None = None,
-    span: float | None = None,
-    min_periods: int = 1,
-    keys: Sequence[str] = KEYS,
-    pos: str = "pos",
-) -> DataFrame:
-    """EWMA for series too long for the closed form.
-
-    Time is cut into blocks of rows long enough that two blocks back weighs
-    nothing at double precision.  Inside a block the closed form is safe; the
-    previous block enters through its decayed totals.  The blocks also split a
-    long series over tasks.
-    """
-    d = decay_of(halflife, span)
-    block_len = max(1, int(300.0 / math.log(1.0 / d)))
-    df = df.withColumn("_blk", F.floor(F.col(pos) / block_len))
-    within = F.col(pos) - F.col("_blk") * block_len
-    value = F.col(x)
-    weight = F.when(value.isNotNull(), F.pow(F.lit(d), -within.cast("double")))
-    w = cumulative([*keys, "_blk"], pos)
-    df = (
-        df.withColumn("_wx", F.coalesce(F.sum(weight * value).over(w), F.lit(0.0)))
-        .withColumn("_ww", F.coalesce(F.sum(weight).over(w), F.lit(0.0)))
-        .withColumn("_n", F.count(value).over(w))
-    )
-    # Totals of a block, expressed at the first row of the next one.
-    carry = df.groupBy(*keys, "_blk").agg(
-        F.max_by("_wx", pos).alias("_cx"),
-        F.max_by("_ww", pos).alias("_cw"),
-        F.max("_n").alias("_cn"),
-    )
-    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = carry.withColumn("_seen", F.coalesce(F.sum("_cn").over(before), F.lit(0))).withColumns(
-        {
-            c: F.lag(c, 1, 0.0).over(Window.partitionBy(*keys).orderBy("_blk"))
-            for c in ("_cx", "_cw")
-        }
-    )
-    df = df.join(carry.drop("_cn"), [*keys, "_blk"])
-    shrink = F.pow(F.lit(d), F.lit(float(block_len)))
-    mean = div(F.col("_wx") + F.col("_cx") * shrink, F.col("_ww") + F.col("_cw") * shrink)
-    return df.withColumn(
-        out, F.when(F.col("_seen") + F.col("_n") >= min_periods, mean)
-    ).drop("_blk", "_wx", "_ww", "_n", "_cx", "_cw", "_seen")
+    e = _Ewm(col(x), decay_of(halflife, span), keys, pos)
+    total, mean = e.total(lambda w: w), e.mean()
+    biased = div(e.total(lambda w: w * e.x * e.x), total) - mean * mean
+    variance = biased * div(F.lit(1.0), 1.0 - div(div(e.total(lambda w: w * w), total), total))
+    return F.when(e.seen() >= max(2, min_periods), F.sqrt(F.greatest(variance, F.lit(0.0))))
 
 
 def true_range(high, low, close, keys: Sequence[str] = KEYS, order: str = "ts") -> Column:

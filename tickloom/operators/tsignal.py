@@ -11,8 +11,6 @@ from ..functions.rolling import Roll, rolling
 from ..functions.scalar import EPS, clip, col, div, finite, null_mean, positive
 from ..functions.window import (
     cumulative,
-    ewm_fits,
-    ewm_long,
     ewm_mean,
     pct_change,
     roll,
@@ -102,21 +100,10 @@ def crossover_ensemble(
     vol_window: int = 63,
     norm_window: int = 252,
     frac: float = 0.5,
-    n_bars: int | None = None,
 ) -> DataFrame:
-    """EWMA crossovers scaled by lagged price deviation, then by their own.
-
-    ``n_bars`` (the calendar length) chooses the EWMA form: the closed form
-    while it fits in double range, the blocked one beyond it.
-    """
+    """EWMA crossovers scaled by lagged price deviation, then by their own."""
     span_set = sorted({s for pair in spans for s in pair})
-    if n_bars is None or ewm_fits(n_bars, span=min(span_set)):
-        df = df.withColumns(
-            {f"_e{s}": ewm_mean(px, span=s, min_periods=s) for s in span_set}
-        )
-    else:
-        for s in span_set:
-            df = ewm_long(df, px, f"_e{s}", span=s, min_periods=s)
+    df = df.withColumns({f"_e{s}": ewm_mean(px, span=s, min_periods=s) for s in span_set})
     k = range(len(spans))
     scale = Roll("_scale", "pstd", px, vol_window, max(3, int(vol_window * frac)), 1)
     df = rolling(df, [scale]).withColumns(

@@ -143,8 +143,8 @@ def ts_momentum(p, target=0.15):
     return T.to_weights(p, target, group="sector", group_cap=0.4, max_gross=4.0)
 
 
-def managed_futures(p, target=0.15, n_bars=None):
-    p = T.trailing_vol(T.crossover_ensemble(p, n_bars=n_bars))
+def managed_futures(p, target=0.15):
+    p = T.trailing_vol(T.crossover_ensemble(p))
     return T.to_weights(p, target, group="sector", group_cap=0.4, max_gross=4.0)
 
 
