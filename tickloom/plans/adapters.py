@@ -240,7 +240,8 @@ def orders_by_symbol(spark: SparkSession, sf: str, priority: str | None = None)
 
 
 def corp_events(spark: SparkSession, sf: str) -> DataFrame:
-    return orders_by_symbol(spark, sf, "1-URGENT")
+    """Corporate events: every order of the table."""
+    return orders_by_symbol(spark, sf)
 
 
 # --- derived event tables --------------------------------------------------
@@ -303,7 +304,6 @@ def vol_curve(spark: SparkSession, sf: str) -> DataFrame:
     month = F.trunc(day("ts"), "month")
     return (
         per_day.withColumns({"settle": level, "slot": slot})
-        .filter(F.col("slot") <= 4)
         .select(
             day("ts").alias("date"),
             F.date_add(F.add_months(month, F.col("slot") - 1), 14).alias("expiry"),

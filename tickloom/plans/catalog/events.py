@@ -30,7 +30,7 @@ def event_weights_sql(name, src, lag, hold, weight, date="event_date", side="1",
     "EVT-01",
     S.with_(
         BASE,
-        "ev AS (SELECT *, CASE WHEN status = 'O' THEN -1 ELSE 1 END AS side FROM cev WHERE priority = '1-URGENT')",
+        "ev AS (SELECT *, CASE WHEN status = 'O' THEN -1 ELSE 1 END AS side FROM cev)",
         event_weights_sql("x", "ev", 2, 60, 0.02, side="side"),
     )
     + f" SELECT symbol, ts, {r('w', 8)} AS w FROM x",
@@ -48,7 +48,7 @@ def cohorts(spark, sf):
         f"""
 ar AS (SELECT symbol, pos, sum(coalesce(ret - m, 0)) {S.over(None, 0, "symbol", "pos")} AS c FROM (
   SELECT *, avg(ret) OVER (PARTITION BY ts) AS m FROM panel)),
-e AS (SELECT symbol, (SELECT count(*) FROM cal WHERE ts <= event_date) - 1 AS p, count(*) AS n FROM cev WHERE priority = '1-URGENT' GROUP BY 1, event_date),
+e AS (SELECT symbol, (SELECT count(*) FROM cal WHERE ts <= event_date) - 1 AS p, count(*) AS n FROM cev GROUP BY 1, event_date),
 k AS (SELECT symbol, p, n, unnest(generate_series(-5, 60)) AS k FROM e)
 """,
     )
@@ -63,7 +63,7 @@ def car_curve(spark, sf):
 
 EARN_SQL = f"""
 earn AS (SELECT symbol, event_date AS report_ts, magnitude / 1e5 AS actual,
-  CASE WHEN event_id % 3 = 0 THEN NULL ELSE 2 + event_id % 2 END AS consensus, event_id FROM cev WHERE priority = '1-URGENT'),
+  CASE WHEN event_id % 3 = 0 THEN NULL ELSE 2 + event_id % 2 END AS consensus, event_id FROM cev),
 ar2 AS (SELECT symbol, pos, coalesce(sum(x) OVER (PARTITION BY symbol ORDER BY pos ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING), 0) AS car FROM (
   SELECT symbol, pos, ret - avg(ret) OVER (PARTITION BY ts) AS x FROM panel)),
 es AS (SELECT *, (SELECT count(*) FROM cal WHERE ts <= report_ts) - 1 AS pb FROM earn),

@@ -78,7 +78,7 @@ def membership_asof(spark, sf):
 FUND_SQL = """
 fund AS (
   SELECT symbol, event_date AS ts, avg(CAST(round(magnitude * 100) AS BIGINT)) / 100 AS value
-  FROM cev WHERE priority = '1-URGENT' GROUP BY 1, 2)"""
+  FROM cev GROUP BY 1, 2)"""
 
 
 def fundamentals(spark, sf):
@@ -149,7 +149,7 @@ def dividends_forward(spark, sf):
     "JN-06",
     PE
     + """
-, e AS (SELECT symbol, event_date, count(*) AS n FROM cev WHERE priority = '1-URGENT' GROUP BY 1, 2)
+, e AS (SELECT symbol, event_date, count(*) AS n FROM cev GROUP BY 1, 2)
 SELECT symbol, event_date, n, (SELECT count(*) FROM cal WHERE ts <= event_date) - 1 AS pos_back,
   (SELECT count(*) FROM cal WHERE ts < event_date) AS pos_fwd FROM e""",
 )
@@ -164,7 +164,7 @@ def event_positions(spark, sf):
     "JN-07",
     PE
     + f"""
-, e AS (SELECT symbol, event_date, count(*) AS n FROM cev WHERE priority = '1-URGENT' GROUP BY 1, 2),
+, e AS (SELECT symbol, event_date, count(*) AS n FROM cev GROUP BY 1, 2),
 s AS (SELECT symbol, n, (SELECT count(*) FROM cal WHERE ts <= event_date) - 1 AS pos FROM e)
 SELECT p.symbol, p.ts, sum(n) AS n_live, {r("max(p.close)")} AS close FROM s JOIN panel p
 ON p.symbol = s.symbol AND p.pos BETWEEN s.pos AND s.pos + 4 WHERE s.pos >= 0 GROUP BY 1, 2""",

@@ -173,10 +173,10 @@ def union_keep_last(spark, sf):
 @query(
     "SET-02",
     S.with_(S.BARS, S.rebalance())
-    + " SELECT ts FROM rebal INTERSECT SELECT ts FROM bars WHERE symbol = 'NATION_1'",
+    + " SELECT ts FROM rebal INTERSECT SELECT ts FROM bars",
 )
 def traded_rebalances(spark, sf):
-    traded = A.bars(spark, sf).filter(F.col("symbol") == "NATION_1").select("ts")
+    traded = A.bars(spark, sf).select("ts")
     return sessions.rebalance_dates(A.calendar(spark, sf), "ME").intersect(traded)
 
 
@@ -187,7 +187,7 @@ def traded_rebalances(spark, sf):
 )
 def union_of_indexes(spark, sf):
     a = A.orders_by_symbol(spark, sf).filter(F.col("status") == "O")
-    b = A.corp_events(spark, sf)
+    b = A.orders_by_symbol(spark, sf, "1-URGENT")
     cols = ["symbol", F.col("event_date").alias("ts")]
     return a.select(*cols).union(b.select(*cols)).distinct()
 

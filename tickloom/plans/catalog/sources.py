@@ -50,7 +50,7 @@ EV = S.with_(S.NATIONS + S.EVENTS)
     "SRC-02",
     EV
     + f""" SELECT symbol, CASE status WHEN 'P' THEN 'buyback' ELSE 'insider' END AS kind, count(*) AS n, max(event_date) AS last,
-{r("sum(CAST(round(magnitude * 100) AS BIGINT)) / 100.0::DOUBLE", 2)} AS value FROM cev WHERE priority = '1-URGENT' GROUP BY 1, 2""",
+{r("sum(CAST(round(magnitude * 100) AS BIGINT)) / 100.0::DOUBLE", 2)} AS value FROM cev GROUP BY 1, 2""",
 )
 def event_files(spark, sf):
     folder = scratch(spark, "events")
@@ -176,7 +176,7 @@ def broker_bars(spark, sf):
     "SRC-08",
     EV
     + f""" SELECT symbol, event_date AS ex_date, 'div' AS kind, count(*) AS n, {r("sum(CAST(round(magnitude * 100) AS BIGINT)) / 100.0::DOUBLE", 2)} AS value
-FROM cev WHERE priority = '1-URGENT' GROUP BY 1, 2""",
+FROM cev GROUP BY 1, 2""",
 )
 def exchange_dividends(spark, sf):
     # A page holds at most a thousand order keys, however many orders a symbol has.

@@ -79,7 +79,7 @@ membership AS (
       row_number() OVER (PARTITION BY q ORDER BY v DESC, symbol) AS rk FROM qv) WHERE rk <= 15)"""
 
 DIVS = """
-divs AS (SELECT symbol, event_date AS ex_date, magnitude / 1e6 AS value FROM cev WHERE priority = '1-URGENT')"""
+divs AS (SELECT symbol, event_date AS ex_date, magnitude / 1e6 AS value FROM cev)"""
 
 SPLITS = """
 splits AS (
@@ -105,7 +105,7 @@ curve1 AS (
   FROM curve0 WINDOW w AS (PARTITION BY sector ORDER BY ts ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)),
 curve AS (
   SELECT ts, CAST(date_trunc('month', ts) + to_months(CAST(slot - 1 AS INTEGER)) AS DATE) + 14 AS expiry, settle
-  FROM curve1 WHERE slot <= 4)"""
+  FROM curve1)"""
 
 SURFACE = """
 surface0 AS (

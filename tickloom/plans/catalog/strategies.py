@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ...functions.scalar import day
 from ...functions.scalar import rnd as R
+from ...operators.align import snap
 from ...operators.sessions import grid_of
 from .. import adapters as A
 from .. import strategies as X
@@ -83,18 +84,19 @@ def nav_arbitrage(spark, sf):
 
 
 DEALS_SQL = """
-dl AS (SELECT symbol, event_date, max(event_id) AS k FROM cev WHERE priority = '1-URGENT' GROUP BY 1, 2),
+dl AS (SELECT symbol, event_date, max(event_id) AS k FROM cev GROUP BY 1, 2),
 dp AS (SELECT d.symbol, k, (SELECT count(*) FROM cal WHERE ts <= event_date) - 1 AS pb FROM dl d),
 dj AS (SELECT p.symbol, a.pb + 1 AS pos, p.ts, p.close, b.close * (1 + (2 + k % 10) / 100.0::DOUBLE) AS offer
   FROM dp a JOIN panel b ON b.symbol = a.symbol AND b.pos = a.pb JOIN panel p ON p.symbol = a.symbol AND p.pos = a.pb + 1)"""
 
 
 def deals(spark, sf):
-    """Urgent orders as cash offers 2-11 % above the announcement price."""
+    """Orders as cash offers 2-11 % above the last price at the announcement."""
     ev = A.corp_events(spark, sf).groupBy("symbol", "event_date").agg(F.max("event_id").alias("k"))
-    px = A.panel(spark, sf).select("symbol", F.col("ts").alias("event_date"), "close")
+    ev = snap(ev, A.calendar(spark, sf), "event_date").drop("pos_fwd", "n_bars")
+    px = A.panel(spark, sf).select("symbol", F.col("pos").alias("pos_back"), "close")
     offer = F.col("close") * (1 + (2 + F.col("k") % 10) / F.lit(100.0))
-    return ev.join(px, ["symbol", "event_date"]).select(
+    return ev.join(px, ["symbol", "pos_back"]).select(
         F.col("symbol").alias("target_symbol"), F.col("event_date").alias("announce_date"), offer.alias("offer_price")
     )
 
@@ -420,7 +422,7 @@ def vol_overlay(spark, sf):
     return out(X.constant_overlay(first_symbol_panel(spark, sf)))
 
 
-URGENT = "ue AS (SELECT * FROM cev WHERE priority = '1-URGENT')"
+URGENT = "ue AS (SELECT * FROM cev)"
 
 
 @query(
@@ -434,7 +436,7 @@ def earnings_drift(spark, sf):
 
 @query(
     "Q-32",
-    S.with_(S.PANEL + S.EVENTS, "dl AS (SELECT * FROM cev WHERE priority = '1-URGENT' AND status = 'O')",
+    S.with_(S.PANEL + S.EVENTS, "dl AS (SELECT * FROM cev WHERE status = 'O')",
             event_weights_sql("x", "dl", 0, 40, 0.03)) + sel("x"),
 )
 def index_deletions(spark, sf):
@@ -497,7 +499,7 @@ def facts(spark, sf, metric):
 def facts_sql(name, k):
     return f"""
 {name}f AS (SELECT symbol, event_date AS ts, avg(CAST(round(magnitude * 100) AS BIGINT)) / 100 AS value FROM cev
-  WHERE priority = '1-URGENT' AND event_id % 3 = {k} GROUP BY 1, 2),
+  WHERE event_id % 3 = {k} GROUP BY 1, 2),
 {name}u AS (SELECT symbol, ts, max(bar) AS bar, max(value) AS value FROM (
     SELECT symbol, ts, 1 AS bar, NULL::DOUBLE AS value FROM grid UNION ALL SELECT symbol, ts, 0, value FROM {name}f)
   WHERE symbol IN (SELECT symbol FROM syms) GROUP BY 1, 2),
@@ -550,14 +552,14 @@ def month_turn(spark, sf):
 
 
 ROLLS_SQL = """
-rl AS (SELECT DISTINCT 'N_' || (event_id % 30) AS code, event_date AS a, event_date + INTERVAL 4 DAY AS z FROM ue WHERE magnitude > 400000),
+rl AS (SELECT DISTINCT 'N_' || (event_id % 30) AS code, event_date AS a, event_date + INTERVAL 4 DAY AS z FROM ue),
 rs AS (SELECT code, min(symbol) AS symbol FROM (SELECT DISTINCT code FROM rl) JOIN syms ON contains(symbol, code) GROUP BY code),
 rp AS (SELECT DISTINCT symbol, (SELECT count(*) FROM cal WHERE ts < a) AS pa, (SELECT count(*) FROM cal WHERE ts <= z) - 1 AS pz FROM rl JOIN rs USING (code))"""
 
 
 def rolls(spark, sf):
     """Large urgent orders as roll windows of asset codes, mapped to symbols."""
-    ev = A.corp_events(spark, sf).filter(F.col("magnitude") > 400000)
+    ev = A.corp_events(spark, sf)
     r0 = ev.select(
         F.concat(F.lit("N_"), (F.col("event_id") % 30).cast("string")).alias("code"),
         day("event_date").alias("roll_start"), F.date_add(day("event_date"), 4).alias("roll_end"),
