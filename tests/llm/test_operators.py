@@ -144,6 +144,28 @@ def test_mix_meets_targets_and_repeats(spark):
     assert mixing.mix(empty(spark)).count() == 0
 
 
+def test_rows_without_id_or_repeated_are_kept(spark):
+    texts = [*AWKWARD, *(prose(random.Random(k), 30) for k in range(8))]
+    df = documents(spark, texts, langs=["xx", "yy"] * 9 + ["xx"], sources=["s"] * 19)
+    df = df.selectExpr("if(doc_id % 4 = 0, null, doc_id + 9007199254740993) as doc_id", *df.columns[1:])
+    df = df.union(df)
+    bench = spark.createDataFrame([(1, texts[12])], "item_id long, text string")
+    known = df.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality", "cast(doc_id % 2 as int) as toxic")
+    ids = sorted(r[0] or 0 for r in df.select("doc_id").collect())
+    results = [
+        exact_dedup.exact_groups(df),
+        quality.scores(df, known),
+        decontaminate.contamination(df, bench),
+        language.predictions(df, steps=5),
+        mixing.mix(df, leaf_rows=5, fan_in=2),
+        toxicity.scores(df, known),
+        simhash.near_groups(df),
+    ]
+    for got in results:
+        assert sorted(r["doc_id"] or 0 for r in got.select("doc_id").collect()) == ids
+    assert {r[0] for r in lines.line_groups(df).select("doc_id").collect()} <= set(r[0] for r in df.select("doc_id").collect())
+
+
 def test_rounding_keeps_expectations():
     sizes, p, total = np.array([50.0, 9, 7, 5, 3, 1]), 0.3, np.zeros(6)
     for seed in range(4000):

@@ -15,7 +15,7 @@ remaining documents pair one by one, until one is left per source.  A source wit
 third of all rows has many leaves, never one large group.
 
 Cases: null or blank texts have size 0 and take 0; a null source is a source of
-its own, ranked last; repeated rows are separate documents; an empty table gives
+its own, ranked last; null doc_ids stay null; repeated rows are separate documents; an empty table gives
 no rows; columns beyond doc_id, text and source are ignored.
 """
 
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import positioned, text_or_empty, written
 
 WORD = r"[^\x20\x09-\x0D]+"
+NO_ID = -(1 << 63)  # stands for a null doc_id inside the tree, where pandas would turn the column into floats
 NODE = "doc_id long, size long, source_size long, target double, rank long, node long, base long, p double, copies long"
 
 
@@ -124,7 +125,7 @@ def _node_fold(level: int, seed: int):
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, leaf_rows: int = 2000, fan_in: int = 64, seed: int = 7) -> DataFrame:
     """doc_id, size, source_size, target, copies and taken for every document."""
-    sizes = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text_or_empty()).alias("size")), "mix-sizes")
+    sizes = written(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text_or_empty()).alias("size")), "mix-sizes")
     sources = written(source_targets(sizes, weights, most), "mix-targets")
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
     leaves = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / leaf_rows))
@@ -152,4 +153,5 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, le
             break
         open_rows = rest.withColumn("node", F.floor(F.col("node") / fan_in).cast("long")).select(*held, "rank", "node", "base", "p")
         level, nodes = level + 1, math.ceil(nodes / fan_in)
+    done = done.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
     return done.select(*held, "copies", (F.col("copies") * F.col("size")).alias("taken"))
