@@ -24,8 +24,8 @@ def drawdown(equity: DataFrame, value: str = "equity", keys=RUN) -> DataFrame:
     return equity.withColumn("dd", div(value, peak) - 1)
 
 
-def drawdown_episodes(equity: DataFrame, value: str = "equity", top_n: int = 10, keys=RUN) -> DataFrame:
-    """Episodes between two bars at a high; deepest first.
+def drawdown_episodes(equity: DataFrame, value: str = "equity", top_n: int | None = 10, keys=RUN) -> DataFrame:
+    """Episodes between two bars at a high; the ``top_n`` deepest first, or all of them.
 
     Each bar at a high opens an island that holds the under-water bars after
     it; the next island's first bar is the recovery.
@@ -61,7 +61,8 @@ def drawdown_episodes(equity: DataFrame, value: str = "equity", top_n: int = 10,
         F.col("next_ts").isNotNull().alias("recovered"),
     )
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("depth", "start"))
-    return out.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= top_n)
+    out = out.withColumn("rank", rank.cast("long"))
+    return out if top_n is None else out.filter(F.col("rank") <= top_n)
 
 
 # --- summary ---------------------------------------------------------------
@@ -90,7 +91,7 @@ def summary(book, trades: DataFrame | None = None, ppy: float = PPY, keys=RUN) -
     """All run metrics in one row per run."""
     daily = book.daily
     base = return_stats(daily, ppy, keys)
-    episodes = drawdown_episodes(daily, keys=keys).groupBy(*keys).agg(
+    episodes = drawdown_episodes(daily, top_n=None, keys=keys).groupBy(*keys).agg(
         F.min("depth").alias("max_dd"), F.max("duration").cast("double").alias("dd_duration_days")
     )
     book_stats = (
@@ -312,12 +313,12 @@ def attribution(
     trades: DataFrame | None = None,
     daily: DataFrame | None = None,
     mode: str = "exact",
-    top_n: int = 50,
+    top_n: int | None = None,
     keys=RUN,
 ) -> DataFrame:
     """Per-symbol contribution: exact, realised, or share of gross.
 
-    ``exact`` sums w * r; ``realised`` sums trade pnl; ``proxy`` splits each
+    All symbols, or the ``top_n`` best.  ``exact`` sums w * r; ``realised`` sums trade pnl; ``proxy`` splits each
     day's return by share of gross exposure.
     """
     by = [*keys, "symbol"]
@@ -354,10 +355,8 @@ def attribution(
         | (F.col("n_trades") > 0)
     )
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc_nulls_last("pnl"), "symbol"))
-    return (
-        out.filter(seen).withColumn("rank", rank.cast("long")).filter(F.col("rank") <= top_n)
-        .select(*by, "pnl", "avg_weight", "n_trades", "rank")
-    )
+    out = out.filter(seen).withColumn("rank", rank.cast("long")).select(*by, "pnl", "avg_weight", "n_trades", "rank")
+    return out if top_n is None else out.filter(F.col("rank") <= top_n)
 
 
 def is_oos(daily: DataFrame, r: str = "net", fraction: float = 0.7, ppy: float = PPY, keys=RUN) -> DataFrame:

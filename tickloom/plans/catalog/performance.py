@@ -64,7 +64,7 @@ bk AS (SELECT avg(g) AS avg_gross, avg(n) AS avg_net, avg(t) * 252 AS turnover_a
 b AS (SELECT {S.sharpe("net")} AS sharpe, {SORTINO.format(x="net")} AS sortino, {CAGR.format(x="net")} AS cagr, stddev_samp(net) * sqrt(252) AS ann_vol,
   skewness(net) AS skew, kurtosis(net) AS kurtosis, avg(CASE WHEN net > 0 THEN 1.0 ELSE 0 END) AS hit_rate, avg(net) / (stddev_samp(net) / sqrt(count(net))) AS t_stat,
   CAST(count(net) AS DOUBLE) AS n_obs, {CAGR.format(x="gross")} AS cagr_gross, (avg(gross) - avg(net)) * 252 * 1e4 AS cost_drag_bps_ann FROM daily),
-d AS (SELECT min(depth) AS max_dd, CAST(max(duration) FILTER (WHERE rank <= 10) AS DOUBLE) AS dd_duration_days FROM ep),
+d AS (SELECT min(depth) AS max_dd, CAST(max(duration) AS DOUBLE) AS dd_duration_days FROM ep),
 t AS (SELECT CAST(count(*) AS DOUBLE) AS n_trades FROM held WHERE abs(dw) > 1e-6)
 SELECT {", ".join(r(c, 4) + " AS " + c for c in ("sharpe", "sortino", "cagr", "ann_vol", "skew", "kurtosis", "hit_rate", "t_stat", "n_obs", "cagr_gross", "max_dd", "dd_duration_days", "avg_gross", "avg_net", "turnover_ann", "n_trades"))},
   {r("cost_drag_bps_ann", 3)} AS cost_drag_bps_ann, {r("cagr / abs(max_dd)", 4)} AS calmar, {r("(SELECT max(ret) FROM yr)", 4)} AS best_year, {r("(SELECT min(ret) FROM yr)", 4)} AS worst_year
