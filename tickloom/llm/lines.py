@@ -12,10 +12,11 @@ near when the Jaccard similarity of their sets is ``similarity`` or more.
 * Bands of ``ROWS`` minima are the buckets: with 8 x 3, a pair at 0.8 shares one with 99.7 %.
 * Buckets are settled in rounds.  Every member is compared with the bucket's hub, its
   smallest line, by exact Jaccard.  Members near the hub are linked and done; the others
-  go on to the next round with a hub of their own.  Jaccard distance is a metric, so a
-  done member x and a remaining member y can be near only if y is within
-  ``1 - similarity + d(x, hub)`` of the hub; just those pairs are compared too.  So a group
-  of m near lines costs m comparisons, not m * m, and no link of a bucket is lost.
+  go on to the next round, with eight times as many hubs (the smallest lines of hash
+  slices), until none is left.  Jaccard distance is a metric, so a done member x and a
+  remaining member y can be near only if y is within ``1 - similarity + d(x, hub)`` of x's
+  hub; just those pairs are compared too.  So a group of m near lines costs m comparisons,
+  not m * m, a bucket takes a logarithmic number of rounds, and no link of it is lost.
 * Links are joined by distributed union-find; of each component the first line (smallest
   doc_id, then line number) stays.
 
@@ -47,10 +48,11 @@ def digest(line: Column) -> Column:
     return F.unhex(F.md5(line.cast("binary")))
 
 
-def shingle_hashes(units: Column, length: Column) -> Column:
-    """Distinct shingle hashes of a line, for lines that are compared; ``units``: the line in UTF-16."""
-    places = F.sequence(F.lit(0), F.greatest(F.lit(0), length - SHINGLE))
-    return F.array_sort(F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substring(units, 2 * i + 1, F.lit(2 * SHINGLE))))))
+def shingle_hashes(line: Column) -> Column:
+    """Distinct shingle hashes of a line, for lines that are compared."""
+    units = F.encode(line, "UTF-16BE")
+    places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.shiftright(F.octet_length(units), 1) - SHINGLE))
+    return F.array_distinct(F.zip_with(places, F.array_repeat(units, F.size(places)), lambda i, u: F.xxhash64(F.substring(u, 2 * i + 1, F.lit(2 * SHINGLE)))))
 
 
 def signatures(found: DataFrame) -> DataFrame:
@@ -80,38 +82,44 @@ def near_links(found: DataFrame, similarity: float) -> DataFrame:
     left = written(buckets(found), "line-members")
     wanted = left.select("digest").distinct()
     texts = found.select(digest(F.col("line")).alias("digest"), "line").join(wanted, "digest", "left_semi").dropDuplicates(["digest"])
-    texts = texts.select("digest", F.encode("line", "UTF-16BE").alias("units"))
-    sets = written(texts.select("digest", shingle_hashes(F.col("units"), F.shiftright(F.octet_length("units"), 1)).alias("set")), "line-sets")
+    texts = written(texts, "line-texts")
 
     def distances(pairs: DataFrame) -> DataFrame:
-        """pairs(a, b) with ``d``, the exact Jaccard distance."""
-        both = pairs.join(sets.select(F.col("digest").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("digest").alias("b"), F.col("set").alias("y")), "b")
+        """pairs(a, b) with ``d``, the exact Jaccard distance; lines travel as text, an eighth of their shingle hashes."""
+        both = pairs.join(texts.select(F.col("digest").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("digest").alias("b"), F.col("line").alias("y")), "b")
+        sets = both.select("a", "b", shingle_hashes(F.col("x")).alias("x"), shingle_hashes(F.col("y")).alias("y"))
         same = F.size(F.array_intersect("x", "y"))
-        return both.select("a", "b", (1.0 - same / (F.size("x") + F.size("y") - same)).alias("d"))
+        return sets.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), same.alias("same")).select(
+            "a", "b", (1.0 - F.col("same") / (F.col("nx") + F.col("ny") - F.col("same"))).alias("d")
+        )
 
     limit, links, turn = 1.0 - similarity + 1e-12, None, 0
     while True:
-        hubs = left.groupBy("bucket").agg(F.min("digest").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        seats = written(left.join(hubs, "bucket").select("bucket", "digest", "hub"), f"line-seats{turn}")
+        shared = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+        part = F.pmod(F.xxhash64("digest"), F.lit(8**turn))
+        hubs = left.join(shared, "bucket").groupBy("bucket", part.alias("part")).agg(F.min("digest").alias("hub")).select("bucket", "hub")
+        seats = left.join(hubs, "bucket").withColumns({"a": F.least("digest", "hub"), "b": F.greatest("digest", "hub")})
+        seats = written(seats, f"line-seats{turn}")
         if seats.isEmpty():
             break
-        pairs = seats.where("digest <> hub").select(F.col("digest").alias("a"), F.col("hub").alias("b")).distinct()
-        near_hub = written(distances(pairs), f"line-distances{turn}")
-        held = seats.where("digest <> hub").join(near_hub, (F.col("digest") == F.col("a")) & (F.col("hub") == F.col("b"))).select("bucket", "digest", "d")
-        held = written(held, f"line-held{turn}")
-        done, rest = held.where(F.col("d") <= limit), held.where(F.col("d") > limit)
-        # Pairs that the triangle inequality leaves open: both near enough to the hub.
+        near_hub = written(distances(seats.where("a <> b").select("a", "b").distinct()), f"line-distances{turn}")
+        held = written(seats.where("a <> b").join(near_hub, ["a", "b"]).select("bucket", "digest", "hub", "d"), f"line-held{turn}")
+        # Hubs and members near a hub are done; the others have met all hubs in vain.
+        done = held.where(F.col("d") <= limit).select("bucket", "digest").union(hubs.select("bucket", F.col("hub").alias("digest"))).distinct()
+        done = written(done, f"line-done{turn}")
+        rest = held.join(done, ["bucket", "digest"], "left_anti").where("digest <> hub")
+        # Pairs that the triangle inequality leaves open: both near enough to a common hub.
         open_pairs = (
-            done.where("d > 0")
-            .join(rest.where(F.col("d") <= 2 * limit).select("bucket", F.col("digest").alias("other"), F.col("d").alias("far")), "bucket")
+            held.where((F.col("d") <= limit) & (F.col("d") > 0))
+            .join(rest.where(F.col("d") <= 2 * limit).select("bucket", "hub", F.col("digest").alias("other"), F.col("d").alias("far")), ["bucket", "hub"])
             .where(F.col("far") - F.col("d") <= limit)
-            .select(F.col("digest").alias("a"), F.col("other").alias("b"))
+            .select(F.least("digest", "other").alias("a"), F.greatest("digest", "other").alias("b"))
             .distinct()
         )
         new = near_hub.where(F.col("d") <= limit).select("a", "b").union(distances(open_pairs).where(F.col("d") <= limit).select("a", "b"))
         new = written(new, f"line-links{turn}")
         links = new if links is None else links.union(new)
-        left, turn = rest.select("bucket", "digest"), turn + 1
+        left, turn = written(rest.select("bucket", "digest").distinct(), f"line-left{turn}"), turn + 1
     return links if links is not None else wanted.select(F.col("digest").alias("a"), F.col("digest").alias("b")).limit(0)
 
 
