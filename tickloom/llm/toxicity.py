@@ -84,14 +84,21 @@ def one_per_copy(rows: list[np.ndarray], seed: int = 3) -> list[np.ndarray]:
     return kept
 
 
+def documents_with(rows: list[np.ndarray]) -> np.ndarray:
+    """Number of rows that have each mark, row by row, so that the sample is never copied end to end."""
+    out = np.zeros(1 << BITS)
+    for row in rows:
+        out[row] += 1
+    return out
+
+
 def contrast(positive: list[np.ndarray], unlabelled: list[np.ndarray], doubt: float) -> np.ndarray:
     """Log of how much more often the positives have a word; 0 where the difference may be chance.
 
     A word counts if its square-root counts differ by ``doubt`` standard errors (1/2 each),
     so chance words get no weight, however many of them a long text has.
     """
-    own = np.bincount(np.concatenate(positive), minlength=1 << BITS)
-    usual = np.bincount(np.concatenate(unlabelled), minlength=1 << BITS) * (len(positive) / len(unlabelled))
+    own, usual = documents_with(positive), documents_with(unlabelled) * (len(positive) / len(unlabelled))
     sure = 2 * (np.sqrt(own) - np.sqrt(usual)) >= doubt
     return np.where(sure, np.maximum(0.0, np.log((own + 1.0) / (usual + 1.0))), 0.0)
 
@@ -101,7 +108,7 @@ class Bags:
 
     def __init__(self, rows: list[np.ndarray], scale: np.ndarray):
         rows = [r[scale[r] > 0] for r in rows]
-        self.at, self.n = np.concatenate([*rows, np.zeros(0, dtype=np.int64)]), len(rows)
+        self.at, self.n = np.concatenate([*rows, np.zeros(0, dtype=np.int64)]).astype(np.int64), len(rows)
         self.owner = np.repeat(np.arange(self.n), [len(r) for r in rows])
         self.value = scale[self.at]
 
@@ -166,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, positives: int =
     confirmed = spread(known.where("kind = 1"), "kind", positives)
     anyone = spread(docs.where(allowed).select("doc_id", F.lit(2).alias("kind")), "kind", unlabelled, seed=12)
     rows = with_features(docs, confirmed.unionByName(anyone), bag_column(text_or_empty())).orderBy("doc_id", "kind").toPandas()
-    bags = {kind: [np.frombuffer(b, dtype="<i4").astype(np.int64) for b in rows.loc[rows["kind"] == kind, "features"]] for kind in (1, 2)}
+    bags = {kind: [np.frombuffer(b, dtype="<i4") for b in rows.loc[rows["kind"] == kind, "features"]] for kind in (1, 2)}
     return fit(bags[1], bags[2], shares[1] / total)
 
 
