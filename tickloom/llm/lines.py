@@ -27,7 +27,7 @@ ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_or_empty, written
@@ -72,9 +72,8 @@ def buckets(found: DataFrame) -> DataFrame:
     """(bucket, digest) of all buckets with two or more different lines."""
     groups = [[F.col(f"m{ROWS * band + row}") for row in range(ROWS)] for band in range(BANDS)]
     keys = F.array(*[F.when(F.coalesce(*g).isNotNull(), F.xxhash64(F.lit(band), "short", *[F.coalesce(m, F.lit(0)) for m in g])) for band, g in enumerate(groups)])
-    members = written(signatures(found).select("digest", F.explode_outer(keys).alias("bucket")).where("bucket is not null").select("bucket", "digest").distinct(), "line-buckets")
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    return members.join(shared, "bucket")
+    members = signatures(found).select("digest", F.explode_outer(keys).alias("bucket")).where("bucket is not null")
+    return members.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("n > 1").select("bucket", "digest")
 
 
 def near_links(found: DataFrame, similarity: float) -> DataFrame:
