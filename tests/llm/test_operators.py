@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom.llm import chat, components, decontaminate, exact_dedup, language, lines, mixing, quality, queries, simhash, tokens, toxicity
 
@@ -54,6 +55,20 @@ def test_lines_against_brute_force(spark):
     assert lines.line_groups(empty(spark)).count() == 0
 
 
+def test_lines_done_with_different_hubs_are_compared(spark, monkeypatch):
+    """One bucket with a chain h1 - x - y - h2: in round 1 x is near the hub h1 alone and y near the hub h2 alone."""
+    rng = random.Random(910)  # so that digests and hash slices make these the hubs
+    words = [rng.choice(WORDS) + rng.choice(WORDS) for _ in range(20)]
+    texts = [" ".join(words)]
+    for k in (3, 8, 13):
+        words[k] = rng.choice(WORDS) + rng.choice(WORDS)
+        texts.append(" ".join(words))
+    texts.append(" ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(20)))  # the hub of round 0
+    monkeypatch.setattr(lines, "buckets", lambda found: found.select(F.lit(1).cast("long").alias("bucket"), lines.digest(F.col("line")).alias("digest")).distinct())
+    got = {(r[0], r[1]): (r[2], r[3], r[4]) for r in lines.line_groups(documents(spark, texts)).collect()}
+    assert got == brute.near_lines(list(enumerate(texts))) and got[3, 0] == (0, 0, 4)
+
+
 def test_exact_groups_and_filter(spark):
     texts = [*AWKWARD, "a b", "ab", "a  b", "a\tb ", None, " "]
     df = documents(spark, texts).repartition(5)

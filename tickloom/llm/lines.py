@@ -13,9 +13,9 @@ near when the Jaccard similarity of their sets is ``similarity`` or more.
 * Buckets are settled in rounds.  Every member is compared with the bucket's hub, its
   smallest line, by exact Jaccard.  Members near the hub are linked and done; the others
   go on to the next round, with eight times as many hubs (the smallest lines of hash
-  slices), until none is left.  Jaccard distance is a metric, so a done member x and a
-  remaining member y can be near only if y is within ``1 - similarity + d(x, hub)`` of x's
-  hub; just those pairs are compared too.  So a group of m near lines costs m comparisons,
+  slices), until none is left.  Jaccard distance is a metric, so a done member x and any
+  other member y, done with another hub or remaining, can be near only if y is within
+  ``1 - similarity + d(x, hub)`` of x's nearest hub; just those pairs are compared too.  So a group of m near lines costs m comparisons,
   not m * m, a bucket takes a logarithmic number of rounds, and no link of it is lost.
 * Links are joined by distributed union-find; of each component the first line (smallest
   doc_id, then line number) stays.
@@ -107,10 +107,14 @@ def near_links(found: DataFrame, similarity: float) -> DataFrame:
         done = held.where(F.col("d") <= limit).select("bucket", "digest").union(hubs.select("bucket", F.col("hub").alias("digest"))).distinct()
         done = written(done, f"line-done{turn}")
         rest = held.join(done, ["bucket", "digest"], "left_anti").where("digest <> hub")
-        # Pairs that the triangle inequality leaves open: both near enough to a common hub.
+        # Pairs that the triangle inequality leaves open: one near its nearest hub, the other, done with
+        # another hub or not, near enough to that hub.  Hubs themselves have met every member.
+        plain = held.join(hubs.select("bucket", F.col("hub").alias("digest")), ["bucket", "digest"], "left_anti")
+        nearest = plain.where(F.col("d") <= limit).groupBy("bucket", "digest").agg(F.min(F.struct("d", "hub")).alias("best")).select("bucket", "best.hub", "digest", "best.d")
+        others = plain.where((F.col("d") > limit) & (F.col("d") <= 2 * limit)).select("bucket", "hub", F.col("digest").alias("other"), F.col("d").alias("far"))
         open_pairs = (
-            held.where((F.col("d") <= limit) & (F.col("d") > 0))
-            .join(rest.where(F.col("d") <= 2 * limit).select("bucket", "hub", F.col("digest").alias("other"), F.col("d").alias("far")), ["bucket", "hub"])
+            nearest.where("d > 0")
+            .join(others, ["bucket", "hub"])
             .where(F.col("far") - F.col("d") <= limit)
             .select(F.least("digest", "other").alias("a"), F.greatest("digest", "other").alias("b"))
             .distinct()
