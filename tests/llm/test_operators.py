@@ -69,6 +69,14 @@ def test_lines_done_with_different_hubs_are_compared(spark, monkeypatch):
     assert got == brute.near_lines(list(enumerate(texts))) and got[3, 0] == (0, 0, 4)
 
 
+def test_repetitive_lines_of_any_length_meet(spark):
+    texts = [c * n for c in "-=" for n in (20, 60, 110, 200)]
+    texts += ["no signal on this line, " * n + "no signal" for n in (3, 10, 30)]
+    texts += [("0123456789" * 13)[: 7 + n] + prose(random.Random(13), 40)[:130] for n in (20, 60, 110)]
+    got = {(r[0], r[1]): (r[2], r[3], r[4]) for r in lines.line_groups(documents(spark, texts)).collect()}
+    assert got == brute.near_lines(list(enumerate(texts))) and got[3, 0] == (0, 0, 4)
+
+
 def test_exact_groups_and_filter(spark):
     texts = [*AWKWARD, "a b", "ab", "a  b", "a\tb ", None, " "]
     df = documents(spark, texts).repartition(5)

@@ -7,8 +7,10 @@ near when the Jaccard similarity of their sets is ``similarity`` or more.
 
 * Signature: ``BANDS`` x ``ROWS`` minima.  Short lines take one hash function per minimum;
   long ones hash each shingle once and take the minimum of each of as many bins.  Lines
-  around the boundary have both kinds, so that no near pair falls between the two.  All is
-  one aggregate over exploded positions, inside generated code.
+  around the boundary have both kinds, so that no near pair falls between the two.  What
+  counts is distinct shingles, not length: a long line whose start does not show enough of
+  them, such as a rule or a repeated phrase, has both kinds.  The minima are one aggregate
+  over exploded positions, inside generated code.
 * Bands of ``ROWS`` minima are the buckets: with 8 x 3, a pair at 0.8 shares one with 99.7 %.
 * Buckets are settled in rounds.  Every member is compared with the bucket's hub, its
   smallest line, by exact Jaccard.  Members near the hub are linked and done; the others
@@ -34,7 +36,8 @@ from .common import text_or_empty, written
 from .components import components
 
 SHINGLE, BANDS, ROWS = 8, 8, 3
-SHORT, BOTH = 96, 120  # shingles: below SHORT one kind of signature, up to BOTH the two kinds
+SHORT, BOTH = 96, 120  # distinct shingles: below SHORT one kind of signature, up to BOTH the two kinds
+PROVEN = 160  # positions at the start of a longer line that are searched for BOTH distinct shingles
 BLANK = " \t\x0b\x0c\r"
 
 
@@ -50,7 +53,10 @@ def digest(line: Column) -> Column:
 
 def shingle_hashes(line: Column) -> Column:
     """Distinct shingle hashes of a line, for lines that are compared."""
-    units = F.encode(line, "UTF-16BE")
+    return unit_hashes(F.encode(line, "UTF-16BE"))
+
+
+def unit_hashes(units: Column) -> Column:
     places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.shiftright(F.octet_length(units), 1) - SHINGLE))
     return F.array_distinct(F.zip_with(places, F.array_repeat(units, F.size(places)), lambda i, u: F.xxhash64(F.substring(u, 2 * i + 1, F.lit(2 * SHINGLE)))))
 
@@ -60,7 +66,10 @@ def signatures(found: DataFrame) -> DataFrame:
     units = found.select(digest(F.col("line")).alias("digest"), F.encode("line", "UTF-16BE").alias("units"))
     last = F.greatest(F.lit(0), F.shiftright(F.octet_length("units"), 1) - SHINGLE)
     rows = units.select("digest", "units", last.alias("last"))
-    kinds = F.when(F.col("last") < SHORT - 1, F.array(F.lit(True))).when(F.col("last") < BOTH - 1, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
+    # Positions bound the distinct shingles from above, those of the line's start from below.
+    start = F.substring("units", 1, 2 * (PROVEN + SHINGLE - 1))
+    few = F.when(F.col("last") < BOTH - 1, True).otherwise(F.size(unit_hashes(start)) < BOTH)
+    kinds = F.when(F.col("last") < SHORT - 1, F.array(F.lit(True))).when(few, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
     placed = rows.select("digest", "units", "last", F.explode_outer(kinds).alias("short")).select("digest", "units", "short", F.explode_outer(F.sequence(F.lit(0), F.col("last"))).alias("at"))
     hashed = placed.select("digest", "short", F.xxhash64(F.substring("units", 2 * F.col("at") + 1, F.lit(2 * SHINGLE))).alias("h"))
     binned = hashed.select("digest", "short", "h", F.pmod("h", F.lit(BANDS * ROWS)).cast("int").alias("bin"))
