@@ -189,6 +189,33 @@ def test_rows_without_id_or_repeated_are_kept(spark):
     assert {r[0] for r in lines.line_groups(df).select("doc_id").collect()} <= set(r[0] for r in df.select("doc_id").collect())
 
 
+def test_stages_drop_rows_not_ids(spark):
+    rng = random.Random(14)
+    a, b, c, d, e = (prose(rng, 60) for _ in range(5))
+
+    def frame(rows):
+        return spark.createDataFrame([(i, t, None, f"s{k}", None) for k, (i, t) in enumerate(rows)], DOC).repartition(3)
+
+    def left(df):
+        return sorted(((r["doc_id"], r["text"], r["source"]) for r in df.collect()), key=repr)
+
+    def want(rows, places):
+        return sorted(((*rows[k], f"s{k}") for k in places), key=repr)
+
+    # null ids with and without copies; id 5 on two texts, one of them kept; of equal texts the longest stays
+    rows = [(None, a), (3, a), (None, b), (None, c), (5, c + " "), (5, d), (2, d), (7, e), (7, e + " ")]
+    assert left(exact_dedup.drop_exact(frame(rows))) == want(rows, [1, 2, 4, 6, 8])
+    rows = [(None, a), (3, a + " end"), (None, b), (None, c), (None, c + " "), (5, d), (5, e), (2, d + " "), (9, e + "  ")]
+    assert {f"s{k}" for k in (1, 2, 6, 7)} <= {r[2] for r in left(simhash.drop_near(frame(rows)))}
+    kept = left(simhash.drop_near(frame(rows)))
+    assert len(kept) == 5 and sum(r[1].startswith(c) for r in kept) == 1
+    twice = [(1, a), (1, a), (None, b), (None, b), (None, "x")]
+    assert [r[:2] for r in left(simhash.drop_near(frame(twice)))] == sorted([(1, a), (None, b), (None, "x")], key=repr)
+    bench = spark.createDataFrame([(1, a)], "item_id long, text string")
+    rows = [(None, a), (None, b), (4, a), (4, c), (6, d), (6, d), (None, None)]
+    assert left(decontaminate.drop_contaminated(frame(rows), bench)) == want(rows, [1, 3, 4, 5, 6])
+
+
 def test_rounding_keeps_expectations():
     sizes, p, total = np.array([50.0, 9, 7, 5, 3, 1]), 0.3, np.zeros(6)
     for seed in range(4000):

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, text_or_empty, written
+from .common import ascii_lower, rows_that_stay, text_or_empty, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -84,8 +84,13 @@ def _occurrences(docs: DataFrame, known: DataFrame, size: int, small: bool) -> D
     return held.where(F.slice("words", F.col("start") + 1, F.col("wlen")) == F.col("wwords")).select("key", "start", "wlen", "wid")
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 13, shingle: int = 5, share: int = 20, broadcast_windows: int = 200_000) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for every row of ``docs``."""
+    return _keyed_contamination(docs, items, **options).drop("key")
+
+
+def _keyed_contamination(docs: DataFrame, items: DataFrame, window: int = 13, shingle: int = 5, share: int = 20, broadcast_windows: int = 200_000) -> DataFrame:
+    """The columns of ``contamination`` and ``key``, the hash of the row's id and text."""
     known, owners = windows(items, window)
     by_size = {r[0]: r[1] for r in known.groupBy(F.least(F.lit(shingle), F.col("wlen"))).count().collect()}
     small = sum(by_size.values()) <= broadcast_windows
@@ -107,6 +112,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, shingle:
     n_hit = F.coalesce("n_hit", F.lit(0))
     return base.join(marked, "key", "left").select(
         "doc_id",
+        "key",
         "n_words",
         n_hit.alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).alias("n_items"),
@@ -117,5 +123,6 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, shingle:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
-    gone = written(contamination(docs, items, **options).where("contaminated").select(F.col("doc_id").alias("_id")).distinct(), "bench-gone")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    marked = _keyed_contamination(docs, items, **options).select("doc_id", F.col("key").alias("mark"), (~F.col("contaminated")).alias("stay"))
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows_that_stay(docs, key, marked, "bench-gone", one_each=False)

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW_BITS, text_or_empty, written
+from .common import ROW_BITS, rows_that_stay, text_or_empty, written
 
 KEY = ["digest", "n_bare", "check"]
 BLANK = r"[\x20\x09-\x0D]+"
@@ -80,25 +80,9 @@ def exact_groups(docs: DataFrame, step: int = 4) -> DataFrame:
 def drop_exact(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one per group, with all their columns.
 
-    Documents are found again by doc_id and digest; ids that several rows share
-    keep one row for each digest that stays.
+    Rows are found again by doc_id and digest; where several rows share both, the one
+    with the most characters stays, then the earlier one.
     """
-    found = written(exact_groups(docs), "exact-groups")
-    gone = found.where("not kept").select("doc_id", "text_sha256")
-    stays = found.where("kept").select("doc_id", "text_sha256")
-    # Same id and digest on both lists: copies of one row.
-    again = gone.join(stays, (gone["doc_id"].eqNullSafe(stays["doc_id"])) & (gone["text_sha256"] == stays["text_sha256"]), "left_semi").distinct()
-    again = written(again, "exact-again")
-    if again.isEmpty():
-        return docs.join(gone.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    keyed = docs.withColumn("_sha", F.sha2(bare(text_or_empty()).cast("binary"), 256))
-
-    def on(side: DataFrame):
-        side = side.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
-        return side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_digest"))
-
-    copies, copies_on = on(again)
-    other, other_on = on(gone)
-    one_each = keyed.join(copies, copies_on, "left_semi").dropDuplicates(["doc_id", "_sha"])
-    rest = keyed.join(copies, copies_on, "left_anti").join(other, other_on, "left_anti")
-    return rest.unionByName(one_each).drop("_sha")
+    found = exact_groups(docs).select("doc_id", F.col("text_sha256").alias("mark"), F.col("kept").alias("stay"))
+    mark = F.sha2(bare(text_or_empty()).cast("binary"), 256)
+    return rows_that_stay(docs, mark, found, "exact-gone", order=-F.char_length(text_or_empty()))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import text_or_empty, written
+from .common import rows_that_stay, text_or_empty, written
 from .components import components
 
 SEED = 42
@@ -92,26 +92,32 @@ def near_links(prints: DataFrame) -> DataFrame:
     return met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= 3).select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint and component_id for every row of ``docs``."""
-    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprints(text_or_empty()).alias("fp")), "simhash-rows")
-    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
+def _members(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, mark (the text's hash) and, as ``best``, the doc_id and mark that stand for the row's component."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprints(text_or_empty()).alias("fp"), F.xxhash64(text_or_empty()).alias("mark"))
+    rows = written(rows, "simhash-rows")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark"))
+    classes = written(rows.groupBy("fp").agg(least.alias("least")), "simhash-classes")
     links = components(near_links(classes.select("fp")), "simhash-links")
     # Groups of one class name themselves; only linked classes are looked up.
     linked = classes.join(links.select(F.col("node").alias("fp"), "root"), "fp")
     best = linked.select("root", "least").union(classes.join(links.select(F.col("root").alias("fp")).distinct(), "fp", "left_semi").select("fp", "least"))
-    best = best.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = links.join(best, "root").select(F.col("node").alias("fp"), "component_id").union(best.select("root", "component_id"))
-    ids = written(classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "simhash-ids")
-    return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    best = best.groupBy("root").agg(F.min("least").alias("best"))
+    named = links.join(best, "root").select(F.col("node").alias("fp"), "best").union(best.select("root", "best"))
+    ids = written(classes.join(named, "fp", "left").select("fp", F.coalesce("best", "least").alias("best")), "simhash-ids")
+    return rows.join(ids, "fp").select("doc_id", "fp", "mark", "best")
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint and component_id for every row of ``docs``."""
+    return _members(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.doc_id").alias("component_id"))
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """One document of each group of near-duplicates, the smallest doc_id, with all columns.
+    """One row of each group of near-duplicates, that of the smallest doc_id, with all columns.
 
-    Rows that share the doc_id that stays all stay; rows without an id stay only
-    in groups without any id.
+    Rows are told apart by doc_id and text.  Rows without an id stay only in groups
+    without any id, one in each; of rows that share id and text, the earlier one stays.
     """
-    gone = near_groups(docs).where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("_id")).distinct()
-    gone = written(gone, "simhash-gone")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    stay = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("mark") == F.col("best.mark"))
+    return rows_that_stay(docs, F.xxhash64(text_or_empty()), _members(docs).select("doc_id", "mark", stay.alias("stay")), "simhash-gone")
