@@ -24,26 +24,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def rows_that_stay(docs: DataFrame, mark: Column, marked: DataFrame, label: str, one_each: bool = True, order: Column | None = None) -> DataFrame:
-    """The rows of ``docs`` that stay by ``marked`` (doc_id, mark, stay), one row of it for each row of ``docs``, with all columns.
-
-    Rows are told apart by doc_id (null-safe) and ``mark``, which stands for their text, never by
-    doc_id alone.  With ``one_each`` a pair of the two that stays keeps one row, the first by
-    ``order`` and then the earlier one.
-    """
-    keys = marked.groupBy("doc_id", "mark").agg(F.bool_or("stay").alias("stay"), F.count(F.lit(1)).alias("n"))
-    keys = written(keys.where("not stay or n > 1" if one_each else "not stay").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_known"), "stay"), label)
-    keyed = docs.withColumn("_mark", mark)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_known"))
-    rest = keyed.join(keys.drop("stay"), same, "left_anti").drop("_mark")
-    if not one_each or keys.where("stay").isEmpty():
-        return rest
-    ranked = keyed.withColumn("_order", F.struct(*([order] if order is not None else []), F.monotonically_increasing_id()))
-    again = ranked.join(keys.where("stay").drop("stay"), same, "left_semi")
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return rest.unionByName(again.groupBy("doc_id", "_mark").agg(F.min_by(whole, "_order").alias("_row")).select("_row.*"))
-
-
 MASK_BITS = 6  # rows of 64 share one mask
 MASKS = 1_000_000  # masks broadcast at once, some 40 bytes each
 

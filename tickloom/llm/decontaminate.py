@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, rows_that_stay, text_or_empty, written
+from .common import addressed, ascii_lower, rows_by_mark, text_or_empty, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -55,7 +55,7 @@ def windows(items: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _tokenised(docs: DataFrame) -> DataFrame:
-    return docs.select(F.xxhash64("doc_id", "text").alias("key"), words_of(text_or_empty()).alias("words"))
+    return docs.select("key", words_of(text_or_empty()).alias("words"))
 
 
 def _occurrences(docs: DataFrame, known: DataFrame, size: int, small: bool) -> DataFrame:
@@ -86,17 +86,18 @@ def _occurrences(docs: DataFrame, known: DataFrame, size: int, small: bool) -> D
 
 def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for every row of ``docs``."""
-    return _keyed_contamination(docs, items, **options).drop("key")
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    return _keyed_contamination(keyed, items, **options).drop("key")
 
 
 def _keyed_contamination(docs: DataFrame, items: DataFrame, window: int = 13, shingle: int = 5, share: int = 20, broadcast_windows: int = 200_000) -> DataFrame:
-    """The columns of ``contamination`` and ``key``, the hash of the row's id and text."""
+    """The columns of ``contamination`` and ``key``, by which ``docs`` (doc_id, text, key) tells documents apart."""
     known, owners = windows(items, window)
     by_size = {r[0]: r[1] for r in known.groupBy(F.least(F.lit(shingle), F.col("wlen"))).count().collect()}
     small = sum(by_size.values()) <= broadcast_windows
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "key")
     parts = [_occurrences(docs, known.where(F.least(F.lit(shingle), F.col("wlen")) == size), size, small) for size in sorted(by_size)]
-    base = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.regexp_count(text_or_empty(), F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"))
+    base = docs.select("doc_id", "key", F.regexp_count(text_or_empty(), F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"))
     nothing = docs.sparkSession.createDataFrame([], "key long, start int, wlen int, wid long")
     hits = nothing
     for part in parts:
@@ -123,6 +124,6 @@ def _keyed_contamination(docs: DataFrame, items: DataFrame, window: int = 13, sh
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
-    marked = _keyed_contamination(docs, items, **options).select("doc_id", F.col("key").alias("mark"), (~F.col("contaminated")).alias("stay"))
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows_that_stay(docs, key, marked, "bench-gone", one_each=False)
+    rows = addressed(docs, "bench-docs")
+    found = _keyed_contamination(rows.select("row.doc_id", "row.text", F.col("at").alias("key")), items, **options)
+    return rows_by_mark(rows, found.where("contaminated").select(F.col("key").alias("at")), "bench-gone", marked=False).select("row.*")

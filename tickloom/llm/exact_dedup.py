@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW_BITS, rows_that_stay, text_or_empty, written
+from .common import ROW_BITS, addressed, rows_by_mark, text_or_empty, written
 
 KEY = ["digest", "n_bare", "check"]
 BLANK = r"[\x20\x09-\x0D]+"
@@ -34,17 +34,18 @@ def bare(text: Column) -> Column:
     return F.regexp_replace(text, BLANK, "")
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, *more: str) -> DataFrame:
     """One small row per document: digest key, rank of the row and the run (input partition) it belongs to."""
     rows = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_text"))
-        .select("doc_id", F.char_length("_text").cast("long").alias("n_chars"), bare(F.col("_text")).alias("_bare"))
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_text"), *more)
+        .select("doc_id", F.char_length("_text").cast("long").alias("n_chars"), bare(F.col("_text")).alias("_bare"), *more)
         .select(
             "doc_id",
             F.unhex(F.sha2(F.col("_bare").cast("binary"), 256)).alias("digest"),
             F.octet_length("_bare").cast("long").alias("n_bare"),
             F.xxhash64("_bare").alias("check"),
             F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.monotonically_increasing_id().alias("row")).alias("best"),
+            *more,
         )
         .withColumn("node", F.shiftright("best.row", ROW_BITS))
     )
@@ -53,7 +54,10 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def exact_groups(docs: DataFrame, step: int = 4) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 for every row of ``docs``."""
-    rows = digests(docs)
+    return _groups(digests(docs), step)
+
+
+def _groups(rows: DataFrame, step: int = 4, *more: str) -> DataFrame:
     merged = rows.groupBy("node", *KEY).agg(F.min("best").alias("best"), F.count(F.lit(1)).alias("n"))
     levels = [written(merged, "exact-run0")]
     last = rows.agg(F.max("node")).first()[0] or 0
@@ -74,15 +78,12 @@ def exact_groups(docs: DataFrame, step: int = 4) -> DataFrame:
         F.coalesce("total", F.lit(1)).cast("long").alias("group_size"),
         (keep["row"] == F.col("best.row")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        *more,
     )
 
 
 def drop_exact(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, one per group, with all their columns.
-
-    Rows are found again by doc_id and digest; where several rows share both, the one
-    with the most characters stays, then the earlier one.
-    """
-    found = exact_groups(docs).select("doc_id", F.col("text_sha256").alias("mark"), F.col("kept").alias("stay"))
-    mark = F.sha2(bare(text_or_empty()).cast("binary"), 256)
-    return rows_that_stay(docs, mark, found, "exact-gone", order=-F.char_length(text_or_empty()))
+    """The rows of ``docs`` that stay, one per group, with all their columns."""
+    rows = addressed(docs, "exact-docs")
+    found = _groups(digests(rows.select("row.doc_id", "row.text", "at"), "at"), 4, "at")
+    return rows_by_mark(rows, found.where("not kept").select("at"), "exact-gone", marked=False).select("row.*")

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import rows_that_stay, text_or_empty, written
+from .common import addressed, rows_by_mark, text_or_empty, written
 from .components import components
 
 SEED = 42
@@ -92,11 +92,9 @@ def near_links(prints: DataFrame) -> DataFrame:
     return met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= 3).select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
 
 
-def _members(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, mark (the text's hash) and, as ``best``, the doc_id and mark that stand for the row's component."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprints(text_or_empty()).alias("fp"), F.xxhash64(text_or_empty()).alias("mark"))
-    rows = written(rows, "simhash-rows")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark"))
+def _members(rows: DataFrame, *more: str) -> DataFrame:
+    """doc_id, fp and, as ``best``, the least (unnamed, doc_id, *more) of the row's component, of ``rows`` (doc_id, fp, *more)."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", *more))
     classes = written(rows.groupBy("fp").agg(least.alias("least")), "simhash-classes")
     links = components(near_links(classes.select("fp")), "simhash-links")
     # Groups of one class name themselves; only linked classes are looked up.
@@ -105,19 +103,21 @@ def _members(docs: DataFrame) -> DataFrame:
     best = best.groupBy("root").agg(F.min("least").alias("best"))
     named = links.join(best, "root").select(F.col("node").alias("fp"), "best").union(best.select("root", "best"))
     ids = written(classes.join(named, "fp", "left").select("fp", F.coalesce("best", "least").alias("best")), "simhash-ids")
-    return rows.join(ids, "fp").select("doc_id", "fp", "mark", "best")
+    return rows.join(ids, "fp").select("doc_id", "fp", *more, "best")
+
+
+def _printed(docs: DataFrame, *more: str) -> DataFrame:
+    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprints(text_or_empty()).alias("fp"), *more), "simhash-rows")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint and component_id for every row of ``docs``."""
-    return _members(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.doc_id").alias("component_id"))
+    return _members(_printed(docs)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.doc_id").alias("component_id"))
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """One row of each group of near-duplicates, that of the smallest doc_id, with all columns.
-
-    Rows are told apart by doc_id and text.  Rows without an id stay only in groups
-    without any id, one in each; of rows that share id and text, the earlier one stays.
-    """
-    stay = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("mark") == F.col("best.mark"))
-    return rows_that_stay(docs, F.xxhash64(text_or_empty()), _members(docs).select("doc_id", "mark", stay.alias("stay")), "simhash-gone")
+    """One row of each group of near-duplicates, that of the smallest doc_id and then the first, with all columns."""
+    rows = addressed(docs, "simhash-docs")
+    found = _members(_printed(rows.select("row.doc_id", "row.text", "at"), "at"), "at")
+    gone = found.where(F.col("at") != F.col("best.at")).select("at")
+    return rows_by_mark(rows, gone, "simhash-gone", marked=False).select("row.*")
