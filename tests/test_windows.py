@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from helpers import panel
-from tickloom.functions import window as W
+from tickloom.functions.ewm import Ewm, ewm
 from tickloom.functions.rolling import Roll, rolling
 
 RNG = np.random.default_rng(5)
@@ -52,7 +52,7 @@ def test_constant_frame_has_exactly_zero_deviation(frame):
 def test_ewm(frame):
     df, _ = frame
     x = pd.Series(X)
-    out = df.withColumns({"m": W.ewm_mean("x", halflife=20, min_periods=20), "s": W.ewm_std("x", halflife=20, min_periods=20)})
+    out = ewm(df, [Ewm("m", "mean", "x", halflife=20, min_periods=20), Ewm("s", "std", "x", halflife=20, min_periods=20)])
     close(series(out, "m"), x.ewm(halflife=20, min_periods=20).mean())
     close(series(out, "s"), x.ewm(halflife=20, min_periods=20).std(), 1e-4)
 
@@ -62,7 +62,7 @@ def test_ewm_of_a_long_series_with_a_gap(spark):
     x = pd.Series(np.cumsum(rng.normal(size=50_000)) + 100)
     x[20_000:20_600] = np.nan
     df = spark.createDataFrame([("A", i, None if np.isnan(v) else float(v)) for i, v in enumerate(x)], "symbol string, pos long, x double")
-    out = df.withColumns({"m": W.ewm_mean("x", span=8, min_periods=3), "s": W.ewm_std("x", halflife=20, min_periods=20), "ts": W.col("pos")})
+    out = ewm(df, [Ewm("m", "mean", "x", span=8, min_periods=3), Ewm("s", "std", "x", halflife=20, min_periods=20)])
     got = out.orderBy("pos").toPandas()
     np.testing.assert_allclose(got["s"], x.ewm(halflife=20, min_periods=20).std(), rtol=1e-6)
     filled = got["m"].notna()

@@ -74,36 +74,3 @@ def grid_cells(grid: dict[str, Iterable]) -> list[dict]:
         {"cell_id": i, **dict(zip(names, values))}
         for i, values in enumerate(product(*[list(v) for v in grid.values()]))
     ]
-
-
-def sweep(
-    cells: list[dict], build: Callable[..., DataFrame]
-) -> DataFrame:
-    """One plan for all cells: the union of the per-cell plans.
-
-    A cell whose plan cannot be built contributes a row with its error instead
-    of stopping the sweep.  Parameters that are data (quantiles, fractions,
-    costs) are better passed as a key column of one plan; this form is for
-    frame lengths, which a window specification needs as constants.
-    """
-    good, bad = [], []
-    for cell in cells:
-        params = {k: v for k, v in cell.items() if k != "cell_id"}
-        try:
-            good.append(build(**params).withColumns(
-                {"cell_id": F.lit(int(cell["cell_id"])).cast("long"), **{k: F.lit(float(v)) for k, v in params.items()},
-                 "error": F.lit(None).cast("string")}))
-        except Exception as exc:  # noqa: BLE001 - reported as data
-            bad.append((cell, str(exc)))
-    if not good:
-        raise ValueError(f"every cell failed: {bad}")
-    out = reduce(DataFrame.unionByName, good)
-    spark = out.sparkSession
-    for cell, message in bad:
-        row = spark.range(1).select(
-            F.lit(int(cell["cell_id"])).cast("long").alias("cell_id"),
-            *[F.lit(float(v)).alias(k) for k, v in cell.items() if k != "cell_id"],
-            F.lit(message).alias("error"),
-        )
-        out = out.unionByName(row, allowMissingColumns=True)
-    return out

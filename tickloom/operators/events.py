@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.window import cumulative, trailing
+from ..functions.rolling import Roll, rolling
+from ..functions.window import cumulative
 from .align import event_window, snap
 
 DATE_COLUMNS = (
@@ -40,12 +41,12 @@ def event_weights(
 ) -> DataFrame:
     """Overlapping cohorts: each event holds weight * side for ``hold`` bars.
 
-    Cohorts add up; a date whose gross exceeds ``max_gross`` is scaled down.
-    Returns the panel with column ``w``.
+    Cohorts add up; a date whose gross exceeds ``max_gross`` is scaled down.  ``side`` is -1, 0 or 1:
+    what is live is counted in whole cohorts, so sums are exact.  Returns the panel with column ``w``.
     """
     date = date or date_column(events)
-    sign = F.lit(1.0) if side is None else (F.col(side) if isinstance(side, str) else side)
-    per_day = events.groupBy("symbol", date).agg(F.sum(sign.cast("double")).alias("_s"))
+    sign = F.lit(1) if side is None else (F.col(side) if isinstance(side, str) else side)
+    per_day = events.groupBy("symbol", date).agg(F.sum(sign.cast("long")).alias("_s"))
     starts = (
         snap(per_day, calendar, date)
         .withColumn("pos", F.col("pos_back") + lag)
@@ -54,16 +55,13 @@ def event_weights(
         .agg(F.sum("_s").alias("_start"))
     )
     out = panel.join(starts, ["symbol", "pos"], "left")
-    live = F.sum(F.coalesce("_start", F.lit(0.0))).over(trailing(hold))
-    out = out.withColumn("w", live * F.lit(float(weight))).drop("_start")
-    return cap_gross(out, max_gross)
-
-
-def cap_gross(df: DataFrame, max_gross: float, by: tuple[str, ...] = ("ts",)) -> DataFrame:
-    gross = F.sum(F.abs("w")).over(Window.partitionBy(*by))
-    return df.withColumn(
-        "w", F.when(gross > max_gross, F.col("w") * max_gross / gross).otherwise(F.col("w"))
-    )
+    start = F.coalesce("_start", F.lit(0).cast("long"))
+    counted = Roll("_live", "sum", "_start", hold, 0)  # sums of whole numbers, exact in doubles
+    out = rolling(out.withColumn("_start", start), [counted]).withColumn("_live", F.col("_live").cast("long"))
+    gross = F.sum(F.abs("_live")).over(Window.partitionBy("ts"))
+    capped = F.col("_live") * F.lit(float(max_gross)) / gross
+    plain = F.col("_live") * F.lit(float(weight))
+    return out.withColumn("w", F.when(gross * F.lit(float(weight)) > max_gross, capped).otherwise(plain)).drop("_start", "_live")
 
 
 def abnormal_return(panel: DataFrame, out: str = "ar") -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import day, div
 from ..functions.stats import cagr, compound_return, correlation, sample_kurtosis, sample_skew, sharpe, sortino
-from ..functions.window import cumulative, ordered, roll, roll_pair
+from ..functions.rolling import Roll, rolling
+from ..functions.window import cumulative, ordered
 from .sessions import downsample
 
 RUN = ("run_id",)
@@ -221,18 +222,15 @@ def rolling_stats(
 ) -> DataFrame:
     """Rolling Sharpe, volatility and beta; warm-up rows dropped."""
     d = daily.filter(F.col("net").isNotNull())
-    sd = roll(F.stddev_samp, "net", window, keys=keys)
-    cols = {
-        "sharpe": div(roll(F.avg, "net", window, keys=keys), sd) * math.sqrt(ppy),
-        "vol": sd * math.sqrt(ppy),
-        "_rn": F.row_number().over(ordered(keys)),
-    }
+    rolls = [Roll("_avg", "avg", "net", window), Roll("_sd", "std", "net", window)]
     if bench:
         # Covariance over the pairs, variance over the benchmark's own values.
-        cov = roll_pair(F.covar_samp, "net", bench, window, keys=keys)
-        var = roll(F.var_samp, bench, window, keys=keys)
-        cols["beta"] = div(cov, F.when(var > 0, var))
-    out = d.withColumns(cols).filter(F.col("_rn") >= window).drop("_rn")
+        rolls += [Roll("_cov", "cov", "net", window, y=bench), Roll("_var", "var", bench, window)]
+    d = rolling(d.withColumn("_rn", F.row_number().over(ordered(keys))), rolls, keys)
+    cols = {"sharpe": div("_avg", "_sd") * math.sqrt(ppy), "vol": F.col("_sd") * math.sqrt(ppy)}
+    if bench:
+        cols["beta"] = div("_cov", F.when(F.col("_var") > 0, F.col("_var")))
+    out = d.withColumns(cols).filter(F.col("_rn") >= window).drop("_rn", *[r.out for r in rolls])
     return downsample(out, list(keys), points)
 
 

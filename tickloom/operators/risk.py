@@ -7,8 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ewm import Ewm, ewm
+from ..functions.rolling import Roll, rolling
 from ..functions.scalar import EPS, clip, col, div, finite, positive
-from ..functions.window import cumulative, ewm_mean, ewm_std, ordered, roll, shift
+from ..functions.window import cumulative, ordered, shift
 from .machines import rebalance_band
 
 
@@ -25,11 +27,13 @@ def ex_ante_vol(
 ) -> DataFrame:
     """Annualised volatility known before the bar (lagged one bar)."""
     if method == "ewma":
-        v = F.sqrt(ewm_mean(F.col(ret) * F.col(ret), halflife=halflife, min_periods=min_periods, keys=keys, pos=order))
+        squares = df.withColumn("_v", F.col(ret) * F.col(ret))
+        df = ewm(squares, [Ewm("_v", "mean", "_v", halflife=halflife, min_periods=min_periods)], keys, order)
+        v = F.sqrt("_v")
     elif method == "ewma_std":
-        v = ewm_std(ret, halflife=halflife, min_periods=min_periods, keys=keys, pos=order)
+        df, v = ewm(df, [Ewm("_v", "std", ret, halflife=halflife, min_periods=min_periods)], keys, order), F.col("_v")
     elif method == "rolling":
-        v = roll(F.stddev_samp, ret, max(2, round(halflife)), min_periods, keys=keys, order=order)
+        df, v = rolling(df, [Roll("_v", "std", ret, max(2, round(halflife)), min_periods)], keys, order), F.col("_v")
     else:
         raise ValueError(f"unknown method {method!r}")
     df = df.withColumn("_v", v * F.lit(math.sqrt(ann)))

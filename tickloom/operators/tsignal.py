@@ -7,15 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ewm import Ewm, ewm
 from ..functions.rolling import Roll, rolling
 from ..functions.scalar import EPS, clip, col, div, finite, null_mean, positive
-from ..functions.window import (
-    cumulative,
-    ewm_mean,
-    pct_change,
-    roll,
-    shift,
-)
+from ..functions.window import cumulative, pct_change, shift
 
 XOVER_SPANS = ((8, 24), (16, 48), (32, 96))
 
@@ -74,11 +69,11 @@ def channel_ensemble(
     out: str = "signal",
 ) -> DataFrame:
     """Mean position inside the lagged high-low channel, each clipped to ±1."""
-    edges = {}
+    edges = []
     for n in lookbacks:
         mp = max(2, int(n * frac))
-        edges |= {f"_hi{n}": roll(F.max, px, n, mp, 1), f"_lo{n}": roll(F.min, px, n, mp, 1)}
-    df = df.withColumns(edges)
+        edges += [Roll(f"_hi{n}", "max", px, n, mp, 1), Roll(f"_lo{n}", "min", px, n, mp, 1)]
+    df = rolling(df, edges)
     place = {
         f"_c{n}": div(
             (F.col(px) - F.col(f"_lo{n}")) * 2.0, positive(F.col(f"_hi{n}") - F.col(f"_lo{n}"))
@@ -86,7 +81,7 @@ def channel_ensemble(
         - 1.0
         for n in lookbacks
     }
-    df = df.withColumns(place).drop(*edges)
+    df = df.withColumns(place).drop(*[e.out for e in edges])
     df = df.withColumns({c: clip(c, -1.0, 1.0) for c in place})
     return vote(df, list(place), out, clamp)
 
@@ -103,7 +98,7 @@ def crossover_ensemble(
 ) -> DataFrame:
     """EWMA crossovers scaled by lagged price deviation, then by their own."""
     span_set = sorted({s for pair in spans for s in pair})
-    df = df.withColumns({f"_e{s}": ewm_mean(px, span=s, min_periods=s) for s in span_set})
+    df = ewm(df, [Ewm(f"_e{s}", "mean", px, span=s, min_periods=s) for s in span_set])
     k = range(len(spans))
     scale = Roll("_scale", "pstd", px, vol_window, max(3, int(vol_window * frac)), 1)
     df = rolling(df, [scale]).withColumns(
