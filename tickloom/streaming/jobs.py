@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.files import validate_bars
-from ..sources.store import append_audit, audit_row, write_bars
+from ..sources.store import write_bars
 
 
 def land_increment(
@@ -15,23 +15,22 @@ def land_increment(
     source: str,
     schema,
     store: str,
-    audit: str,
     checkpoint: str,
     freq: str = "1d",
     provider: str = "landed",
     seq: str = "seq",
 ) -> StreamingQuery:
-    """Land new bar files into the store.
+    """Land new bar files into the store, each micro-batch with its audit rows.
 
-    Each micro-batch is an upsert, so replaying a batch after a failure leaves
-    the same store; a later correction of a bar replaces the earlier one.
+    A batch is published once under the query's id, which the checkpoint keeps, and its number: a
+    replay of a published batch does nothing, one of an unpublished batch starts afresh.  A later
+    correction of a bar wins over the earlier one.
     """
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         spark_ = batch.sparkSession
-        rows = validate_bars(batch, seq=seq)
-        write_bars(spark_, rows, store, freq)
-        append_audit(audit_row(rows, freq, provider, detail=f"batch {batch_id}"), audit)
+        query = spark_.sparkContext.getLocalProperty("sql.streaming.queryId")
+        write_bars(spark_, validate_bars(batch, seq=seq), store, freq, f"{query}-{batch_id}", provider, f"batch {batch_id}")
 
     return (
         spark.readStream.schema(schema)
