@@ -154,13 +154,12 @@ def event_window(events: DataFrame, first: Column, last: Column) -> DataFrame:
 def legs(pairs: DataFrame, prices: DataFrame, value: str = "tr") -> DataFrame:
     """Prices of both legs of each pair per bar.
 
-    The pair list is a driver-side parameter list, so it is broadcast; each leg
-    keeps only its own symbol's rows.
+    The pair list may be derived from data, so the size at run time decides how it is joined.
     """
     px = prices.select("symbol", "ts", "pos", value)
     a = px.select(
         F.col("symbol").alias("symbol_a"), "ts", "pos", F.col(value).alias("a")
-    ).join(F.broadcast(pairs), "symbol_a")
+    ).join(pairs, "symbol_a")
     b = px.select(F.col("symbol").alias("symbol_b"), "ts", F.col(value).alias("b"))
     return a.join(b, ["symbol_b", "ts"]).select(
         "pair_id", "symbol_a", "symbol_b", "ts", "pos", "a", "b"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rolling import Roll, rolling
@@ -13,6 +13,21 @@ from ..functions.window import cumulative
 PAIR = ("pair_id",)
 
 
+def neighbours(panel: DataFrame, formation: int = 504, group: str = "sector") -> DataFrame:
+    """Pairs (pair_id, symbol_a, symbol_b): each symbol with the next one of its sector by beta.
+
+    The beta to the sector's mean return over the first ``formation`` bars places symbols on one
+    line, so near ones are found by one sort of a sector's symbols, never by comparing all of them.
+    """
+    early = panel.filter((F.col("pos") < formation) & F.col("ret").isNotNull())
+    early = early.withColumn("_m", F.avg("ret").over(Window.partitionBy(group, "ts")))
+    beta = div(F.covar_pop("ret", "_m"), F.var_pop("_m"))
+    placed = early.groupBy(group, "symbol").agg(F.round(beta, 9).alias("_b")).filter(F.col("_b").isNotNull())
+    other = F.lead("symbol").over(Window.partitionBy(group).orderBy("_b", "symbol"))
+    pairs = placed.select(F.col("symbol").alias("symbol_a"), other.alias("symbol_b")).filter(F.col("symbol_b").isNotNull())
+    return pairs.select(F.concat_ws("/", "symbol_a", "symbol_b").alias("pair_id"), "symbol_a", "symbol_b")
+
+
 def is_refit(formation: int = 252, every: int = 21):
     return (F.col("pos") >= formation) & ((F.col("pos") - formation) % every == 0)
 
@@ -157,9 +172,10 @@ def pair_signals(pairs: DataFrame, formation=252, every=21, z_window=63, min_hl=
     return spread_z(df.withColumn("tradable", F.coalesce("tradable", F.lit(False))), z_window, method=method)
 
 
-def pair_book(states: DataFrame, n_pairs: int, gross: float = 1.0) -> DataFrame:
+def pair_book(states: DataFrame, n_pairs: Column | int, gross: float = 1.0) -> DataFrame:
     """Legs of each pair's position, beta-weighted, summed per symbol."""
-    unit = F.lit(gross / max(1, n_pairs)) / (1 + F.coalesce(F.abs("beta"), F.lit(0.0)))
+    n = n_pairs if isinstance(n_pairs, Column) else F.lit(n_pairs)
+    unit = F.lit(float(gross)) / F.greatest(n, F.lit(1)) / (1 + F.coalesce(F.abs("beta"), F.lit(0.0)))
     side = F.col("position").cast("double")
     a = states.select(F.col("symbol_a").alias("symbol"), "ts", (side * unit).alias("w"))
     b = states.select(

@@ -68,6 +68,12 @@ def symbols(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def hedges(spark: SparkSession, sf: str) -> DataFrame:
+    """(symbol, hedge): each symbol's next one in its sector, the last of a sector has none."""
+    follower = F.lead("symbol").over(Window.partitionBy("sector").orderBy("symbol"))
+    return symbols(spark, sf).select("symbol", follower.alias("hedge")).filter(F.col("hedge").isNotNull())
+
+
 BROADCAST_LIMIT = 64 << 20
 
 

@@ -13,7 +13,7 @@ from ...operators import accounting, align, metrics
 from .. import adapters as A
 from . import sqlbase as S
 from .common import sample_book
-from .joins import PAIR_VALUES, pair_list
+from .joins import PAIRS_SQL, pair_list
 from .registry import query
 
 BARS, PANEL = S.with_(S.BARS), S.with_(S.PANEL)
@@ -215,9 +215,8 @@ def against_market(spark, sf):
     )
 
 
-LEGS_SQL = f"""
-pairs(pair_id, sa, sb) AS (VALUES {PAIR_VALUES}),
-legs AS (SELECT pair_id, sa, sb, a.ts, a.pos, a.tr AS a, b.tr AS b FROM pairs JOIN panel a ON a.symbol = sa
+LEGS_SQL = f"""{PAIRS_SQL},
+legs AS MATERIALIZED (SELECT pair_id, sa, sb, a.ts, a.pos, a.tr AS a, b.tr AS b FROM pairs JOIN panel a ON a.symbol = sa
   JOIN panel b ON b.symbol = sb AND a.ts = b.ts)"""
 
 
@@ -228,7 +227,7 @@ legs AS (SELECT pair_id, sa, sb, a.ts, a.pos, a.tr AS a, b.tr AS b FROM pairs JO
 WHERE a > 0 AND b > 0 GROUP BY pair_id""",
 )
 def hedge_ratio(spark, sf):
-    legs = align.legs(pair_list(spark), A.panel(spark, sf))
+    legs = align.legs(pair_list(spark, sf), A.panel(spark, sf))
     return legs.groupBy("pair_id").agg(
         R(stats.ols_log_slope("a", "b")).alias("beta"), R(stats.mean_ratio("a", "b")).alias("ratio")
     )
@@ -244,7 +243,7 @@ f AS (SELECT pair_id, regr_slope(s - p, p) AS b, count(*) AS n FROM l GROUP BY p
 SELECT pair_id, n, {r("CASE WHEN n < 10 THEN NULL WHEN b >= -1e-12 THEN 1e9 WHEN 1 + b <= 0 THEN 0 ELSE -ln(2) / ln(1 + b) END", 4)} AS half_life FROM f""",
 )
 def ar1_half_life(spark, sf):
-    legs = align.legs(pair_list(spark), A.panel(spark, sf)).filter((F.col("a") > 0) & (F.col("b") > 0))
+    legs = align.legs(pair_list(spark, sf), A.panel(spark, sf)).filter((F.col("a") > 0) & (F.col("b") > 0))
     s = legs.withColumn("s", F.ln("a") - F.ln("b"))
     s = s.withColumn("p", shift("s", 1, ("pair_id",), "pos"))
     f = s.groupBy("pair_id").agg(

@@ -103,12 +103,42 @@ def roll_by_expiry(spark, sf):
     return held.join(F.broadcast(c), "pos").select("asset_code", "ts", "held")
 
 
-@query("ADJ-03b")
+def activity_sql(measure):
+    """Walk over bars: the held contract's number and the count of consecutive leads of the next one."""
+    return f"""
+lead AS MATERIALIZED (
+  SELECT c.asset_code, c.k, p.pos, CAST(p.ts AS DATE) >= c.expiry - 3 AS due,
+    coalesce(q.{measure} > p.{measure}, FALSE) AS ahead, n.k IS NOT NULL AS more
+  FROM chain c JOIN panel p ON p.symbol = c.symbol
+  LEFT JOIN chain n ON n.asset_code = c.asset_code AND n.k = c.k + 1
+  LEFT JOIN panel q ON q.symbol = n.symbol AND q.pos = p.pos),
+walk AS (
+  SELECT DISTINCT asset_code, CAST(-1 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS k, 0 AS run FROM chain
+  UNION ALL
+  SELECT asset_code, pos, k + CAST(goes AS BIGINT), CASE WHEN goes THEN 0 ELSE run END
+  FROM (SELECT w.asset_code, w.pos + 1 AS pos, w.k, CASE WHEN l.more AND l.ahead THEN w.run + 1 ELSE 0 END AS run,
+      l.more AND (l.due OR (l.ahead AND w.run >= 1)) AS goes
+    FROM walk w JOIN lead l ON l.asset_code = w.asset_code AND l.k = w.k AND l.pos = w.pos + 1))"""
+
+
+def activity_query(measure):
+    return S.with_(S.PANEL, CHAIN_SQL, activity_sql(measure)) + (
+        " SELECT w.asset_code, symbol AS held, pos FROM walk w JOIN chain c ON c.asset_code = w.asset_code AND c.k = w.k WHERE pos >= 0"
+    )
+
+
+@query("ADJ-03b", activity_query("volume"))
 def roll_by_open_interest(spark, sf):
     bars = futures_bars(spark, sf)
     return futures.held_by_activity(bars, contracts(spark, sf), "oi")
 
 
+@query("ADJ-03c", activity_query("value"))
+def roll_by_traded_value(spark, sf):
+    bars = A.panel(spark, sf).select("symbol", "ts", "pos", "value")
+    return futures.held_by_activity(bars, contracts(spark, sf), "value")
+
+
 @query(
     "ADJ-04",
     S.with_(S.PANEL, CHAIN_SQL, HELD_SQL)
@@ -146,11 +176,8 @@ SELECT p.symbol, p.ts, {r("CASE WHEN l.ts IS NOT NULL THEN -0.3 ELSE ret END", 8
 FROM panel p LEFT JOIN last l ON l.symbol = p.symbol AND l.ts = p.ts""",
 )
 def delisting(spark, sf):
-    listings = A.symbols(spark, sf).select(
-        "symbol", F.when(F.col("symbol").like("%5"), F.lit("2000-03-15")).alias("listed_to")
-    )
     p = A.panel(spark, sf).select("symbol", "ts", "ret")
-    return adjust.delisting_returns(p, listings).select("symbol", "ts", R("ret", 8).alias("ret"))
+    return adjust.delisting_returns(p, listings(spark, sf)).select("symbol", "ts", R("ret", 8).alias("ret"))
 
 
 @query(
@@ -199,8 +226,10 @@ def benchmark_excluded(spark, sf):
     S.with_(S.PANEL + S.EVENTS, S.SPLITS, S.DIVS, ADJ_SQL, TR_SQL, S.MEMBERS)
     + f"""
 , snap AS (SELECT c.ts, (SELECT max(date) FROM membership m WHERE m.date <= c.ts) AS d FROM cal c),
-bench AS (SELECT ts, close / first_value(close IGNORE NULLS) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS bench FROM panel WHERE symbol = 'NATION_0')
-SELECT t.symbol, t.ts, t.pos, {r("t.adj")} AS close, {r("t.tr", 5)} AS tr, {r("t.tr / nullif(lag(t.tr) OVER (PARTITION BY t.symbol ORDER BY t.ts), 0) - 1")} AS ret,
+bench AS (SELECT ts, close / first_value(close IGNORE NULLS) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS bench FROM panel WHERE symbol = 'NATION_0'),
+gone AS (SELECT symbol, max(ts) AS ts FROM trx WHERE symbol LIKE '%5' AND ts <= TIMESTAMP '2000-03-15' GROUP BY symbol)
+SELECT t.symbol, t.ts, t.pos, {r("t.adj")} AS close, {r("t.tr", 5)} AS tr,
+  {r("CASE WHEN (t.symbol, t.ts) IN (SELECT (symbol, ts) FROM gone) THEN -0.3 ELSE t.tr / nullif(lag(t.tr) OVER (PARTITION BY t.symbol ORDER BY t.ts), 0) - 1 END")} AS ret,
   m.symbol IS NOT NULL AND t.symbol <> 'NATION_0' AS in_universe, {r("bench")} AS bench
 FROM trx t JOIN snap s USING (ts) LEFT JOIN (SELECT DISTINCT symbol, date FROM membership) m ON m.symbol = t.symbol AND m.date = s.d
 JOIN bench b USING (ts)""",
@@ -212,13 +241,19 @@ def assembled_panel(spark, sf):
     )
 
 
+def listings(spark, sf):
+    """Instrument dimension: where a symbol's listing has ended, its last day."""
+    return A.symbols(spark, sf).select("symbol", F.when(F.col("symbol").like("%5"), F.lit("2000-03-15")).alias("listed_to"))
+
+
 def full_panel(spark, sf, benchmark: str = "NATION_0"):
-    """Grid, adjusted prices, total return, point-in-time universe, benchmark."""
+    """Grid, adjusted prices, total return, delisting return, point-in-time universe, benchmark."""
     from ...operators.accounting import benchmark_equity
 
     c = A.calendar(spark, sf)
     p = total_return_panel(spark, sf)
     p = p.withColumn("ret", pct_change("tr"))
+    p = adjust.delisting_returns(p, listings(spark, sf)).drop("delist_ret")
     p = universe.point_in_time_mask(p, c, A.membership(spark, sf))
     p = universe.exclude(p, benchmark)
     own = A.panel(spark, sf).filter(F.col("symbol") == benchmark).select("ts", "close")

@@ -20,10 +20,11 @@ def event_weights_sql(name, src, lag, hold, weight, date="event_date", side="1",
 {name}_d AS (SELECT symbol, {date} AS d, sum({side}) AS s FROM {src} GROUP BY 1, 2),
 {name}_p AS (SELECT symbol, s, (SELECT count(*) FROM cal WHERE ts <= d) - 1 + {lag} AS pos FROM {name}_d),
 {name}_q AS (SELECT symbol, pos, sum(s) AS s FROM {name}_p WHERE pos >= 0 AND pos <= (SELECT max(pos) FROM cal) GROUP BY 1, 2),
-{name}_w AS (SELECT g.symbol, g.ts, {weight} * sum(coalesce(q.s, 0)) OVER (PARTITION BY g.symbol ORDER BY g.pos
-  ROWS BETWEEN {hold - 1} PRECEDING AND CURRENT ROW) AS w FROM grid g LEFT JOIN {name}_q q ON g.symbol = q.symbol AND g.pos = q.pos),
-{name} AS (SELECT symbol, ts, CASE WHEN sum(abs(w)) OVER (PARTITION BY ts) > {max_gross}
-  THEN w * {max_gross} / sum(abs(w)) OVER (PARTITION BY ts) ELSE w END AS w FROM {name}_w)"""
+{name}_w AS (SELECT g.symbol, g.ts, CAST(sum(coalesce(q.s, 0)) OVER (PARTITION BY g.symbol ORDER BY g.pos
+  ROWS BETWEEN {hold - 1} PRECEDING AND CURRENT ROW) AS BIGINT) AS n FROM grid g LEFT JOIN {name}_q q ON g.symbol = q.symbol AND g.pos = q.pos),
+{name}_g AS (SELECT symbol, ts, n, CAST(sum(abs(n)) OVER (PARTITION BY ts) AS DOUBLE) AS gross FROM {name}_w),
+{name} AS (SELECT symbol, ts, CASE WHEN gross * {weight}::DOUBLE > {max_gross}::DOUBLE
+  THEN n * {max_gross}::DOUBLE / gross ELSE n * {weight}::DOUBLE END AS w FROM {name}_g)"""
 
 
 @query(

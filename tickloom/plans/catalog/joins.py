@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ...functions.scalar import as_ts, day, div
 from ...functions.scalar import rnd as R
 from ...functions.window import cumulative
-from ...operators import align
+from ...operators import align, spread
 from ...operators.universe import point_in_time_mask
 from .. import adapters as A
 from . import sqlbase as S
@@ -82,7 +82,7 @@ fund AS (
 
 
 def fundamentals(spark, sf):
-    """Mean urgent-order value per symbol and day, as a published metric."""
+    """Mean order value per symbol and day, as a published metric."""
     return A.corp_events(spark, sf).groupBy("symbol", F.col("event_date").alias("ts")).agg(
         (F.avg(F.round(F.col("magnitude") * 100).cast("long")) / 100).alias("value")
     )
@@ -183,26 +183,27 @@ def event_windows(spark, sf):
     )
 
 
-PAIRS = (("NATION_0", "NATION_1"), ("NATION_2", "NATION_3"), ("NATION_4", "NATION_5"))
-PAIR_VALUES = ", ".join(f"('{a}/{b}', '{a}', '{b}')" for a, b in PAIRS)
+PAIRS_SQL = """
+pf AS (SELECT sector, symbol, ret, avg(ret) OVER (PARTITION BY sector, ts) AS m FROM panel WHERE pos < 504 AND ret IS NOT NULL),
+pn AS (SELECT sector, symbol, round(covar_pop(ret, m) / nullif(var_pop(m), 0), 9) AS b FROM pf GROUP BY 1, 2),
+pl0 AS (SELECT symbol AS sa, lead(symbol) OVER (PARTITION BY sector ORDER BY b, symbol) AS sb FROM pn WHERE b IS NOT NULL),
+pairs AS MATERIALIZED (SELECT sa || '/' || sb AS pair_id, sa, sb FROM pl0 WHERE sb IS NOT NULL)"""
 
 
-def pair_list(spark, pairs=PAIRS):
-    return spark.createDataFrame(
-        [(f"{a}/{b}", a, b) for a, b in pairs], "pair_id string, symbol_a string, symbol_b string"
-    )
+def pair_list(spark, sf):
+    """Neighbours by beta inside each sector."""
+    return spread.neighbours(A.panel(spark, sf))
 
 
 @query(
     "JN-08",
-    PANEL
+    S.with_(S.PANEL, PAIRS_SQL)
     + f"""
-, pairs(pair_id, sa, sb) AS (VALUES {PAIR_VALUES})
 SELECT pair_id, a.ts, {r("a.tr")} AS a, {r("b.tr")} AS b FROM pairs JOIN panel a ON a.symbol = sa
 JOIN panel b ON b.symbol = sb AND a.ts = b.ts""",
 )
 def pair_legs(spark, sf):
-    return align.legs(pair_list(spark), A.panel(spark, sf)).select(
+    return align.legs(pair_list(spark, sf), A.panel(spark, sf)).select(
         "pair_id", "ts", R("a").alias("a"), R("b").alias("b")
     )
 
@@ -330,9 +331,9 @@ def benchmark_curve(spark, sf):
 
 @query(
     "JN-15",
-    PANEL
+    S.with_(S.PANEL, S.HEDGES)
     + f"""
-, m(spot, fut) AS (VALUES ('NATION_0', 'NATION_10'), ('NATION_1', 'NATION_11')),
+, m AS (SELECT symbol AS spot, hedge AS fut FROM hedges),
 s AS (SELECT symbol, ts, CASE WHEN ret > 0 THEN 0.05 ELSE 0 END AS w FROM panel JOIN m ON symbol = spot),
 l AS (SELECT symbol, ts, w FROM s UNION ALL SELECT fut, ts, -w FROM s JOIN m ON symbol = spot)
 SELECT symbol, ts, {r("sum(w)")} AS w FROM l GROUP BY 1, 2""",
@@ -341,18 +342,15 @@ def opposite_legs(spark, sf):
     spot = A.panel(spark, sf).select(
         "symbol", "ts", F.when(F.col("ret") > 0, 0.05).otherwise(0.0).alias("w")
     )
-    pairs = spark.createDataFrame(
-        [("NATION_0", "NATION_10"), ("NATION_1", "NATION_11")], "symbol string, hedge string"
-    )
-    return hedged(spot, pairs).withColumn("w", R("w"))
+    return hedged(spot, A.hedges(spark, sf)).withColumn("w", R("w"))
 
 
 def hedged(spot, pairs):
     """Each spot weight with the opposite weight in its mapped symbol.
 
-    The mapping is a hand-kept list, so it is broadcast.
+    The mapping has one row for a symbol; its size at run time decides how it is joined.
     """
-    both = spot.join(F.broadcast(pairs), "symbol")
+    both = spot.join(pairs, "symbol")
     return (
         both.select("symbol", "ts", "w")
         .unionByName(both.select(F.col("hedge").alias("symbol"), "ts", (-F.col("w")).alias("w")))

@@ -37,12 +37,16 @@ zr AS (SELECT i.pair_id, i.pos, count(*) FILTER (WHERE h.a > 0 AND h.b > 0) AS n
     avg(ln(h.a) - i.beta * ln(h.b)) FILTER (WHERE h.a > 0 AND h.b > 0) AS mu,
     stddev_pop(ln(h.a) - i.beta * ln(h.b)) FILTER (WHERE h.a > 0 AND h.b > 0) AS sd
   FROM inf i JOIN legs h ON h.pair_id = i.pair_id AND h.pos >= i.pos - 63 AND h.pos < i.pos WHERE i.beta IS NOT NULL GROUP BY 1, 2),
-zs AS (SELECT i.*, CASE WHEN n >= 47 AND sd >= 1e-12 AND a > 0 AND b > 0 THEN (ln(a) - beta * ln(b) - mu) / sd END AS z
+zs AS MATERIALIZED (SELECT i.*, CASE WHEN n >= 47 AND sd >= 1e-12 AND a > 0 AND b > 0 THEN (ln(a) - beta * ln(b) - mu) / sd END AS z
   FROM inf i LEFT JOIN zr USING (pair_id, pos))"""
 
 
 def legs(spark, sf):
-    return align.legs(pair_list(spark), A.panel(spark, sf))
+    return align.legs(pair_list(spark, sf), A.panel(spark, sf))
+
+
+def n_pairs(spark, sf):
+    return pair_list(spark, sf).agg(F.count("*")).scalar()
 
 
 @query("SPR-01", S.with_(S.PANEL, LEGS_SQL, REFIT_SQL) + f" SELECT pair_id, ts, {r('beta')} AS beta FROM inf")
@@ -104,7 +108,7 @@ def pair_machine(spark, sf):
 
 
 BOOK_LEGS = """
-pb AS (SELECT sa, sb, m.pos, position, z.beta, (1.0::DOUBLE / 3) / (1 + coalesce(abs(z.beta), 0)) AS unit
+pb AS (SELECT sa, sb, m.pos, position, z.beta, (1.0::DOUBLE / (SELECT count(*) FROM pairs)) / (1 + coalesce(abs(z.beta), 0)) AS unit
   FROM m JOIN zs z ON z.pair_id = m.pair_id AND z.pos = m.pos),
 pl AS (SELECT sa AS symbol, pos, position * unit AS w FROM pb
   UNION ALL SELECT sb, pos, -position * coalesce(beta, 0) * unit FROM pb),
@@ -117,7 +121,7 @@ pw AS (SELECT symbol, pos, sum(w) AS w FROM pl GROUP BY 1, 2)"""
     + f" SELECT symbol, p.ts, {r('CASE WHEN in_universe THEN coalesce(w, 0) ELSE 0 END')} AS w FROM panel p LEFT JOIN pw USING (symbol, pos)",
 )
 def pair_book(spark, sf):
-    book = spread.pair_book(states(spark, sf), 3)
+    book = spread.pair_book(states(spark, sf), n_pairs(spark, sf))
     p = A.panel(spark, sf).select("symbol", "ts", "in_universe")
     w = F.when(F.col("in_universe"), F.coalesce("w", F.lit(0.0))).otherwise(0.0)
     return p.join(book, ["symbol", "ts"], "left").select("symbol", "ts", R(w).alias("w"))

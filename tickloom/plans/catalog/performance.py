@@ -9,6 +9,7 @@ from ...functions import stats
 from ...functions.scalar import rnd as R
 from ...functions.window import shift
 from ...operators import accounting, checks, costs, metrics, outcomes
+from ...operators.sessions import downsample
 from ...operators.tsignal import skip_return
 from ...operators.xsection import fractile_weights
 from .. import adapters as A
@@ -260,6 +261,23 @@ def compare_runs(spark, sf):
     return wide.select("metric", *[R(k, 4).alias(k) for k in TWO])
 
 
+@query(
+    "REP-09b",
+    S.with_(S.PANEL, S.book(), *[S.accounts(c=params_sql(p), prefix=f"{k}_") for k, p in TWO.items()])
+    + """
+, e AS (SELECT 'equity' AS run_id, ts, equity FROM equity_daily WHERE equity IS NOT NULL
+  UNION ALL SELECT 'futures', ts, equity FROM futures_daily WHERE equity IS NOT NULL),
+k AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts) - 1 AS k, count(*) OVER (PARTITION BY run_id) AS n FROM e),
+pick AS (SELECT DISTINCT run_id, (i * (n - 1)) // 1499 AS k FROM (SELECT DISTINCT run_id, n FROM k), generate_series(0, 1499) AS t(i))
+"""
+    + f"SELECT run_id, ts, {r('equity')} AS equity FROM k WHERE n <= 1500 OR (run_id, k) IN (SELECT (run_id, k) FROM pick)",
+)
+def compare_curves(spark, sf):
+    """Equity of the compared runs, at most 1,500 evenly spread points each."""
+    d = scenario_book(spark, sf, TWO).daily.filter(F.col("equity").isNotNull())
+    return downsample(d, ["run_id"], 1500).select("run_id", "ts", R("equity").alias("equity"))
+
+
 HIST = S.with_(S.PANEL, S.book(), *[S.accounts(c=params_sql(p), prefix=f"{k}_") for k, p in TWO.items()])
 
 
@@ -289,28 +307,36 @@ def run_history(spark, sf):
 
 
 FORMATIONS, FRACS = (63, 126, 252), (0.1, 0.2)
+TOO_SHORT = 21  # a formation that does not exceed the skip: its cells fail
+CELLS = checks.grid_cells({"formation": checks.parse_range("21,63,126,252"), "frac": checks.parse_range("0.1:0.2:0.1")})
 
 
-def sweep_daily(spark, sf, formations=FORMATIONS, fracs=FRACS):
-    """Momentum runs over formation x fraction.
+def sweep_daily(spark, sf, cells=CELLS):
+    """(daily account, errors) of momentum runs over formation x fraction.
 
     The formation is a frame offset, which differs per cell, so each row reads
-    its three lagged prices once and the cells unfold from an array; the
-    fraction and everything after it are data on a cell key.
+    its lagged prices once and the cells unfold from an array; the
+    fraction and everything after it are data on a cell key.  A cell whose signal
+    cannot be built is left out and named in ``errors``, cell to message.
     """
-    p = A.panel(spark, sf)
-    cells = [(f, q) for f in formations for q in fracs]
-    p = with_adv(p).withColumns({f"_s{f}": skip_return("tr", f, 21) for f in formations})
+    p, signals, errors = A.panel(spark, sf), {}, {}
+    for f in sorted({int(c["formation"]) for c in cells}):
+        try:
+            signals[f"_s{f}"] = skip_return("tr", f, 21)
+        except ValueError as problem:
+            errors |= {f"{f}/{c['frac']:g}": str(problem) for c in cells if int(c["formation"]) == f}
+    good = [(int(c["formation"]), c["frac"]) for c in cells if f"_s{int(c['formation'])}" in signals]
+    p = with_adv(p).withColumns(signals)
     grid = F.array(
         *[
-            F.struct(F.lit(f"{f}/{q}").alias("cell"), F.col(f"_s{f}").alias("signal"), F.lit(float(q)).alias("frac"))
-            for f, q in cells
+            F.struct(F.lit(f"{f}/{q:g}").alias("cell"), F.col(f"_s{f}").alias("signal"), F.lit(float(q)).alias("frac"))
+            for f, q in good
         ]
     )
-    p = p.withColumn("c", F.explode(grid)).select("*", "c.*").drop("c", *[f"_s{f}" for f in formations])
+    p = p.withColumn("c", F.explode(grid)).select("*", "c.*").drop("c", *signals)
     p = p.withColumn("run_id", F.col("cell"))
     w = fractile_weights(p, F.col("frac"), F.col("frac"), True, keys=("run_id",))
-    return accounting.run_book(w, costs.PRESETS["equity"]).daily
+    return accounting.run_book(w, costs.PRESETS["equity"]).daily, errors
 
 
 def sweep_sql() -> tuple[str, list[str]]:
@@ -337,18 +363,22 @@ SWEEP_SQL, SWEEP_CELLS = sweep_sql()
     + " "
     + " UNION ALL ".join(
         f"""SELECT '{f}/{q}' AS cell, {r(S.sharpe("net"), 4)} AS sharpe, {r(CAGR.format(x="net"))} AS cagr,
-{r(S.sharpe("CASE WHEN i <= floor(n * 0.7::DOUBLE) THEN net END"), 4)} AS sharpe_is, {r(S.sharpe("CASE WHEN i > floor(n * 0.7::DOUBLE) THEN net END"), 4)} AS sharpe_oos
+{r(S.sharpe("CASE WHEN i <= floor(n * 0.7::DOUBLE) THEN net END"), 4)} AS sharpe_is, {r(S.sharpe("CASE WHEN i > floor(n * 0.7::DOUBLE) THEN net END"), 4)} AS sharpe_oos, NULL AS error
 FROM (SELECT net, row_number() OVER (ORDER BY ts) AS i, count(*) OVER () AS n FROM {k}_daily)"""
         for k, f, q in SWEEP_CELLS
-    ),
+    )
+    + "".join(f" UNION ALL SELECT '{TOO_SHORT}/{q}', NULL, NULL, NULL, NULL, 'formation must exceed skip'" for q in FRACS),
 )
 def parameter_sweep(spark, sf):
-    d = sweep_daily(spark, sf)
+    d, errors = sweep_daily(spark, sf)
     s = metrics.return_stats(d).select("run_id", "sharpe", "cagr").join(metrics.is_oos(d), "run_id")
-    return s.select(
+    numbers = ["sharpe", "cagr", "sharpe_is", "sharpe_oos"]
+    good = s.select(
         F.col("run_id").alias("cell"), R("sharpe", 4).alias("sharpe"), R("cagr").alias("cagr"),
-        R("sharpe_is", 4).alias("sharpe_is"), R("sharpe_oos", 4).alias("sharpe_oos"),
+        R("sharpe_is", 4).alias("sharpe_is"), R("sharpe_oos", 4).alias("sharpe_oos"), F.lit(None).cast("string").alias("error"),
     )
+    bad = spark.createDataFrame(list(errors.items()), "cell string, error string")
+    return good.unionByName(bad.select("cell", *[F.lit(None).cast("double").alias(c) for c in numbers], "error"))
 
 
 @query(
@@ -362,7 +392,7 @@ def parameter_sweep(spark, sf):
     ),
 )
 def sweep_heatmap(spark, sf):
-    s = metrics.return_stats(sweep_daily(spark, sf)).select("run_id", "sharpe")
+    s = metrics.return_stats(sweep_daily(spark, sf)[0]).select("run_id", "sharpe")
     part = F.split("run_id", "/")
     s = s.select(part[0].cast("long").alias("formation"), part[1].alias("frac"), "sharpe")
     wide = s.groupBy("formation").pivot("frac", [str(q) for q in FRACS]).agg(F.first("sharpe"))

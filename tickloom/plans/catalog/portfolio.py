@@ -28,12 +28,19 @@ HL20 = "pow(0.5::DOUBLE, 1.0::DOUBLE / 20)"
     PANEL
     + f"""
 , e AS (SELECT symbol, ts, sqrt({S.ewm("ret * ret", HL20, 20)}) * sqrt(252) AS v, ({S.roll("stddev_samp", "ret", 20)}) * sqrt(252) AS q FROM panel)
-SELECT symbol, ts, {r(S.shift("v"))} AS ewma, {r(S.shift("q"))} AS rolling FROM e""",
+,
+k AS (SELECT *, pow({HL20}, -CAST(pos AS DOUBLE)) AS wt FROM panel WHERE ret IS NOT NULL),
+m AS (SELECT symbol, ts, count(*) {S.over()} AS n, sum(wt) {S.over()} AS sw, sum(wt * ret) {S.over()} AS sx,
+  sum(wt * ret * ret) {S.over()} AS sxx, sum(wt * wt) {S.over()} AS sww FROM k),
+d AS (SELECT p.symbol, p.ts, last_value(CASE WHEN n >= 20 THEN sqrt(greatest((sxx / sw - (sx / sw) ** 2) * sw * sw / nullif(sw * sw - sww, 0), 0)) END IGNORE NULLS) {S.over().replace("symbol", "p.symbol").replace("ts", "p.ts")} * sqrt(252) AS s
+  FROM panel p LEFT JOIN m USING (symbol, ts))
+SELECT symbol, ts, {r(S.shift("v"))} AS ewma, {r(S.shift("q"))} AS rolling, {r(S.shift("s"))} AS ewma_std FROM e JOIN d USING (symbol, ts)""",
 )
 def ex_ante_vol(spark, sf):
     p = risk.ex_ante_vol(A.panel(spark, sf), "ret", "ewma")
     p = risk.ex_ante_vol(p, "ret", "rolling", "rolling")
-    return p.select("symbol", "ts", R("ewma").alias("ewma"), R("rolling").alias("rolling"))
+    p = risk.ex_ante_vol(p, "ret", "ewma_std", "ewma_std")
+    return p.select("symbol", "ts", *[R(c).alias(c) for c in ("ewma", "rolling", "ewma_std")])
 
 
 EX_SQL = f"""
@@ -305,10 +312,8 @@ def pipeline(spark, sf):
 def breakout_intents(panel, channel=55, atr_mult=2.0, risk_frac=0.0075, max_hold=120, both_sides=True):
     """Close beyond the lagged channel, first bar only; stop at a multiple of the range."""
     p = panel.withColumn("trange", W.true_range("high", "low", "close"))
-    p = rolling(p, [Roll("atr", "avg", "trange", 20, 10)])
-    p = p.withColumns(
-        {"hi": W.roll(F.max, "close", channel, None, 1), "lo": W.roll(F.min, "close", channel, None, 1)}
-    )
+    channels = [Roll("hi", "max", "close", channel, None, 1), Roll("lo", "min", "close", channel, None, 1)]
+    p = rolling(p, [Roll("atr", "avg", "trange", 20, 10), *channels])
     p = p.withColumns({"pc": W.shift("close"), "ph": W.shift("hi"), "pl": W.shift("lo")})
     up = (F.col("close") > F.col("hi")) & (F.col("pc") <= F.col("ph"))
     down = (F.col("close") < F.col("lo")) & (F.col("pc") >= F.col("pl")) & F.lit(both_sides)
@@ -390,12 +395,13 @@ def one_open_trade(spark, sf):
 @query(
     "TRD-03",
     S.with_(S.PANEL, ATR_SQL, BREAK_SQL, OUT_SQL)
-    + f""" SELECT symbol, ts, {r("1e6 * 0.0075 / abs(entry_px - stop)", 4)} AS risk_frac, {r("1e6 * 0.0075 / entry_px", 4)} AS nav_frac FROM labelled WHERE abs(entry_px - stop) > 0""",
+    + f""" SELECT symbol, ts, {r("1e6 * 0.0075 / abs(entry_px - stop)", 4)} AS risk_frac, {r("1e6 * 0.0075 / entry_px", 4)} AS nav_frac,
+  {r("1e6 * 0.0075 / entry_px", 4)} AS target_weight, {r("0.0075", 4)} AS qty FROM labelled WHERE abs(entry_px - stop) > 0""",
 )
 def unit_sizes(spark, sf):
     p = A.panel(spark, sf)
     t = outcomes.label(breakout_intents(p), p)
-    a = outcomes.sized(t, "risk_frac", 1e6).withColumnRenamed("qty", "risk_frac")
-    return outcomes.sized(a, "nav_frac", 1e6).select(
-        "symbol", "ts", R("risk_frac", 4).alias("risk_frac"), R("qty", 4).alias("nav_frac")
-    )
+    modes = ("risk_frac", "nav_frac", "target_weight")
+    for mode in modes:
+        t = outcomes.sized(t, mode, 1e6).withColumnRenamed("qty", mode)
+    return outcomes.sized(t, "qty").select("symbol", "ts", *[R(c, 4).alias(c) for c in (*modes, "qty")])

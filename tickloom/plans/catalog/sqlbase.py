@@ -14,7 +14,7 @@ nations AS (
 BARS = (
     NATIONS
     + """,
-bars AS (
+bars AS MATERIALIZED (
   SELECT symbol, any_value(sector) AS sector, CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) AS ts,
     min(struct_pack(o := l_orderkey, n := l_linenumber, p := l_extendedprice / l_quantity)).p AS open,
     max(l_extendedprice / l_quantity) AS high,
@@ -25,17 +25,20 @@ bars AS (
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
   JOIN nations ON s_nationkey = n_nationkey
   GROUP BY symbol, CAST(l_shipdate AS DATE)),
-cal AS (
+cal AS MATERIALIZED (
   SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS pos FROM (SELECT DISTINCT ts FROM bars)),
-syms AS (
+syms AS MATERIALIZED (
   SELECT DISTINCT symbol, sector FROM supplier JOIN nations ON s_nationkey = n_nationkey)"""
 )
 
+HEDGES = """
+hedges AS (SELECT * FROM (SELECT symbol, lead(symbol) OVER (PARTITION BY sector ORDER BY symbol) AS hedge FROM syms) WHERE hedge IS NOT NULL)"""
+
 PANEL = (
     BARS
     + """,
 grid AS (SELECT symbol, sector, ts, pos FROM syms CROSS JOIN cal),
-dense AS (
+dense AS MATERIALIZED (
   SELECT g.symbol, g.sector, g.ts, g.pos, b.open, b.high, b.low, b.close, b.volume, b.value
   FROM grid g LEFT JOIN bars b ON g.symbol = b.symbol AND g.ts = b.ts),
 panel0 AS (
@@ -49,7 +52,7 @@ panel0 AS (
   WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)),
 panel1 AS (
   SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS open FROM panel0),
-panel AS (
+panel AS MATERIALIZED (
   SELECT symbol, sector, ts, pos, volume, value, open, close, close AS tr,
     close / nullif(open, 0) - 1 AS ret,
     CASE WHEN open IS NULL THEN close ELSE greatest(open, close) END * (1 + 0.01::DOUBLE * rng) AS high,

@@ -12,12 +12,12 @@ from .. import adapters as A
 from .. import strategies as X
 from . import sqlbase as S
 from .aggregates import atm
-from .common import first_symbol_panel
+from .common import first_symbol_panel, others_flat
 from .events import EARN_SQL, earnings, event_weights_sql
 from .joins import stale_asof
 from .machines import (
     BOOK_LEGS, DISC_STEP, FUND_M, FUND_SQL, NAV_SQL, PAIRS_BASE, SCORE_M, SCORE_SQL, SLOPE_M, SLOPE_SQL,
-    curve_slope, discount_weights, funding_inputs, legs, score_weights, symbol_machine,
+    curve_slope, discount_weights, funding_inputs, legs, n_pairs, score_weights, symbol_machine,
 )
 from .portfolio import ATR_SQL, BREAK_SQL, breakout_intents, overlay_sql
 from .registry import query
@@ -36,6 +36,21 @@ def sel(name, expr="w", dp=6):
     return f" SELECT symbol, ts, {r(expr, dp)} AS w FROM {name}"
 
 
+def out_flat(spark, sf, w, dp=6):
+    """Weights of the proxy instrument on the full grid, every other instrument flat."""
+    return others_flat(spark, sf, out(w, dp))
+
+
+def flat(query_):
+    """Oracle of the same: ``query_`` has the proxy's symbol, ts and w."""
+    head, body = query_.rsplit(" SELECT symbol, ts, ", 1) if " SELECT symbol, ts, " in query_ else query_.rsplit(f" SELECT {CURVE_MAP}, ts, ", 1)
+    first = "symbol" if " SELECT symbol, ts, " in query_ else CURVE_MAP
+    return f"{head} SELECT g.symbol, g.ts, coalesce(x.w, 0) AS w FROM grid g LEFT JOIN (SELECT {first}, ts, {body}) x ON x.symbol = g.symbol AND x.ts = g.ts"
+
+
+CURVE_MAP = f"{FIRST} AS symbol"
+
+
 def xs(key, signal, top, bottom=None, long_only=True, freq="ME", pre=(), src="panel", vol=None, **kw):
     """Oracle of a fractile strategy whose signal is one expression."""
     v = f", {vol} AS vol" if vol else ""
@@ -47,7 +62,7 @@ def xs(key, signal, top, bottom=None, long_only=True, freq="ME", pre=(), src="pa
 
 @query("Q-01", S.with_(*PAIRS_BASE, BOOK_LEGS) + sel("panel LEFT JOIN pw USING (symbol, pos)", MASKED))
 def pairs(spark, sf):
-    return out(X.pairs(A.panel(spark, sf), legs(spark, sf), 3))
+    return out(X.pairs(A.panel(spark, sf), legs(spark, sf), n_pairs(spark, sf)))
 
 
 @query("Q-02", S.with_(S.PANEL, SCORE_SQL, SCORE_M) + sel("score JOIN m USING (symbol, pos)", MASKED))
@@ -55,22 +70,18 @@ def residual_stat_arb(spark, sf):
     return out(score_weights(A.panel(spark, sf)))
 
 
-HEDGES = (("NATION_0", "NATION_10"), ("NATION_1", "NATION_11"))
-
-
 @query(
     "Q-03",
     S.with_(
-        S.PANEL, S.BASIS,
+        S.PANEL, S.BASIS, S.HEDGES,
         f"""lt AS (SELECT symbol, ts, 0.05 * coalesce(last_value(CASE WHEN basis > 0.05 THEN 1 WHEN basis < 0.01 THEN 0 END IGNORE NULLS) {S.over()}, 0) AS w FROM basis),
-lg AS (SELECT * FROM lt UNION ALL SELECT h, ts, -w FROM lt JOIN (VALUES ('NATION_0', 'NATION_10'), ('NATION_1', 'NATION_11')) v(s, h) ON s = symbol),
+lg AS (SELECT * FROM lt UNION ALL SELECT hedge, ts, -w FROM lt JOIN hedges USING (symbol)),
 ls AS (SELECT symbol, ts, sum(w) AS w FROM lg GROUP BY 1, 2)""",
     )
     + sel("panel JOIN ls USING (symbol, ts)", MASKED),
 )
 def cash_and_carry(spark, sf):
-    hedges = spark.createDataFrame(list(HEDGES), "symbol string, hedge string")
-    return out(X.cash_and_carry(A.basis(spark, sf), hedges))
+    return out(X.cash_and_carry(A.basis(spark, sf), A.hedges(spark, sf)))
 
 
 DISC_Q4 = symbol_machine(
@@ -131,14 +142,11 @@ def calendar_spread(spark, sf):
     return out(X.calendar_spread(A.basis(spark, sf)))
 
 
-TERMS = tuple((f"NATION_{k}", f"NATION_{k + 10}", 1.0) for k in range(5))
-
-
 @query(
     "Q-07",
     S.with_(
-        S.PANEL,
-        f"""tm(b, e, ratio) AS (VALUES {", ".join(f"('{b}', '{e}', {x}::DOUBLE)" for b, e, x in TERMS)}),
+        S.PANEL, S.HEDGES,
+        """tm AS (SELECT symbol AS b, hedge AS e, 1.0::DOUBLE AS ratio FROM hedges),
 cj AS (SELECT b, e, p.ts, CASE WHEN q.close IS NOT NULL THEN greatest(q.close * ratio, 90) / nullif(p.close, 0) - 1 END AS gap
   FROM tm JOIN panel p ON p.symbol = b JOIN panel q ON q.symbol = e AND q.ts = p.ts),
 cg AS (SELECT *, lag(gap) OVER (PARTITION BY b, e ORDER BY ts) > 0.02 AS live FROM cj),
@@ -148,7 +156,7 @@ cw AS (SELECT symbol, ts, sum(w) AS w FROM cl GROUP BY 1, 2)""",
     + sel("panel LEFT JOIN cw USING (symbol, ts)", MASKED),
 )
 def convertible_arbitrage(spark, sf):
-    terms = spark.createDataFrame(list(TERMS), "bond_symbol string, equity_symbol string, conversion_ratio double")
+    terms = A.hedges(spark, sf).select(F.col("symbol").alias("bond_symbol"), F.col("hedge").alias("equity_symbol"), F.lit(1.0).alias("conversion_ratio"))
     return out(X.convertibles(A.panel(spark, sf), terms))
 
 
@@ -307,11 +315,11 @@ V5_60 = f"v AS (SELECT *, {S.roll('stddev_samp', 'ret', 5)} AS v5, {S.roll('stdd
 
 @query(
     "Q-21",
-    S.with_(S.PANEL, V5_60.format(f"panel WHERE symbol = {FIRST}"))
-    + sel("v", "CASE WHEN close / nullif(open, 0) - 1 < 0 AND v5 > 1.2 * v60 THEN 1 ELSE 0 END"),
-)
+    flat(S.with_(S.PANEL, V5_60.format(f"panel WHERE symbol = {FIRST}"))
+    + sel("v", "CASE WHEN close / nullif(open, 0) - 1 < 0 AND v5 > 1.2 * v60 THEN 1 ELSE 0 END")),
+)
 def overnight(spark, sf):
-    return out(X.overnight(first_symbol_panel(spark, sf)))
+    return out_flat(spark, sf, X.overnight(first_symbol_panel(spark, sf)))
 
 
 def carry_sql(target, signal=f"coalesce({CARRY.format(b='basis')}, 0)", extra="", src="basis"):
@@ -344,16 +352,13 @@ def bond_carry(spark, sf):
     return out(X.carry_book(A.basis(spark, sf), 0.06))
 
 
-CURVE_MAP = f"{FIRST} AS symbol"
-
-
 def curve_out(spark, sf, **kw):
     """Machine on the curve's slope, as weights of the first symbol."""
     from ...operators import machines
 
     first = A.symbols(spark, sf).agg(F.min("symbol")).scalar()
     w = machines.slope_states(curve_slope(spark, sf), "symbol", **kw)
-    return w.select(first.alias("symbol"), "ts", R("w").alias("w"))
+    return out_flat(spark, sf, w.select(first.alias("symbol"), "ts", "w"))
 
 
 VC_STEP = """CASE WHEN x.s IS NULL THEN m.w WHEN m.w < 0 AND x.s >= 0.01 THEN m.w
@@ -362,9 +367,9 @@ VC_STEP = """CASE WHEN x.s IS NULL THEN m.w WHEN m.w < 0 AND x.s >= 0.01 THEN m.
 
 @query(
     "Q-25",
-    S.with_(S.BARS, S.CURVE, SLOPE_SQL, symbol_machine("slope", "w", "0.0::DOUBLE AS w", VC_STEP))
-    + f" SELECT {CURVE_MAP}, ts, {r('w')} AS w FROM m JOIN cal USING (pos)",
-)
+    flat(S.with_(S.PANEL, S.CURVE, SLOPE_SQL, symbol_machine("slope", "w", "0.0::DOUBLE AS w", VC_STEP))
+    + f" SELECT {CURVE_MAP}, ts, {r('w')} AS w FROM m JOIN cal USING (pos)"),
+)
 def vol_carry(spark, sf):
     return curve_out(spark, sf, size_short=0.10, size_long=0.10, use_long=False, long_max_age=None, reenter=False)
 
@@ -376,22 +381,22 @@ def cross_asset_carry(spark, sf):
 
 @query(
     "Q-27",
-    S.with_(
+    flat(S.with_(
         S.PANEL, S.SURFACE,
         f"""atv AS (SELECT ts, median(iv) AS atm FROM (SELECT *, min(expiry) OVER (PARTITION BY ts) AS e FROM surface) WHERE expiry = e GROUP BY ts),
 vp AS (SELECT p.*, atm, sqrt({S.ewm("ret * ret", "pow(0.5::DOUBLE, 1.0::DOUBLE / 21)", 1)} * 1.0) * sqrt(252) AS rv FROM panel p LEFT JOIN atv USING (ts) WHERE symbol = {FIRST}),
 vg AS (SELECT symbol, ts, {S.ffill("atm", 5)} - {S.shift("rv")} AS gap FROM vp)""",
     )
-    + sel("vg", "CASE WHEN gap > 0.02 THEN -0.08 ELSE 0 END"),
+    + sel("vg", "CASE WHEN gap > 0.02 THEN -0.08 ELSE 0 END")),
 )
 def variance_premium(spark, sf):
     levels = atm(A.option_surface(spark, sf)).select(F.col("date").cast("timestamp_ntz").alias("ts"), "atm")
-    return out(X.variance_premium(first_symbol_panel(spark, sf), levels))
+    return out_flat(spark, sf, X.variance_premium(first_symbol_panel(spark, sf), levels))
 
 
 @query(
     "Q-28",
-    S.with_(S.BARS, S.CURVE, SLOPE_SQL, SLOPE_M) + f" SELECT {CURVE_MAP}, ts, {r('w')} AS w FROM m JOIN cal USING (pos)",
+    flat(S.with_(S.PANEL, S.CURVE, SLOPE_SQL, SLOPE_M) + f" SELECT {CURVE_MAP}, ts, {r('w')} AS w FROM m JOIN cal USING (pos)"),
 )
 def term_structure(spark, sf):
     return curve_out(spark, sf)
@@ -415,14 +420,11 @@ def dispersion(spark, sf):
 
 @query(
     "Q-30",
-    S.with_(S.PANEL, f"one AS (SELECT *, 1.0::DOUBLE AS w FROM panel WHERE symbol = {FIRST})", overlay_sql("one", 1.5))
-    + sel("one JOIN ov USING (pos)", "w * cur"),
-)
+    flat(S.with_(S.PANEL, f"one AS (SELECT *, 1.0::DOUBLE AS w FROM panel WHERE symbol = {FIRST})", overlay_sql("one", 1.5))
+    + sel("one JOIN ov USING (pos)", "w * cur")),
+)
 def vol_overlay(spark, sf):
-    return out(X.constant_overlay(first_symbol_panel(spark, sf)))
-
-
-URGENT = "ue AS (SELECT * FROM cev)"
+    return out_flat(spark, sf, X.constant_overlay(first_symbol_panel(spark, sf)))
 
 
 @query(
@@ -447,7 +449,7 @@ def index_deletions(spark, sf):
     return out(X.index_deletions(A.panel(spark, sf), ev, A.calendar(spark, sf)))
 
 
-@query("Q-33", S.with_(S.PANEL + S.EVENTS, URGENT, event_weights_sql("x", "ue", 2, 126, 0.03)) + sel("x"))
+@query("Q-33", S.with_(S.PANEL + S.EVENTS, event_weights_sql("x", "cev", 2, 126, 0.03)) + sel("x"))
 def buybacks(spark, sf):
     return out(X.buybacks(A.panel(spark, sf), A.corp_events(spark, sf), A.calendar(spark, sf)))
 
@@ -455,8 +457,8 @@ def buybacks(spark, sf):
 @query(
     "Q-34",
     S.with_(
-        S.PANEL + S.EVENTS, URGENT,
-        "lp AS (SELECT DISTINCT symbol, (SELECT count(*) FROM cal WHERE ts < event_date) AS pf FROM ue)",
+        S.PANEL + S.EVENTS,
+        "lp AS (SELECT DISTINCT symbol, (SELECT count(*) FROM cal WHERE ts < event_date) AS pf FROM cev)",
     )
     + f""" SELECT p.symbol, p.ts, CAST(-1 AS BIGINT) AS side, {r("close * 1.1")} AS stop, CAST(10 AS BIGINT) AS time_stop
 FROM lp JOIN panel p ON p.symbol = lp.symbol AND p.pos = pf - 8 WHERE pf - 7 >= 1 AND pf < (SELECT count(*) FROM cal) AND close > 0""",
@@ -468,22 +470,26 @@ def lockup_expiry(spark, sf):
 
 
 def releases(spark, sf):
-    """Large urgent orders as macro releases of two kinds."""
+    """Orders as macro releases: the largest of a month one kind, the smallest another."""
+    ev = A.corp_events(spark, sf).withColumn("month", F.trunc(day("event_date"), "month"))
+    ends = ev.groupBy("month").agg(F.max("magnitude").alias("top"), F.min("magnitude").alias("bottom"))
     m = F.col("magnitude")
-    kind = F.when(m > 480000, "cpi").when(m > 460000, "cbr_rate").otherwise("other")
-    return A.corp_events(spark, sf).select(F.col("event_date").alias("release_ts"), kind.alias("kind"))
+    kind = F.when(m == F.col("top"), "cpi").when(m == F.col("bottom"), "cbr_rate").otherwise("other")
+    return ev.join(ends, "month").select(F.col("event_date").alias("release_ts"), kind.alias("kind"))
 
 
 @query(
     "Q-35",
-    S.with_(
-        S.PANEL + S.EVENTS, URGENT,
-        """mr AS (SELECT DISTINCT (SELECT count(*) FROM cal WHERE ts < event_date) AS pf FROM ue WHERE magnitude > 460000)""",
+    flat(S.with_(
+        S.PANEL + S.EVENTS,
+        """mm AS (SELECT event_date, magnitude, max(magnitude) OVER m AS top, min(magnitude) OVER m AS bottom FROM cev
+  WINDOW m AS (PARTITION BY date_trunc('month', event_date))),
+mr AS (SELECT DISTINCT (SELECT count(*) FROM cal WHERE ts < event_date) AS pf FROM mm WHERE magnitude = top OR magnitude = bottom)""",
     )
-    + sel(f"panel WHERE symbol = {FIRST}", "CASE WHEN EXISTS (SELECT 1 FROM mr WHERE pf < (SELECT count(*) FROM cal) AND panel.pos BETWEEN pf - 1 AND pf) THEN 1 ELSE 0 END"),
+    + sel(f"panel WHERE symbol = {FIRST}", "CASE WHEN EXISTS (SELECT 1 FROM mr WHERE pf < (SELECT count(*) FROM cal) AND panel.pos BETWEEN pf - 1 AND pf) THEN 1 ELSE 0 END")),
 )
 def macro_days(spark, sf):
-    return out(X.macro_days(first_symbol_panel(spark, sf), releases(spark, sf), A.calendar(spark, sf)))
+    return out_flat(spark, sf, X.macro_days(first_symbol_panel(spark, sf), releases(spark, sf), A.calendar(spark, sf)))
 
 
 METRICS = {"eps": 0, "book": 1, "gross_profit": 2}
@@ -544,21 +550,21 @@ def low_volatility(spark, sf):
 
 @query(
     "Q-39",
-    S.with_(S.PANEL, S.rebalance())
-    + sel(f"panel WHERE symbol = {FIRST}", "CASE WHEN EXISTS (SELECT 1 FROM cal e JOIN rebal USING (ts) WHERE panel.pos BETWEEN e.pos AND e.pos + 3) THEN 1 ELSE 0 END"),
-)
+    flat(S.with_(S.PANEL, S.rebalance())
+    + sel(f"panel WHERE symbol = {FIRST}", "CASE WHEN EXISTS (SELECT 1 FROM cal e JOIN rebal USING (ts) WHERE panel.pos BETWEEN e.pos AND e.pos + 3) THEN 1 ELSE 0 END")),
+)
 def month_turn(spark, sf):
-    return out(X.month_turn(first_symbol_panel(spark, sf), A.calendar(spark, sf)))
+    return out_flat(spark, sf, X.month_turn(first_symbol_panel(spark, sf), A.calendar(spark, sf)))
 
 
 ROLLS_SQL = """
-rl AS (SELECT DISTINCT 'N_' || (event_id % 30) AS code, event_date AS a, event_date + INTERVAL 4 DAY AS z FROM ue),
+rl AS (SELECT DISTINCT 'N_' || (event_id % 30) AS code, event_date AS a, event_date + INTERVAL 4 DAY AS z FROM cev),
 rs AS (SELECT code, min(symbol) AS symbol FROM (SELECT DISTINCT code FROM rl) JOIN syms ON contains(symbol, code) GROUP BY code),
 rp AS (SELECT DISTINCT symbol, (SELECT count(*) FROM cal WHERE ts < a) AS pa, (SELECT count(*) FROM cal WHERE ts <= z) - 1 AS pz FROM rl JOIN rs USING (code))"""
 
 
 def rolls(spark, sf):
-    """Large urgent orders as roll windows of asset codes, mapped to symbols."""
+    """Orders as roll windows of asset codes, mapped to symbols."""
     ev = A.corp_events(spark, sf)
     r0 = ev.select(
         F.concat(F.lit("N_"), (F.col("event_id") % 30).cast("string")).alias("code"),
@@ -573,7 +579,7 @@ def rolls(spark, sf):
 
 @query(
     "Q-40",
-    S.with_(S.PANEL + S.EVENTS, URGENT, ROLLS_SQL)
+    S.with_(S.PANEL + S.EVENTS, ROLLS_SQL)
     + sel("panel", "CASE WHEN EXISTS (SELECT 1 FROM rp WHERE rp.symbol = panel.symbol AND pa < (SELECT count(*) FROM cal) AND panel.pos BETWEEN pa - 5 AND pz) THEN -0.03 ELSE 0 END"),
 )
 def roll_pressure(spark, sf):

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ...functions import stats
 from ...functions import window as W
+from ...functions.ewm import Ewm, ewm
+from ...functions.rolling import Roll
+from ...functions.rolling import rolling as with_rolls
 from ...functions.scalar import day, div
 from ...functions.scalar import rnd as R
 from .. import adapters as A
@@ -52,11 +55,11 @@ ROLLS = {
     + f", {r(S.roll('min', 'tr', 55, None, 1))} AS lo55, {r(S.roll('max', 'tr', 55, None, 1))} AS hi55 FROM panel",
 )
 def rolling(spark, sf):
-    fns = {"avg": F.avg, "sum": F.sum, "stddev_samp": F.stddev_samp, "stddev_pop": F.stddev_pop, "var_samp": F.var_samp}
-    p = A.panel(spark, sf)
-    cols = {k: R(W.roll(fns[f], "ret", n, mp, lag), 8) for k, (f, n, mp, lag) in ROLLS.items()}
-    cols |= {"lo55": R(W.roll(F.min, "tr", 55, None, 1)), "hi55": R(W.roll(F.max, "tr", 55, None, 1))}
-    return p.select("symbol", "ts", *[c.alias(k) for k, c in cols.items()])
+    names = {"avg": "avg", "sum": "sum", "stddev_samp": "std", "stddev_pop": "pstd", "var_samp": "var"}
+    rolls = [Roll(k, names[f], "ret", n, mp, lag) for k, (f, n, mp, lag) in ROLLS.items()]
+    rolls += [Roll("lo55", "min", "tr", 55, None, 1), Roll("hi55", "max", "tr", 55, None, 1)]
+    p = with_rolls(A.panel(spark, sf), rolls)
+    return p.select("symbol", "ts", *[R(k, 8).alias(k) for k in ROLLS], R("lo55").alias("lo55"), R("hi55").alias("hi55"))
 
 
 def pair_roll(f, n, mp):
@@ -76,9 +79,8 @@ SELECT symbol, ts, {r(pair_roll("covar_samp", 60, 30), 8)} AS cov60, {r(pair_rol
 )
 def rolling_pairs(spark, sf):
     p = A.panel(spark, sf).withColumn("mkt", F.avg("ret").over(Window.partitionBy("ts")))
-    cov = W.roll_pair(F.covar_samp, "ret", "mkt", 60, 30)
-    p = p.select("symbol", "ts", cov.alias("cov60"), W.roll_corr("ret", "mkt", 60, 30).alias("corr60"),
-                 W.roll(F.var_samp, "mkt", 60, 30).alias("v"))
+    pair = {"x": "ret", "y": "mkt", "n": 60, "min_periods": 30}
+    p = with_rolls(p, [Roll("cov60", "cov", **pair), Roll("corr60", "corr", **pair), Roll("v", "var", "mkt", 60, 30)])
     return p.select(
         "symbol", "ts", R("cov60", 8).alias("cov60"), R("corr60").alias("corr60"), R(div("cov60", "v")).alias("beta60")
     )
@@ -100,7 +102,8 @@ def rolling_quantile(spark, sf):
     PANEL + f" SELECT symbol, ts, {r('(' + S.roll('product', '(1 + ret)', 126, 63) + ') - 1')} AS c126 FROM panel",
 )
 def rolling_compound(spark, sf):
-    return out(A.panel(spark, sf), c126=W.compound("ret", 126, 63))
+    p = A.panel(spark, sf).withColumn("growth", 1 + F.col("ret"))
+    return out(with_rolls(p, [Roll("g", "product", "growth", 126, 63)]), c126=F.col("g") - 1)
 
 
 D_HL, D_SPAN = "pow(0.5::DOUBLE, 1.0::DOUBLE / 20)", "(1 - 2.0::DOUBLE / 33)"
@@ -111,11 +114,9 @@ D_HL, D_SPAN = "pow(0.5::DOUBLE, 1.0::DOUBLE / 20)", "(1 - 2.0::DOUBLE / 33)"
     PANEL + f" SELECT symbol, ts, {r(S.ewm('ret', D_HL, 20), 8)} AS hl20, {r(S.ewm('tr', D_SPAN, 32), 5)} AS span32 FROM panel",
 )
 def ewm_means(spark, sf):
-    p = A.panel(spark, sf)
-    return p.select(
-        "symbol", "ts", R(W.ewm_mean("ret", halflife=20, min_periods=20), 8).alias("hl20"),
-        R(W.ewm_mean("tr", span=32, min_periods=32), 5).alias("span32"),
-    )
+    stats_ = [Ewm("hl20", "mean", "ret", halflife=20, min_periods=20), Ewm("span32", "mean", "tr", span=32, min_periods=32)]
+    p = ewm(A.panel(spark, sf), stats_)
+    return p.select("symbol", "ts", R("hl20", 8).alias("hl20"), R("span32", 5).alias("span32"))
 
 
 @query(
@@ -129,7 +130,8 @@ SELECT p.symbol, p.ts, {r("CASE WHEN n >= 20 THEN sqrt(greatest((sxx / sw - (sx
 FROM panel p LEFT JOIN s USING (symbol, ts)""",
 )
 def ewm_deviation(spark, sf):
-    return out(A.panel(spark, sf), std20=W.ewm_std("ret", halflife=20, min_periods=20), dp=8)
+    p = ewm(A.panel(spark, sf), [Ewm("s", "std", "ret", halflife=20, min_periods=20)])
+    return out(p, std20=F.col("s"), dp=8)
 
 
 @query(
@@ -227,7 +229,7 @@ trs AS (SELECT *, CASE WHEN close IS NOT NULL THEN greatest(high - low,
 @query("WIN-14", S.with_(S.PANEL, ATR_SQL) + f" SELECT symbol, ts, {r(S.roll('avg', 'trange', 20, 10), 5)} AS atr FROM trs")
 def atr(spark, sf):
     p = A.panel(spark, sf).withColumn("trange", W.true_range("high", "low", "close"))
-    return out(p, atr=W.roll(F.avg, "trange", 20, 10), dp=5)
+    return out(with_rolls(p, [Roll("a", "avg", "trange", 20, 10)]), atr=F.col("a"), dp=5)
 
 
 @query(

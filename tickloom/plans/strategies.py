@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import window as W
+from ..functions.ewm import Ewm, ewm
 from ..functions.rolling import Roll, rolling
 from ..functions.scalar import clip, day, div
 from ..functions.stats import xs_zscore
@@ -54,8 +55,9 @@ def residual_momentum(p, beta_window=504, formation=231, skip=21, top=0.1):
 def sector_momentum(p, formation=126, top_n=3):
     """Best sectors by compound basket return, equal weight inside each."""
     basket = p.groupBy("sector", "ts").agg(F.avg("ret").alias("r"))
-    mom = W.roll(F.product, 1 + F.col("r"), formation, formation // 2, keys=("sector",)) - 1
-    basket = basket.select("sector", "ts", mom.alias("mom")).filter(F.col("mom").isNotNull())
+    growth = Roll("g", "product", "g", formation, formation // 2)
+    basket = rolling(basket.withColumn("g", 1 + F.col("r")), [growth], ("sector",))
+    basket = basket.select("sector", "ts", (F.col("g") - 1).alias("mom")).filter(F.col("mom").isNotNull())
     rank = F.row_number().over(by_date().orderBy(F.desc("mom"), "sector"))
     n = F.count(F.lit(1)).over(by_date())
     basket = basket.select("sector", "ts", rank.alias("rk"), n.alias("n_sec"))
@@ -69,7 +71,7 @@ def sector_momentum(p, formation=126, top_n=3):
 
 
 def high_52_week(p, window=252, top=0.1):
-    p = p.withColumn("hi", W.roll(F.max, "tr", window, window // 2))
+    p = rolling(p, [Roll("hi", "max", "tr", window, window // 2)])
     return fractile_weights(p.withColumn("signal", div("tr", "hi")), top, top)
 
 
@@ -191,7 +193,7 @@ def cash_and_carry(p, hedges, hurdle=0.05, leave=0.01, size=0.10):
     """Long spot while the basis latch is on, short its future where mapped."""
     live = W.latch(F.col("basis") > hurdle, F.col("basis") < leave)
     spot = p.withColumn("w", flag(live == 1, size / 2)).select("symbol", "ts", "w")
-    short = spot.join(F.broadcast(hedges), "symbol").select(
+    short = spot.join(hedges, "symbol").select(
         F.col("hedge").alias("symbol"), "ts", (-F.col("w")).alias("w")
     )
     both = spot.unionByName(short).groupBy("symbol", "ts").agg(F.sum("w").alias("w"))
@@ -204,7 +206,7 @@ def convertibles(p, terms, cheap=0.02, delta=0.6, size=0.03, floor=90.0):
     ``terms`` (bond_symbol, equity_symbol, conversion_ratio) is a dimension.
     """
     px = p.select("symbol", "ts", "close")
-    t = F.broadcast(terms.filter(F.col("conversion_ratio") > 0))
+    t = terms.filter(F.col("conversion_ratio") > 0)
     b = px.join(t, F.col("symbol") == F.col("bond_symbol")).withColumnRenamed("close", "bond")
     e = px.select(F.col("symbol").alias("equity_symbol"), "ts", F.col("close").alias("eq"))
     j = b.join(e, ["equity_symbol", "ts"])
@@ -238,8 +240,8 @@ def variance_premium(p, atm, min_gap=0.02, window=21, size=0.08):
 
     ``atm`` is one row per date: bounded by the calendar.
     """
-    rv = F.sqrt(W.ewm_mean(F.col("ret") * F.col("ret"), halflife=window) * 252.0)
-    p = p.withColumn("rv", rv).join(F.broadcast(atm), "ts", "left")
+    p = ewm(p.withColumn("rv", F.col("ret") * F.col("ret")), [Ewm("rv", "mean", "rv", halflife=window)])
+    p = p.withColumn("rv", F.sqrt(F.col("rv") * 252.0)).join(F.broadcast(atm), "ts", "left")
     gap = W.ffill("atm", 5) - W.shift("rv")
     return p.withColumn("gap", gap).withColumn("w", flag(F.col("gap") > min_gap, -size))
 
