@@ -97,6 +97,7 @@ def test_unknown_statistics_are_refused():
 
 
 def test_other_columns_are_kept(spark):
-    df = series(spark, np.arange(40.0)).withColumn("a.b", F.lit(1))
+    df = series(spark, np.arange(40.0)).withColumns({"a.b": F.lit(1), "_rn": F.lit(7), "_block": F.lit(8), "_last": F.lit(9), "_at": F.lit(10)})
     out = ewm(rolling(df, [Roll("x2", "avg", "x", 20)]), [Ewm("e", "mean", "x", span=4)])
     assert out.columns == [*df.columns, "x2", "e"] and out.count() == 40
+    assert [tuple(r) for r in out.select("_rn", "_block", "_last", "_at").distinct().collect()] == [(7, 8, 9, 10)]

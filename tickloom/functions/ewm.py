@@ -58,7 +58,7 @@ def own_moments(spec: Ewm, place: Column, frame) -> Column:
 
     A mean needs ``mean`` and ``w`` alone; a deviation the variance and the ratio ``sq`` of squared weights, too.
     """
-    x, first = F.col(f"_{spec.out}x"), F.col(f"_{spec.out}f")
+    x, first = F.col(f"_ewm_{spec.out}_x"), F.col(f"_ewm_{spec.out}_f")
     weight = F.when(x.isNotNull(), F.pow(F.lit(spec.decay), -place))
     d = x - first
     fields = [F.sum(weight).over(frame).alias("w"), F.sum(weight * d).over(frame).alias("s")]
@@ -107,29 +107,29 @@ def ewm(df: DataFrame, stats: Sequence[Ewm], keys: Sequence[str] = KEYS, pos: st
     kept = [F.col(f"`{c}`") for c in df.columns if c not in outs]
     size = min(max(1, int(DEPTH / math.log(1.0 / s.decay))) for s in stats)
     at = F.col(pos).cast("long")
-    line = Window.partitionBy(*keys).orderBy("_block", pos)
-    inside = Window.partitionBy(*keys, "_block").orderBy(pos)
+    line = Window.partitionBy(*keys).orderBy("_ewm_block", pos)
+    inside = Window.partitionBy(*keys, "_ewm_block").orderBy(pos)
     before = line.rowsBetween(Window.unboundedPreceding, -1)
     so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
-    place = F.col("_place")
-    work = df.withColumns({"_block": F.floor(at / size), "_place": F.pmod(at, F.lit(size)).cast("double"), "_at": at})
-    work = work.withColumns({f"_{s.out}x": F.col(s.x).cast("double") for s in stats})
-    last = F.coalesce(F.lead("_block").over(line) != F.col("_block"), F.lit(True))
-    seen = {f"_{s.out}n": F.count(f"_{s.out}x").over(line.rowsBetween(Window.unboundedPreceding, 0)) for s in stats}
-    work = work.withColumns({"_last": last, **seen})
-    work = work.withColumns({f"_{s.out}f": F.first(f"_{s.out}x", ignorenulls=True).over(so_far) for s in stats})
-    work = work.withColumns({f"_{s.out}s": own_moments(s, place, so_far) for s in stats})
-    work = work.withColumns({f"_{s.out}o": as_state(s, F.col(f"_{s.out}s"), F.col(f"_{s.out}f"), place) for s in stats})
+    place = F.col("_ewm_place")
+    work = df.withColumns({"_ewm_block": F.floor(at / size), "_ewm_place": F.pmod(at, F.lit(size)).cast("double"), "_ewm_at": at})
+    work = work.withColumns({f"_ewm_{s.out}_x": F.col(s.x).cast("double") for s in stats})
+    last = F.coalesce(F.lead("_ewm_block").over(line) != F.col("_ewm_block"), F.lit(True))
+    seen = {f"_ewm_{s.out}_n": F.count(f"_ewm_{s.out}_x").over(line.rowsBetween(Window.unboundedPreceding, 0)) for s in stats}
+    work = work.withColumns({"_ewm_last": last, **seen})
+    work = work.withColumns({f"_ewm_{s.out}_f": F.first(f"_ewm_{s.out}_x", ignorenulls=True).over(so_far) for s in stats})
+    work = work.withColumns({f"_ewm_{s.out}_s": own_moments(s, place, so_far) for s in stats})
+    work = work.withColumns({f"_ewm_{s.out}_o": as_state(s, F.col(f"_ewm_{s.out}_s"), F.col(f"_ewm_{s.out}_f"), place) for s in stats})
 
     def carry(frame: DataFrame, source: str, target: str) -> DataFrame:
         """``target``: the last of the states ``source`` at the end of a block with values before this row, merged with the row's own."""
-        ends = {f"_{s.out}t": F.when(F.col("_last") & F.col(f"_{s.out}o").isNotNull(), F.struct(F.col("_at").alias("at"), F.col(f"_{s.out}{source}").alias("state"))) for s in stats}
+        ends = {f"_ewm_{s.out}_t": F.when(F.col("_ewm_last") & F.col(f"_ewm_{s.out}_o").isNotNull(), F.struct(F.col("_ewm_at").alias("at"), F.col(f"_ewm_{s.out}_{source}").alias("state"))) for s in stats}
         frame = frame.withColumns(ends)
-        frame = frame.withColumns({f"_{s.out}b": F.last(f"_{s.out}t", ignorenulls=True).over(before) for s in stats})
-        col = {s.out: (F.col(f"_{s.out}b"), F.col(f"_{s.out}o")) for s in stats}
-        frame = frame.withColumns({f"_{s.out}w": shares(s, *col[s.out], F.col("_at") - F.col(f"_{s.out}b.at")) for s in stats})
-        return frame.withColumns({f"_{s.out}{target}": merged(s, *col[s.out], F.col(f"_{s.out}w")) for s in stats})
+        frame = frame.withColumns({f"_ewm_{s.out}_b": F.last(f"_ewm_{s.out}_t", ignorenulls=True).over(before) for s in stats})
+        col = {s.out: (F.col(f"_ewm_{s.out}_b"), F.col(f"_ewm_{s.out}_o")) for s in stats}
+        frame = frame.withColumns({f"_ewm_{s.out}_w": shares(s, *col[s.out], F.col("_ewm_at") - F.col(f"_ewm_{s.out}_b.at")) for s in stats})
+        return frame.withColumns({f"_ewm_{s.out}_{target}": merged(s, *col[s.out], F.col(f"_ewm_{s.out}_w")) for s in stats})
 
     # The state at the end of a block is made of the block and, decayed, the one with values before it.
     work = carry(carry(work, "o", "e"), "e", "r")
-    return work.select(*kept, *[F.when(F.col(f"_{s.out}n") >= s.least, value(s, F.col(f"_{s.out}r"))).alias(s.out) for s in stats])
+    return work.select(*kept, *[F.when(F.col(f"_ewm_{s.out}_n") >= s.least, value(s, F.col(f"_ewm_{s.out}_r"))).alias(s.out) for s in stats])

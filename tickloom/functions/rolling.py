@@ -164,24 +164,24 @@ def rolling(df: DataFrame, rolls: Sequence[Roll], keys: Sequence[str] = KEYS, or
         return df.select(*kept, *[direct(r, keys, order).alias(r.out) for r in small])
     families = {r.family: r for r in long}
     name = {family: f"_roll{k}" for k, family in enumerate(families)}
-    work = df.withColumn("_rn", F.row_number().over(ordered(keys, order)) - 1)
+    work = df.withColumn("_roll_rn", F.row_number().over(ordered(keys, order)) - 1)
     for n in sorted({r.n for r in long}):
         own = {f: r for f, r in families.items() if r.n == n}
-        block = F.floor(F.col("_rn") / n).cast("int")
-        work = work.withColumn("_block", block)
-        inside = Window.partitionBy(*keys, "_block")
-        back = inside.orderBy(F.desc("_rn")).rowsBetween(Window.unboundedPreceding, 0)
-        ahead = inside.orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
+        block = F.floor(F.col("_roll_rn") / n).cast("int")
+        work = work.withColumn("_roll_block", block)
+        inside = Window.partitionBy(*keys, "_roll_block")
+        back = inside.orderBy(F.desc("_roll_rn")).rowsBetween(Window.unboundedPreceding, 0)
+        ahead = inside.orderBy("_roll_rn").rowsBetween(Window.unboundedPreceding, 0)
         work = work.withColumns({name[f] + "t": aggregates(r, back) for f, r in own.items()})
         work = work.withColumns({name[f] + "h": aggregates(r, ahead) for f, r in own.items()})
         # The end of the block before, from n - 1 rows back; a row that ends its block has the frame already.
-        line = Window.partitionBy(*keys).orderBy("_block", "_rn")
-        ends = F.pmod("_rn", F.lit(n)) == n - 1
+        line = Window.partitionBy(*keys).orderBy("_roll_block", "_roll_rn")
+        ends = F.pmod("_roll_rn", F.lit(n)) == n - 1
         work = work.withColumns({name[f] + "t": F.when(~ends, F.lag(name[f] + "t", n - 1).over(line)) for f in own})
         work = work.withColumns({name[f]: merged(F.col(name[f] + "t"), F.col(name[f] + "h"), r) for f, r in own.items()})
-        work = work.drop("_block", *[name[f] + half for f in own for half in "th"])
+        work = work.drop("_roll_block", *[name[f] + half for f in own for half in "th"])
     lags = sorted({r.lag for r in long} - {0})
-    line = Window.partitionBy(*keys).orderBy("_rn")
+    line = Window.partitionBy(*keys).orderBy("_roll_rn")
     shifted = {(f, k): f"{name[f]}_{k}" for k in lags for f in families if any(r.family == f and r.lag == k for r in long)}
     work = work.withColumns({c: F.lag(name[f], k).over(line) for (f, k), c in shifted.items()})
 
