@@ -148,19 +148,20 @@ def compose(tables: list[dict]) -> Answer:
     return min(tables[0][START, end] for end in ACCEPTS if (START, end) in tables[0])
 
 
-TABLE = "array<struct<start:int,end:int,cost:long,audit:string>>"
-
-
 def block_tables(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    names = ("start", "end", "cost", "audit")
+    """Each block's table as text, ``start end cost audit`` on a line."""
     for args in batches:
-        yield pd.Series([[dict(zip(names, row, strict=True)) for row in block_table(*one)] for one in zip(*args, strict=True)])
+        yield pd.Series(["\n".join(" ".join(map(str, row)) for row in block_table(*one)) for one in zip(*args, strict=True)], dtype=object)
+
+
+def read_table(text: str) -> dict:
+    rows = (line.split(" ") for line in text.split("\n"))
+    return {(int(start), int(end)): (int(cost), audit) for start, end, cost, audit in rows}
 
 
 def composed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for found in batches:
-        tables = ([{(r["start"], r["end"]): (r["cost"], r["audit"]) for r in t} for t in one] for one in found)
-        yield pd.DataFrame([compose(t) for t in tables], columns=["cost", "audit"])
+        yield pd.DataFrame([compose([read_table(t) for t in one]) for one in found], columns=["cost", "audit"])
 
 
 def filled(name: str) -> Column:
@@ -243,7 +244,7 @@ def audited(rows: DataFrame) -> DataFrame:
         (F.col("block") == 0).alias("first"),
         ((F.col("block") + 1) * BLOCK > F.col("end")).alias("last"),
     )
-    searched = placed.select("conv", "block", F.pandas_udf(block_tables, TABLE)("initials", "faults", "first", "last").alias("found"))
+    searched = placed.select("conv", "block", F.pandas_udf(block_tables, "string")("initials", "faults", "first", "last").alias("found"))
     tables = searched.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("block", "found"))).alias("tables"))
     return tables.select("conv", F.pandas_udf(composed, "cost long, audit string")(F.col("tables.found")).alias("r")).select("conv", "r.*")
 
