@@ -21,8 +21,8 @@ least ``PERCENT`` * union, so linked sets differ in few shingles: at most ``diff
   outside the bucket's largest component with all members of other components.  No other pair
   can join two components, so no link is lost and pairs of one group are never listed.
 * Candidates pass the length bound and a parity bitmap (one bit flips for every differing
-  shingle, so more different bits than ``differences`` prove a pair unlinked) before the texts
-  of the rest are fetched and verified exactly.
+  shingle, so more different bits than ``differences`` prove a pair unlinked; long sets have a
+  second, longer one) before the texts of the rest are fetched and verified exactly.
 
 Texts are read three times, by row address: for set sizes, for keys (one row for each class) and for
 verification (candidates alone).  Shingles are compared as word tuples when verified, and by
@@ -78,12 +78,17 @@ def hashes(text: str) -> np.ndarray:
     return np.array(list({xxh64_intdigest(b" ".join(s), 0) for s in shingles(text)}), dtype=np.uint64)
 
 
-def parity(h: np.ndarray) -> np.ndarray:
-    """Bitmap in which each shingle has flipped one bit."""
-    flips = np.bincount((mixed(h) & np.uint64(64 * LANES - 1)).astype(np.int64), minlength=64 * LANES) & 1
+def parity(h: np.ndarray, lanes: int) -> np.ndarray:
+    """Bitmap of ``lanes`` 64-bit words in which each shingle has flipped one bit; ``lanes`` is a power of two."""
+    flips = np.bincount((mixed(h) & np.uint64(64 * lanes - 1)).astype(np.int64), minlength=64 * lanes) & 1
     return np.packbits(flips.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def lanes_of(n: int) -> int:
+    """Words of a bitmap with at least a bit for every shingle."""
+    return max(LANES, 1 << (n // 64).bit_length())
+
+
 def differences(a: int, b: int, percent: int = PERCENT) -> int:
     """How many shingles linked sets of ``a`` and ``b`` elements can differ in."""
     return (100 - percent) * (a + b) // (100 + percent)
@@ -114,6 +119,8 @@ def reserve_for(low: int, segments: int, double: int, share: float) -> int:
         return 0
     mean = low / segments
     lost = (segments - double) * math.exp(-mean) + 2 * double * (1 + mean) * math.exp(-mean)
+    if lost > 500.0:  # beyond the range of exp; such a cut lacks more than it could ever reserve
+        return 2 * segments
     term, kept, k = math.exp(-lost), math.exp(-lost), 0
     while 1 - kept > share:
         k += 1
@@ -124,7 +131,8 @@ def reserve_for(low: int, segments: int, double: int, share: float) -> int:
 
 def cuts_of(low: int, need: int, share: float) -> Iterator[tuple[float, Cut]]:
     """Cuts whose allowances reach ``need`` and their reserve, with their costs."""
-    for double in range(need + 1):
+    # Few doubled segments pay in long sets, where the deletions outnumber the segments saved.
+    for double in range(need + 1 if need <= 64 else 1):
         for single in range(max(0, need - 2 * double), low - double + 1):
             segments = single + double
             reserve = reserve_for(low, segments, double, share)
@@ -143,8 +151,7 @@ def allocate(low: int, high: int, sets: int, percent: int = PERCENT) -> Cut:
     if need == 1:
         return Cut(low, 1, 0, 0)
     while True:
-        # Few doubled segments pay in long sets, where their subsets' deletions outnumber the segments saved.
-        found = min(cuts_of(low, need, share) if need <= 64 else (c for c in cuts_of(low, need, share) if not c[1].double), key=lambda c: c[0], default=None)
+        found = min(cuts_of(low, need, share), key=lambda c: c[0], default=None)
         if found or share >= 1.0:
             return found[1] if found else Cut(low, need, 0, 0)
         share = min(1.0, share * 4)
@@ -176,12 +183,13 @@ def keys_of_set(h: np.ndarray, edges: list[tuple[int, int]], cuts: list[Cut], pe
 
 
 def measured(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    names = ["n", "s1", "s2", "bits"]
+    names = ["n", "s1", "s2", "bits", "wide"]
     for texts in batches:
         rows = []
         for text in texts:
             h = hashes(text)
-            rows.append((len(h), int(mixed(h).sum(dtype=np.uint64).view(np.int64)), int(mixed(~h).sum(dtype=np.uint64).view(np.int64)), parity(h).tolist()))
+            wide = parity(h, lanes_of(len(h))).tolist() if lanes_of(len(h)) > LANES else None
+            rows.append((len(h), *(int(mixed(x).sum(dtype=np.uint64).view(np.int64)) for x in (h, ~h)), parity(h, LANES).tolist(), wide))
         yield pd.DataFrame(rows, columns=names)
 
 
@@ -238,17 +246,36 @@ def verified(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
         yield pd.Series(out, dtype=bool)
 
 
+def most_apart(x: Column, y: Column) -> Column:
+    return F.floor((100 - PERCENT) * (x["n"] + y["n"]) / (100 + PERCENT))
+
+
 def plausible(a: str, b: str) -> Column:
     """Length bound and parity bound of two sets, as structs (n, bits)."""
     x, y = F.col(a), F.col(b)
-    low, high, both = F.least(x["n"], y["n"]), F.greatest(x["n"], y["n"]), x["n"] + y["n"]
     apart = sum((F.bit_count(x["bits"][i].bitwiseXOR(y["bits"][i])) for i in range(LANES)), F.lit(0))
-    return (100 * low >= PERCENT * high) & (apart <= F.floor((100 - PERCENT) * both / (100 + PERCENT)))
+    return (100 * F.least(x["n"], y["n"]) >= PERCENT * F.greatest(x["n"], y["n"])) & (apart <= most_apart(x, y))
+
 
+def plausible_wide(a: str, b: str) -> Column:
+    """Parity bound of two sets too long for the short bitmap, as structs (n, wide); the longer bitmap is folded onto the other."""
+    x, y = F.col(a), F.col(b)
+    lanes = F.least(F.size(x["wide"]), F.size(y["wide"]))
+
+    def folded(bits: Column) -> Column:
+        halves = F.zip_with(F.slice(bits, 1, lanes), F.slice(bits, lanes + 1, lanes), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(bits) > lanes, halves).otherwise(bits)
+
+    apart = F.aggregate(F.zip_with(folded(x["wide"]), folded(y["wide"]), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, k: s + k)
+    return F.coalesce(apart <= most_apart(x, y), F.lit(True))
 
-def true_links(pairs: DataFrame, rows: DataFrame, label: str) -> DataFrame:
+
+def true_links(pairs: DataFrame, classes: DataFrame, rows: DataFrame, label: str) -> DataFrame:
     """Those of ``pairs(a, b)`` that link by the texts at their addresses."""
-    pairs = written(pairs, f"{label}-candidates")
+    pairs = written(pairs, f"{label}-plausible")
+    marks = classes.where("wide is not null").select("id", F.struct("n", "wide").alias("set"))
+    x, y = (marks.select(F.col("id").alias(side), F.col("set").alias(name)) for side, name in (("a", "x"), ("b", "y")))
+    pairs = written(pairs.join(x, "a", "left").join(y, "b", "left").where(plausible_wide("x", "y")).select("a", "b"), f"{label}-candidates")
     wanted = pairs.select(F.col("a").alias("at")).union(pairs.select("b")).distinct()
     texts = rows_by_mark(rows, wanted, f"{label}-wanted", marked=True).select("at", F.coalesce(F.col("row.text").cast("string"), F.lit("")).alias("text"))
     met = pairs.join(texts.select(F.col("at").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("at").alias("b"), F.col("text").alias("y")), "b")
@@ -256,7 +283,7 @@ def true_links(pairs: DataFrame, rows: DataFrame, label: str) -> DataFrame:
 
 
 def set_links(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """(id, root) of all classes that link with others, but the roots; ``classes``: id, n, bits."""
+    """(id, root) of all classes that link with others, but the roots; ``classes``: id, n, bits, wide."""
     sized = classes.groupBy("n").count().collect()  # one row for each set size
     edges = bands(max((r["n"] for r in sized), default=0))
     held = [sum(r["count"] for r in sized if low <= r["n"] <= high) for low, high in edges]
@@ -275,8 +302,9 @@ def set_links(rows: DataFrame, classes: DataFrame) -> DataFrame:
         return with_sets.where(plausible("x", "y")).select("a", "b")
 
     stars = members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    links = true_links(between(stars), rows, "sets-star")
+    links = true_links(between(stars), classes, rows, "sets-star")
     roots = components(links, "sets-first").withColumnsRenamed({"node": "id"})
+
     placed = members.select("bucket", "id").distinct().join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
     per_root = placed.groupBy("bucket", "root").count()
     open_buckets = per_root.groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
@@ -286,20 +314,20 @@ def set_links(rows: DataFrame, classes: DataFrame) -> DataFrame:
     crossing = outside.join(others, "bucket").where((F.col("ra") != F.col("rb")) & (F.col("inside") | (F.col("a") > F.col("b"))) & plausible("x", "y"))
     known = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))  # stars have been verified
     new = crossing.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
-    return components(links.union(true_links(new, rows, "sets-rest")), "sets-links").withColumnsRenamed({"node": "id"})
+    return components(links.union(true_links(new, classes, rows, "sets-rest")), "sets-links").withColumnsRenamed({"node": "id"})
 
 
 def set_groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of ``docs``."""
     rows = addressed(docs, "sets-docs")
     text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
-    measure = F.pandas_udf(measured, "n long, s1 long, s2 long, bits array<long>")
+    measure = F.pandas_udf(measured, "n long, s1 long, s2 long, bits array<long>, wide array<long>")
     sets = written(rows.select("at", F.col("row.doc_id").cast("long").alias("doc_id"), measure(text).alias("m")).select("at", "doc_id", "m.*"), "sets-rows")
     whole = ["n", "s1", "s2"]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id"))
-    classes = sets.where("n > 0").groupBy(*whole).agg(F.min("at").alias("id"), first.alias("least"), F.min_by("bits", "at").alias("bits"))
-    classes = written(classes, "sets-known")
-    roots = written(set_links(rows, classes.select("id", "n", "bits")), "sets-roots")
+    classes = sets.where("n > 0").groupBy(*whole).agg(F.min("at").alias("id"), first.alias("least"), F.min_by(F.struct("bits", "wide"), "at").alias("marks"))
+    classes = written(classes.select(*whole, "id", "least", "marks.*"), "sets-known")
+    roots = written(set_links(rows, classes.select("id", "n", "bits", "wide")), "sets-roots")
     # Classes without links answer themselves.
     root_of = classes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     best = root_of.groupBy("root").agg(F.min("least").alias("best"))
