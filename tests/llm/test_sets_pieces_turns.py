@@ -288,3 +288,18 @@ def test_stages_keep_columns_of_any_name(spark, name):
     rows = out.collect()
     assert sorted(r["doc_id"] or 0 for r in rows) == ([1, 3, 5] if name != "contaminated" else [0, 3, 5])
     assert all(r[h] == f"{h}-{r['doc_id'] or 0}" for r in rows for h in HELPERS)
+
+
+# --- line dedup: one kept line for each component --------------------------
+
+
+def test_one_line_of_a_component_is_kept_whatever_the_ids(spark):
+    from tickloom.llm import lines
+
+    rng = random.Random(17)
+    a, b, c = (prose(rng, 12) for _ in range(3))
+    rows = [(None, a), (None, a), (1, b), (1, b), (7, c), (7, c + "."), (None, "alone here")]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOC).repartition(3)
+    got = lines.line_groups(df).collect()
+    assert len(got) == 7 and sum(r["kept"] for r in got) == 4
+    assert sorted(r["group_lines"] for r in got if r["kept"]) == [1, 2, 2, 2]

@@ -20,7 +20,7 @@ near when the Jaccard similarity of their sets is ``similarity`` or more.
   ``1 - similarity + d(x, hub)`` of x's nearest hub; just those pairs are compared too.  So a group of m near lines costs m comparisons,
   not m * m, a bucket takes a logarithmic number of rounds, and no link of it is lost.
 * Links are joined by distributed union-find; of each component the first line (smallest
-  doc_id, then line number) stays.
+  doc_id, then line number, then the earlier row) stays, one line whatever the ids.
 
 Cases: null and empty texts have no lines; null doc_ids come after all others; repeated rows
 have lines of their own; an empty table gives no rows; columns beyond doc_id and text are
@@ -42,8 +42,9 @@ BLANK = " \t\x0b\x0c\r"
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line) of all lines that are not blank."""
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode_outer(F.split(text_or_empty(), "\n")).alias("line_no", "line"))
+    """(doc_id, row, line_no, line) of all lines that are not blank; ``row`` numbers the rows of ``docs``."""
+    numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_or_empty().alias("text"))
+    pieces = numbered.select("doc_id", "row", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
     return pieces.withColumn("line", F.trim("line", F.lit(BLANK))).where("line <> ''")
 
 
@@ -138,8 +139,8 @@ def near_links(found: DataFrame, similarity: float) -> DataFrame:
 def line_groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """doc_id, line_no, keep_doc_id, keep_line_no, group_lines and kept for every line that is not blank."""
     found = occurrences(docs)
-    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "line_no")
-    rows = written(found.select("doc_id", "line_no", digest(F.col("line")).alias("digest")), "line-rows")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "line_no", "row")
+    rows = written(found.select("doc_id", "row", "line_no", digest(F.col("line")).alias("digest")), "line-rows")
     classes = rows.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     classes = written(classes, "line-classes")
     roots = components(near_links(found, similarity), "line-links")
@@ -156,5 +157,5 @@ def line_groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
         F.col("best.doc_id").alias("keep_doc_id"),
         F.col("best.line_no").alias("keep_line_no"),
         F.col("total").alias("group_lines"),
-        (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("line_no") == F.col("best.line_no"))).alias("kept"),
+        ((F.col("row") == F.col("best.row")) & (F.col("line_no") == F.col("best.line_no"))).alias("kept"),
     )
