@@ -1,11 +1,11 @@
 """Exact dedup by a tree merge of sorted digest runs.
 
-Each input partition makes one run: its distinct digests in order, each with the
-verified best row so far and the number of rows.  Runs then meet in rounds as in a
-binomial tree: ``2**step`` neighbouring runs exchange their digests and are merged
-into one longer run, which keeps the best row of each digest, until one level holds
-each digest once.  A merge is grouped by (run, digest), so a run is spread over all
-tasks and no task holds one whole; of a group of copies with a third of all rows, a
+Each input partition makes one run: its distinct digests, each with the verified best
+row so far and the number of rows.  Runs then meet in rounds as in a binomial tree:
+``2**step`` neighbouring runs exchange their digests and are merged into one longer run,
+which keeps the best row of each digest, until one level holds each digest once.  A merge
+is Spark's grouping by (run, digest) in place of a sorted multiway merge, so a run is
+spread over all tasks and no task holds or sorts one whole; of a group of copies with a third of all rows, a
 merge sees at most ``2**step`` entries.  The answers go down the same tree: a level
 asks only the level above, and a row asks only its own run.
 
