@@ -18,7 +18,8 @@ least ``PERCENT`` * union, so linked sets differ in few shingles: at most ``diff
 * Buckets: equal keys of one batch meet inside the batch, so a bucket sends one row for each batch.
   Every member is compared with the least set of its bucket; that links groups of any size by
   stars.  Buckets whose members are then still in different components compare the members
-  outside the bucket's largest component with all members of other components.  No other pair
+  outside the bucket's largest component with a few of its members, so that those with many
+  links to it need not list them, and what then remains with all members of other components.  No other pair
   can join two components, so no link is lost and pairs of one group are never listed.
 * Candidates pass the length bound and a parity bitmap (one bit flips for every differing
   shingle, so more different bits than ``differences`` prove a pair unlinked; long sets have a
@@ -52,6 +53,7 @@ from .components import components
 SHINGLE, PERCENT = 4, 85
 LANES = 8  # 64-bit words of a parity bitmap
 SPARSE = 50.0  # how much dearer a key is whose subset is likely empty
+SEATS = 4  # members of a bucket's largest component that those outside it meet first
 THIN = 1000.0  # sets of a band that may index empty subsets
 PART = 1 << 20  # rows handed on at once
 
@@ -305,10 +307,20 @@ def set_links(rows: DataFrame, classes: DataFrame) -> DataFrame:
     links = true_links(between(stars), classes, rows, "sets-star")
     roots = components(links, "sets-first").withColumnsRenamed({"node": "id"})
 
-    placed = members.select("bucket", "id").distinct().join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
-    per_root = placed.groupBy("bucket", "root").count()
-    open_buckets = per_root.groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    met = written(placed.join(open_buckets.select("bucket", "main"), "bucket").join(marks, "id"), "sets-open")
+    def open_members(roots: DataFrame) -> DataFrame:
+        """(bucket, id, root, main) of the buckets whose members are in different components; ``main``: the largest of them."""
+        placed = members.select("bucket", "id").distinct().join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+        per_root = placed.groupBy("bucket", "root").count()
+        several = per_root.groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+        return written(placed.join(several.select("bucket", "main"), "bucket"), "sets-open")
+
+    # Members outside the largest component first meet a few of its members: one link is enough to join it.
+    met = open_members(roots)
+    seats = F.array_distinct(F.array(*[F.min_by("id", F.xxhash64("id", F.lit(k))) for k in range(SEATS)]))
+    hubs = met.where("root = main").groupBy("bucket").agg(seats.alias("seats")).select("bucket", F.explode("seats").alias("b"))
+    tried = met.where("root <> main").select("bucket", F.col("id").alias("a")).join(hubs, "bucket").select("a", "b").distinct()
+    links = links.union(true_links(between(tried), classes, rows, "sets-seats"))
+    met = open_members(components(links, "sets-second").withColumnsRenamed({"node": "id"})).join(marks, "id")
     outside = met.where("root <> main").select("bucket", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("set").alias("x"))
     others = met.select("bucket", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("set").alias("y"), (F.col("root") == F.col("main")).alias("inside"))
     crossing = outside.join(others, "bucket").where((F.col("ra") != F.col("rb")) & (F.col("inside") | (F.col("a") > F.col("b"))) & plausible("x", "y"))
