@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import daily, days, panel
+from tickloom.functions.scalar import rnd
 from tickloom.operators import accounting, adjust, costs, futures, metrics, outcomes, risk, sessions
 from tickloom.operators.align import asof_backward, keep_last
 
@@ -210,3 +211,23 @@ def test_asof_crosses_buckets(spark):
 def test_keep_last(spark):
     d = spark.createDataFrame([("a", 1, 1.0), ("a", 2, None), ("b", 1, 3.0)], "k string, seq int, v double")
     assert {r["k"]: r["v"] for r in keep_last(d, ["k"], "seq").collect()} == {"a": None, "b": 3.0}
+
+
+def test_rounding_keeps_values_beyond_a_long(spark):
+    cases = [(2.6146441874062735e57, 2.6146441874062735e57), (-1.0e40, -1.0e40), (1.2e14, 1.2e14), (1.0e306, 1.0e306), (2.0**52 + 1, 2.0**52 + 1), (0.125, 0.13), (-0.125, -0.13), (0.49, 0.49)]
+    got = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "i int, x double").select("i", rnd("x", 2).alias("y")).orderBy("i").collect()
+    assert [r["y"] for r in got] == [pytest.approx(want, rel=1e-15) for _, want in cases]
+    assert rnd_of(spark, float("inf")) == float("inf") and rnd_of(spark, None) is None and math.copysign(1, rnd_of(spark, -0.0001)) == 1
+
+
+def rnd_of(spark, x):
+    return spark.createDataFrame([(x,)], "x double").select(rnd("x", 2).alias("y")).first()["y"]
+
+
+def test_total_return_index_of_heavy_dividends(spark):
+    """ADJ-02: an index that multiplies past 2**63 / 10**5 is reported as it is."""
+    p = panel(spark, {"A": [100.0] * 120}).withColumn("adj_close", F.col("close"))
+    paid = spark.createDataFrame([("A", d.date(), 100.0) for d in days(120)[1:]], "symbol string, ex_date date, value double")
+    out = adjust.total_return(p.drop("tr"), paid, p.select("pos", "ts")).select("pos", rnd("tr", 5).alias("tr"))
+    tr = {r["pos"]: r["tr"] for r in out.collect()}
+    assert all(tr[i] == pytest.approx(100 * 2.0**i, rel=1e-9) for i in range(120))

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EPS = 1e-12
+HUGE = 1.0e308  # within the doubles
 
 
 def col(x: Column | str) -> Column:
@@ -37,11 +38,13 @@ def clip(x: Column | str, lo: float | None = None, hi: float | None = None) -> C
 def rnd(x: Column | str, dp: int = 6) -> Column:
     """Round half away from zero for output, in plain double arithmetic.
 
-    Adding 0.0 normalises a negative zero.
+    ``floor`` would hold the scaled value within a long; ``round`` to no places keeps any double.
+    Where the scaled value leaves the doubles, x is whole already.  Adding 0.0 normalises a
+    negative zero.
     """
     x = col(x).cast("double")
-    scale = F.lit(10.0**dp)
-    return F.signum(x) * F.floor(F.abs(x * scale) + 0.5) / scale + F.lit(0.0)
+    scale = 10.0**dp
+    return F.when(F.abs(x) > F.lit(HUGE / scale), x).otherwise(F.round(x * F.lit(scale), 0) / F.lit(scale)) + F.lit(0.0)
 
 
 def positive(x: Column | str, eps: float = EPS) -> Column:
