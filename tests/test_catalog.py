@@ -75,3 +75,26 @@ def test_landed_file_with_envelope(spark, tmp_path):
     row = landed.daily_history(page, "future").first()
     assert (row["close"], row["oi"], row["high"]) == (7.0, 12.0, None)
     assert landed.daily_history(page, "equity").first()["close"] is None
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_assembled_panel_of_heavy_dividends(spark, tmp_path):
+    """PAN-01 with orders 2,000 times as large: its index goes far beyond a long.  The benchmark has a supplier."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in TABLES:
+        more = {"orders": "replace (o_totalprice * 2000 as o_totalprice)", "supplier": "replace (if(s_suppkey = (select min(s_suppkey) from supplier0), 0, s_nationkey) as s_nationkey)"}
+        con.execute(f"create or replace view {t}0 as select * from '{SF}/{t}.parquet'")
+        con.execute(f"copy (select * {more.get(t, '')} from '{SF}/{t}.parquet') to '{tmp_path}/{t}.parquet' (format parquet)")
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    queries, oracles = load()
+    df = queries["PAN-01"](spark, str(tmp_path))
+    cur = con.execute(oracles["PAN-01"])
+    names, want = [c[0] for c in cur.description], cur.fetchall()
+    got = {(r["symbol"], r["ts"]): r for r in df.collect()}
+    assert len(got) == len(want) and max(r["tr"] or 0 for r in got.values()) > 2.0**63
+    for row in want:
+        w = dict(zip(names, row))
+        g = got[w["symbol"], w["ts"]]
+        for c in names:
+            assert g[c] == w[c] or (isinstance(g[c], float) and math.isclose(g[c], w[c], rel_tol=1e-9, abs_tol=2e-6)), (c, g, w)
