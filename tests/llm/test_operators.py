@@ -374,3 +374,12 @@ def test_query_matches_sql(spark, name):
     cur = con.execute(queries.ORACLES[name])
     columns = [c[0] for c in cur.description]
     assert sorted(repr(tuple(r)) for r in df.select(*columns).collect()) == sorted(map(repr, cur.fetchall()))
+
+
+def test_simhash_half_balls_are_not_broadcast(spark, tmp_path):
+    """The half-balls are 66 rows for a fingerprint; file sizes of a small table let them look tiny."""
+    path = str(tmp_path / "prints")
+    spark.range(2000).select(F.xxhash64("id").alias("fp")).coalesce(1).write.parquet(path)
+    links = simhash.near_links(spark.read.parquet(path))
+    links.count()
+    assert "BroadcastHashJoin" not in links._jdf.queryExecution().executedPlan().toString()

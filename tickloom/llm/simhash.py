@@ -83,7 +83,8 @@ def near_links(prints: DataFrame) -> DataFrame:
     reached = (
         split.where("not odd").select("half", "other", _masks([0, *_flips(1, 0, 32)]).alias("m")).select("half", F.col("other").bitwiseXOR(F.col("m")).alias("other")).distinct()
     )
-    walkers = split.where("odd").join(reached, ["half", "other"], "left_semi")
+    # ``reached`` has 66 rows for a fingerprint, which an estimate from file sizes does not see: it is never broadcast.
+    walkers = split.where("odd").join(reached.hint("merge"), ["half", "other"], "left_semi")
     # ``half`` names the part that stays; the two bits are flipped in the other one.
     far = [walkers.where(F.col("half") == half).select("fp", _masks(_flips(2, lo, lo + 32)).alias("m")) for half, lo in ((0, 32), (1, 0))]
     far_rows = far[0].union(far[1]).select(F.col("fp").bitwiseXOR(F.col("m")).alias("v"), "fp", F.lit(False).alias("near"))
