@@ -383,3 +383,13 @@ def test_simhash_half_balls_are_not_broadcast(spark, tmp_path):
     links = simhash.near_links(spark.read.parquet(path))
     links.count()
     assert "BroadcastHashJoin" not in links._jdf.queryExecution().executedPlan().toString()
+
+
+def test_line_sieve_loses_no_wanted_line(spark):
+    rows = spark.range(20000).select(lines.digest(F.col("id").cast("string")).alias("digest"), "id")
+    wanted = rows.where("id % 50 = 7").select("digest")
+    for masks, most in ((1000, 3000), (4, 20000)):  # four masks are full: all rows may pass
+        passed = {r["id"] for r in lines.sieved(rows, wanted, masks).collect()}
+        assert set(range(7, 20000, 50)) <= passed and len(passed) <= most
+    assert lines.sieved(rows, wanted.limit(0)).count() == 0
+    assert lines.sieved(rows, wanted).columns == rows.columns

@@ -19,6 +19,8 @@ near when the Jaccard similarity of their sets is ``similarity`` or more.
   other member y, done with another hub or remaining, can be near only if y is within
   ``1 - similarity + d(x, hub)`` of x's nearest hub; just those pairs are compared too.  So a group of m near lines costs m comparisons,
   not m * m, a bucket takes a logarithmic number of rounds, and no link of it is lost.
+* Only texts of lines in a bucket are fetched; a broadcast sieve of their digests keeps most others
+  from being shuffled, an exact join follows.
 * Links are joined by distributed union-find; of each component the first line (smallest
   doc_id, then line number, then the earlier row) stays, one line whatever the ids.
 
@@ -32,12 +34,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import MASK_BITS, MASKS, text_or_empty, written
 from .components import components
 
 SHINGLE, BANDS, ROWS = 8, 8, 3
 SHORT, BOTH = 96, 120  # distinct shingles: below SHORT one kind of signature, up to BOTH the two kinds
 PROVEN = 160  # positions at the start of a longer line that are searched for BOTH distinct shingles
+SIEVE_BITS = 16  # bits for each digest that is looked for: about 6 % of the other lines pass
 BLANK = " \t\x0b\x0c\r"
 
 
@@ -86,11 +89,27 @@ def buckets(found: DataFrame) -> DataFrame:
     return members.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("n > 1").select("bucket", "digest")
 
 
+def sieved(rows: DataFrame, wanted: DataFrame, masks: int = MASKS) -> DataFrame:
+    """The rows whose digest is in ``wanted(digest)``, and some others, before anything is shuffled.
+
+    The digests set bits in at most ``masks`` masks of 64, which are broadcast.  More digests than
+    these hold let more other rows pass; none that is wanted is lost.
+    """
+    blocks = min(masks, max(1, wanted.count() * SIEVE_BITS >> MASK_BITS))
+    place = F.pmod(F.xxhash64("digest"), F.lit(blocks << MASK_BITS))
+    one = F.expr(f"shiftleft(1L, cast(place & {(1 << MASK_BITS) - 1} as int))")
+    table_of = wanted.select(place.alias("place")).groupBy(F.shiftright("place", MASK_BITS).alias("block")).agg(F.bit_or(one).alias("mask"))
+    met = rows.withColumn("place", place).withColumn("block", F.shiftright("place", MASK_BITS)).join(F.broadcast(table_of), "block")
+    return met.where(F.col("mask").bitwiseAND(one) != 0).select(rows.columns)
+
+
 def near_links(found: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) between digests that join all near lines of the buckets into components."""
     left = written(buckets(found), "line-members")
-    wanted = left.select("digest").distinct()
-    texts = found.select(digest(F.col("line")).alias("digest"), "line").join(wanted, "digest", "left_semi").dropDuplicates(["digest"])
+    wanted = written(left.select("digest").distinct(), "line-wanted")
+    named = found.select(digest(F.col("line")).alias("digest"), "line")
+    # An inner join on distinct digests: Spark would push a semi-join below the sieve, and shuffle every text.
+    texts = sieved(named, wanted).join(wanted, "digest").select("digest", "line").dropDuplicates(["digest"])
     texts = written(texts, "line-texts")
 
     def distances(pairs: DataFrame) -> DataFrame:
