@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -231,3 +232,29 @@ def test_total_return_index_of_heavy_dividends(spark):
     out = adjust.total_return(p.drop("tr"), paid, p.select("pos", "ts")).select("pos", rnd("tr", 5).alias("tr"))
     tr = {r["pos"]: r["tr"] for r in out.collect()}
     assert all(tr[i] == pytest.approx(100 * 2.0**i, rel=1e-9) for i in range(120))
+
+
+def test_total_return_index_of_many_bars(spark):
+    """PAN-01, ADJ-02: the index of 2,500 heavy dividends is exact to a few units in the 14th digit."""
+    n = 2500
+    paid = [0.0] + [2.0 + 9.0 * (i * 7919 % 1000) / 1000 for i in range(1, n)]
+    p = panel(spark, {"A": [100.0] * n}).withColumn("adj_close", F.col("close"))
+    divs = spark.createDataFrame([("A", d.date(), paid[i]) for i, d in enumerate(days(n)) if i], "symbol string, ex_date date, value double")
+    out = adjust.total_return(p.drop("tr"), divs, p.select("pos", "ts")).select("pos", "tr")
+    want, product = [], Fraction(100)
+    for x in paid:
+        product *= (100 + Fraction(x)) / 100
+        want.append(float(product))
+    assert want[-1] > 1e60
+    tr = {r["pos"]: r["tr"] for r in out.collect()}
+    assert max(abs(tr[i] / want[i] - 1) for i in range(n)) < 3e-14
+
+
+def test_total_return_index_keeps_bad_ticks(spark):
+    p = spark.createDataFrame([("A", i, float(x)) for i, x in enumerate([10, 20, "inf", 20])] + [("B", i, float(x)) for i, x in enumerate([10, 20, "nan", 20])], "symbol string, pos long, adj_close double")
+    p = p.withColumn("ts", F.timestamp_seconds(F.col("pos") * 86400))
+    none = spark.createDataFrame([], "symbol string, ex_date date, value double")
+    out = adjust.total_return(p, none, p.where("symbol = 'A'").select("pos", "ts")).collect()
+    tr = {(r["symbol"], r["pos"]): r["tr"] for r in out}
+    assert [tr["A", i] for i in range(2)] == pytest.approx([10.0, 20.0]) and tr["A", 2] == math.inf
+    assert tr["B", 1] == pytest.approx(20.0) and math.isnan(tr["B", 2]) and math.isnan(tr["B", 3])

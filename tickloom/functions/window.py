@@ -7,6 +7,7 @@ pass over one sort order.  No frame ends after the current row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, Window, WindowSpec
@@ -30,6 +31,18 @@ def cumulative(keys: Sequence[str] = KEYS, order: str = "ts", lag: int = 0) -> W
     return ordered(keys, order).rowsBetween(Window.unboundedPreceding, -lag)
 
 
+def cumulative_logs(x: Column | str, keys: Sequence[str] = KEYS, order: str = "ts") -> Column:
+    """Running sum of logarithms, whose rounding does not grow with the number of rows.
+
+    Finite logarithms of doubles lie within 746 and are summed as decimals; a double sum of
+    a few thousand would lose three digits of ``exp``.  Others (infinite, NaN) keep their effect.
+    """
+    x, w = col(x), cumulative(keys, order)
+    finite = F.abs(x) < F.lit(math.inf)  # NaN is beyond all numbers
+    exact = F.sum(F.when(finite, x).otherwise(0.0).cast("decimal(38,18)")).over(w).cast("double")
+    return exact + F.sum(F.when(finite, 0.0).otherwise(x)).over(w)
+
+
 def shift(x: Column | str, k: int = 1, keys: Sequence[str] = KEYS, order: str = "ts") -> Column:
     return F.lag(col(x), k).over(ordered(keys, order))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import as_ts, day, div
-from ..functions.window import cumulative, shift
+from ..functions.window import cumulative, cumulative_logs, shift
 from .align import snap
 
 
@@ -60,9 +60,8 @@ def total_return(
     prev = shift(adj)
     factor = div(F.col(adj) + F.coalesce("div", F.lit(0.0)), prev)
     out = paid.withColumn("_lf", F.coalesce(F.ln(F.when(factor > 0, factor)), F.lit(0.0)))
-    w = cumulative()
-    base = F.first(adj, ignorenulls=True).over(w)
-    return out.withColumn("tr", base * F.exp(F.sum("_lf").over(w))).drop("_lf")
+    base = F.first(adj, ignorenulls=True).over(cumulative())
+    return out.withColumn("tr", base * F.exp(cumulative_logs("_lf"))).drop("_lf")
 
 
 def delisting_returns(panel: DataFrame, listings: DataFrame, pct: float = -0.30) -> DataFrame:
