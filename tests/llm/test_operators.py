@@ -393,3 +393,38 @@ def test_line_sieve_loses_no_wanted_line(spark):
         assert set(range(7, 20000, 50)) <= passed and len(passed) <= most
     assert lines.sieved(rows, wanted.limit(0)).count() == 0
     assert lines.sieved(rows, wanted).columns == rows.columns
+
+
+def test_line_buckets_of_any_size_are_compared_whole(spark, monkeypatch):
+    """All lines in one bucket, in blocks of about six: near groups, chains and others, against brute force."""
+    rng = random.Random(29)
+    texts = []
+    for _ in range(4):
+        words = prose(rng, 30).split()
+        for k in range(9):
+            words[3 * k] = prose(rng, 1)
+            texts.append(" ".join(words))
+    texts += [prose(rng, 25) for _ in range(10)]
+    monkeypatch.setattr(lines, "buckets", lambda found: found.select(F.lit(1).cast("long").alias("bucket"), lines.digest(F.col("line")).alias("digest")).distinct())
+    monkeypatch.setattr(lines, "SMALL", 4, raising=False)
+    monkeypatch.setattr(lines, "BLOCK", 6, raising=False)
+    got = {(r[0], r[1]): (r[2], r[3], r[4]) for r in lines.line_groups(documents(spark, texts)).collect()}
+    assert got == brute.near_lines(list(enumerate(texts)))
+
+
+def test_line_templates_write_no_row_for_each_pair(spark, monkeypatch):
+    """120 lines of one template that are not near each other: rows grow with the lines, not their pairs."""
+    rng = random.Random(31)
+    head = prose(rng, 6)[:45]
+    texts = [head + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30)) for _ in range(120)]
+    rows, written = {}, lines.written
+
+    def counted(df, label):
+        out = written(df, label)
+        rows[label] = out.count()
+        return out
+
+    monkeypatch.setattr(lines, "written", counted)
+    got = lines.line_groups(documents(spark, texts)).collect()
+    assert len(got) == 120 and all(r["kept"] for r in got)
+    assert rows["line-members"] > 120 and max(rows.values()) <= lines.BANDS * 120

@@ -5,20 +5,16 @@ blank lines are not rows of the result.  Equal lines form a class.  A line is th
 runs of ``SHINGLE`` characters (UTF-16 units; shorter lines are one run), and two lines are
 near when the Jaccard similarity of their sets is ``similarity`` or more.
 
-* Signature: ``BANDS`` x ``ROWS`` minima.  Short lines take one hash function per minimum;
-  long ones hash each shingle once and take the minimum of each of as many bins.  Lines
-  around the boundary have both kinds, so that no near pair falls between the two.  What
-  counts is distinct shingles, not length: a long line whose start does not show enough of
-  them, such as a rule or a repeated phrase, has both kinds.  The minima are one aggregate
-  over exploded positions, inside generated code.
+* Signature: each shingle is hashed once; the smallest ``SAMPLE`` distinct hashes of a line are
+  dealt into ``BANDS`` x ``ROWS`` bins, and an empty bin takes the minimum of the next filled
+  one.  All of it happens inside the row, so no minima are shuffled.
 * Bands of ``ROWS`` minima are the buckets: with 8 x 3, a pair at 0.8 shares one with 99.7 %.
-* Buckets are settled in rounds.  Every member is compared with the bucket's hub, its
-  smallest line, by exact Jaccard.  Members near the hub are linked and done; the others
-  go on to the next round, with eight times as many hubs (the smallest lines of hash
-  slices), until none is left.  Jaccard distance is a metric, so a done member x and any
-  other member y, done with another hub or remaining, can be near only if y is within
-  ``1 - similarity + d(x, hub)`` of x's nearest hub; just those pairs are compared too.  So a group of m near lines costs m comparisons,
-  not m * m, a bucket takes a logarithmic number of rounds, and no link of it is lost.
+* Star: every member of a bucket is compared with its hub, the smallest line, by exact Jaccard.
+  Members that this leaves in different components then meet each other, unless the triangle
+  inequality on the distances to the hub or the sizes rule the pair out.  Large buckets meet in
+  blocks of lines; there bitmaps of the shingle hashes bound the overlap from above, and only pairs
+  that all bounds leave open become rows.  No link of a bucket is lost; the bounds themselves are
+  still evaluated for each pair of a large bucket.
 * Only texts of lines in a bucket are fetched; a broadcast sieve of their digests keeps most others
   from being shuffled, an exact join follows.
 * Links are joined by distributed union-find; of each component the first line (smallest
@@ -38,8 +34,10 @@ from .common import MASK_BITS, MASKS, text_or_empty, written
 from .components import components
 
 SHINGLE, BANDS, ROWS = 8, 8, 3
-SHORT, BOTH = 96, 120  # distinct shingles: below SHORT one kind of signature, up to BOTH the two kinds
-PROVEN = 160  # positions at the start of a longer line that are searched for BOTH distinct shingles
+BINS, BIN_AT = BANDS * ROWS, 58  # the bin's number lies above this bit
+SAMPLE = 96  # distinct hashes of a line, its smallest, that are dealt into the bins
+SMALL, BLOCK = 64, 256  # buckets of more members than SMALL are compared in blocks of about BLOCK
+WORDS = 64  # of 64 bits, in the bitmap of such a line
 SIEVE_BITS = 16  # bits for each digest that is looked for: about 6 % of the other lines pass
 BLANK = " \t\x0b\x0c\r"
 
@@ -56,36 +54,43 @@ def digest(line: Column) -> Column:
 
 
 def shingle_hashes(line: Column) -> Column:
-    """Distinct shingle hashes of a line, for lines that are compared."""
-    return unit_hashes(F.encode(line, "UTF-16BE"))
+    """Hashes of a line's shingles, repeats included; the outer lambda holds the units, so that no position copies them."""
+    units = F.array(F.encode(line, "UTF-16BE"))
+    places = lambda u: F.sequence(F.lit(0), F.greatest(F.lit(0), F.shiftright(F.octet_length(u), 1) - SHINGLE))
+    return F.transform(units, lambda u: F.transform(places(u), lambda i: F.xxhash64(F.substring(u, F.shiftleft(i, 1) + 1, F.lit(2 * SHINGLE)))))[0]
 
 
-def unit_hashes(units: Column) -> Column:
-    places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.shiftright(F.octet_length(units), 1) - SHINGLE))
-    return F.array_distinct(F.zip_with(places, F.array_repeat(units, F.size(places)), lambda i, u: F.xxhash64(F.substring(u, 2 * i + 1, F.lit(2 * SHINGLE)))))
+def shingle_set(line: Column) -> Column:
+    return F.array_distinct(shingle_hashes(line))
+
+
+def apart(x: Column, y: Column) -> list[Column]:
+    """Sizes of two sets and their Jaccard distance."""
+    same = F.size(F.array_intersect(x, y))
+    return [F.size(x).alias("nx"), F.size(y).alias("ny"), (1.0 - same / (F.size(x) + F.size(y) - same)).alias("d")]
 
 
 def signatures(found: DataFrame) -> DataFrame:
-    """(digest, short, m0, m1, ...): minima of each kind of signature a line has."""
-    units = found.select(digest(F.col("line")).alias("digest"), F.encode("line", "UTF-16BE").alias("units"))
-    last = F.greatest(F.lit(0), F.shiftright(F.octet_length("units"), 1) - SHINGLE)
-    rows = units.select("digest", "units", last.alias("last"))
-    # Positions bound the distinct shingles from above, those of the line's start from below.
-    start = F.substring("units", 1, 2 * (PROVEN + SHINGLE - 1))
-    few = F.when(F.col("last") < BOTH - 1, True).otherwise(F.size(unit_hashes(start)) < BOTH)
-    kinds = F.when(F.col("last") < SHORT - 1, F.array(F.lit(True))).when(few, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
-    placed = rows.select("digest", "units", "last", F.explode_outer(kinds).alias("short")).select("digest", "units", "short", F.explode_outer(F.sequence(F.lit(0), F.col("last"))).alias("at"))
-    hashed = placed.select("digest", "short", F.xxhash64(F.substring("units", 2 * F.col("at") + 1, F.lit(2 * SHINGLE))).alias("h"))
-    binned = hashed.select("digest", "short", "h", F.pmod("h", F.lit(BANDS * ROWS)).cast("int").alias("bin"))
-    minima = [F.min(F.when(F.col("short"), F.xxhash64("h", F.lit(k))).when(F.col("bin") == k, F.col("h"))).alias(f"m{k}") for k in range(BANDS * ROWS)]
-    return binned.groupBy("digest", "short").agg(*minima)
+    """(digest, minima): the smallest hash of each of the bins, empty bins taking that of the next filled one."""
+    hashed = found.select(digest(F.col("line")).alias("digest"), F.sort_array(shingle_hashes(F.col("line"))).alias("h"))
+    low = hashed.select("digest", "h", F.array_distinct(F.slice("h", 1, 2 * SAMPLE)).alias("low"))
+    # Many repeats: the first hashes do not show enough distinct ones.
+    scarce = (F.size("h") > 2 * SAMPLE) & (F.size("low") < SAMPLE)
+    low = low.select("digest", F.slice(F.when(scarce, F.array_distinct("h")).otherwise(F.col("low")), 1, SAMPLE).alias("low"))
+    # The bin in the upper bits, the order of the hashes below: sorted, each bin begins with its minimum.
+    order = lambda x: F.shiftrightunsigned(x.bitwiseXOR(F.lit(-(2**63))), 64 - BIN_AT)
+    binned = low.select("digest", F.sort_array(F.transform("low", lambda x: F.shiftleft(F.pmod(x, F.lit(BINS)), BIN_AT).bitwiseOR(order(x)))).alias("y"))
+    bin_of = lambda y: F.shiftright(y, BIN_AT).cast("int")
+    before = lambda a, i: F.coalesce(bin_of(F.get(a, i - 1)), F.lit(-1))
+    runs = F.transform(F.array("y"), lambda a: F.transform(a, lambda y, i: F.array_repeat(y, bin_of(y) - before(a, i))))[0]
+    filled = binned.select("digest", "y", F.flatten(runs).alias("minima"))
+    return filled.select("digest", F.concat("minima", F.array_repeat(F.get("y", F.lit(0)), BINS - F.size("minima"))).alias("minima"))
 
 
 def buckets(found: DataFrame) -> DataFrame:
     """(bucket, digest) of all buckets with two or more different lines."""
-    groups = [[F.col(f"m{ROWS * band + row}") for row in range(ROWS)] for band in range(BANDS)]
-    keys = F.array(*[F.when(F.coalesce(*g).isNotNull(), F.xxhash64(F.lit(band), "short", *[F.coalesce(m, F.lit(0)) for m in g])) for band, g in enumerate(groups)])
-    members = signatures(found).select("digest", F.explode_outer(keys).alias("bucket")).where("bucket is not null")
+    keys = F.array(*[F.xxhash64(F.lit(band), *[F.get("minima", F.lit(band + BANDS * row)) for row in range(ROWS)]) for band in range(BANDS)])
+    members = signatures(found).select("digest", F.explode(keys).alias("bucket")).distinct()
     return members.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("n > 1").select("bucket", "digest")
 
 
@@ -103,6 +108,13 @@ def sieved(rows: DataFrame, wanted: DataFrame, masks: int = MASKS) -> DataFrame:
     return met.where(F.col("mask").bitwiseAND(one) != 0).select(rows.columns)
 
 
+def bitmaps(shingles: DataFrame) -> DataFrame:
+    """(digest, bits): a bitmap of the hashes of (digest, h), as words of 64."""
+    word, bit = F.pmod("h", F.lit(WORDS)), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 8) & 63 as int))")
+    words = [F.coalesce(F.bit_or(F.when(word == k, bit)), F.lit(0).cast("long")).alias(f"w{k}") for k in range(WORDS)]
+    return shingles.groupBy("digest").agg(*words).select("digest", F.array(*[f"w{k}" for k in range(WORDS)]).alias("bits"))
+
+
 def near_links(found: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) between digests that join all near lines of the buckets into components."""
     left = written(buckets(found), "line-members")
@@ -113,46 +125,57 @@ def near_links(found: DataFrame, similarity: float) -> DataFrame:
     texts = written(texts, "line-texts")
 
     def distances(pairs: DataFrame) -> DataFrame:
-        """pairs(a, b) with ``d``, the exact Jaccard distance; lines travel as text, an eighth of their shingle hashes."""
+        """pairs(a, b) with ``d``, the exact Jaccard distance, and the sizes; lines travel as text, an eighth of their shingle hashes."""
         both = pairs.join(texts.select(F.col("digest").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("digest").alias("b"), F.col("line").alias("y")), "b")
-        sets = both.select("a", "b", shingle_hashes(F.col("x")).alias("x"), shingle_hashes(F.col("y")).alias("y"))
-        same = F.size(F.array_intersect("x", "y"))
-        return sets.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), same.alias("same")).select(
-            "a", "b", (1.0 - F.col("same") / (F.col("nx") + F.col("ny") - F.col("same"))).alias("d")
-        )
-
-    limit, links, turn = 1.0 - similarity + 1e-12, None, 0
-    while True:
-        shared = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-        part = F.pmod(F.xxhash64("digest"), F.lit(8**turn))
-        hubs = left.join(shared, "bucket").groupBy("bucket", part.alias("part")).agg(F.min("digest").alias("hub")).select("bucket", "hub")
-        seats = left.join(hubs, "bucket").withColumns({"a": F.least("digest", "hub"), "b": F.greatest("digest", "hub")})
-        seats = written(seats, f"line-seats{turn}")
-        if seats.isEmpty():
-            break
-        near_hub = written(distances(seats.where("a <> b").select("a", "b").distinct()), f"line-distances{turn}")
-        held = written(seats.where("a <> b").join(near_hub, ["a", "b"]).select("bucket", "digest", "hub", "d"), f"line-held{turn}")
-        # Hubs and members near a hub are done; the others have met all hubs in vain.
-        done = held.where(F.col("d") <= limit).select("bucket", "digest").union(hubs.select("bucket", F.col("hub").alias("digest"))).distinct()
-        done = written(done, f"line-done{turn}")
-        rest = held.join(done, ["bucket", "digest"], "left_anti").where("digest <> hub")
-        # Pairs that the triangle inequality leaves open: one near its nearest hub, the other, done with
-        # another hub or not, near enough to that hub.  Hubs themselves have met every member.
-        plain = held.join(hubs.select("bucket", F.col("hub").alias("digest")), ["bucket", "digest"], "left_anti")
-        nearest = plain.where(F.col("d") <= limit).groupBy("bucket", "digest").agg(F.min(F.struct("d", "hub")).alias("best")).select("bucket", "best.hub", "digest", "best.d")
-        others = plain.where((F.col("d") > limit) & (F.col("d") <= 2 * limit)).select("bucket", "hub", F.col("digest").alias("other"), F.col("d").alias("far"))
-        open_pairs = (
-            nearest.where("d > 0")
-            .join(others, ["bucket", "hub"])
-            .where(F.col("far") - F.col("d") <= limit)
-            .select(F.least("digest", "other").alias("a"), F.greatest("digest", "other").alias("b"))
-            .distinct()
-        )
-        new = near_hub.where(F.col("d") <= limit).select("a", "b").union(distances(open_pairs).where(F.col("d") <= limit).select("a", "b"))
-        new = written(new, f"line-links{turn}")
-        links = new if links is None else links.union(new)
-        left, turn = written(rest.select("bucket", "digest").distinct(), f"line-left{turn}"), turn + 1
-    return links if links is not None else wanted.select(F.col("digest").alias("a"), F.col("digest").alias("b")).limit(0)
+        return both.select("a", "b", shingle_set(F.col("x")).alias("x"), shingle_set(F.col("y")).alias("y")).select("a", "b", *apart(F.col("x"), F.col("y")))
+
+    limit = 1.0 - similarity + 1e-12
+    # The star of each bucket: every member meets the hub.
+    hubs = left.groupBy("bucket").agg(F.min("digest").alias("hub"), F.count(F.lit(1)).alias("members"))
+    seats = written(left.join(hubs, "bucket").where("digest <> hub"), "line-seats")
+    stars = written(distances(seats.select(F.col("hub").alias("a"), F.col("digest").alias("b")).distinct()), "line-stars")
+    links = stars.where(F.col("d") <= limit).select("a", "b")
+    joined = written(components(links, "line-stars"), "line-joined")
+    # Hubs have met every member.  Others meet where the stars left them in different components.
+    held = seats.join(stars.select(F.col("a").alias("hub"), F.col("b").alias("digest"), "d", F.col("ny").alias("n")), ["hub", "digest"])
+    held = held.join(joined.select(F.col("node").alias("digest"), "root"), "digest", "left")
+    held = held.select("bucket", "members", "digest", F.coalesce("root", "digest").alias("root"), "d", "n")
+    mixed = held.groupBy("bucket").agg((F.min("root") < F.max("root")).alias("mixed")).where("mixed").select("bucket")
+    held = written(held.join(mixed, "bucket"), "line-held")
+
+    def can_be_near(x: str, y: str) -> Column:
+        """Different components, and neither the hub's distances nor the sizes rule the pair out."""
+        at = lambda side, c: F.col(f"{side}.{c}")
+        sizes = F.least(at(x, "n"), at(y, "n")) >= (1.0 - limit) * F.greatest(at(x, "n"), at(y, "n"))
+        return (at(x, "root") != at(y, "root")) & (F.abs(at(x, "d") - at(y, "d")) <= limit) & sizes
+
+    few = held.where(F.col("members") <= SMALL).select("bucket", F.struct("digest", "root", "d", "n").alias("x"))
+    pairs = few.join(few.select("bucket", F.col("x").alias("y")), "bucket").where((F.col("x.digest") < F.col("y.digest")) & can_be_near("x", "y"))
+    near = distances(pairs.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct()).where(F.col("d") <= limit).select("a", "b")
+    links = links.union(written(near, "line-near"))
+
+    # In large buckets, bitmaps meet block by block and leave the pairs whose texts are fetched.
+    many = held.where(F.col("members") > SMALL)
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("digest"), blocks).cast("int")
+    shared = many.groupBy("digest").agg(F.collect_list("bucket").alias("of"))  # BANDS at most
+    known = shared.join(texts, "digest")
+    known = written(known.select("digest", "of").join(bitmaps(known.select("digest", F.explode(shingle_set(F.col("line"))).alias("h"))), "digest"), "line-bitmaps")
+    seated = many.select("bucket", blocks.alias("blocks"), own.alias("own"), "digest", "root", "d", "n").join(known, "digest")
+    full = seated.groupBy("bucket", "blocks", "own").agg(F.collect_list(F.struct("digest", "root", "d", "n", "of", "bits")).alias("lines"))
+    met = full.select("bucket", "own", "lines", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    low = met.where("own <= other").select("bucket", F.col("own").alias("i"), F.col("other").alias("j"), F.col("lines").alias("xs"))
+    high = met.where("other <= own").select("bucket", F.col("other").alias("i"), F.col("own").alias("j"), F.col("lines").alias("ys"))
+    rows = low.join(high, ["bucket", "i", "j"]).select("bucket", "i", "j", "ys", F.explode("xs").alias("x")).select("bucket", "i", "j", "x", F.explode("ys").alias("y"))
+    once = (F.col("i") < F.col("j")) | (F.col("x.digest") < F.col("y.digest"))
+    first = F.array_min(F.array_intersect("x.of", "y.of")) == F.col("bucket")
+    # Each differing bit stands for a shingle that one of the two lacks.
+    lacking = F.aggregate(F.zip_with("x.bits", "y.bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, k: n + k)
+    both = F.col("x.n") + F.col("y.n")
+    enough = (both - lacking) / 2 >= (1.0 - limit) / (2.0 - limit) * both - 1e-6
+    pairs = rows.where(once & can_be_near("x", "y") & first & enough).select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b"))
+    near = distances(written(pairs, "line-pairs")).where(F.col("d") <= limit).select("a", "b")
+    return links.union(written(near, "line-blocks"))
 
 
 def line_groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
