@@ -428,3 +428,36 @@ def test_line_templates_write_no_row_for_each_pair(spark, monkeypatch):
     got = lines.line_groups(documents(spark, texts)).collect()
     assert len(got) == 120 and all(r["kept"] for r in got)
     assert rows["line-members"] > 120 and max(rows.values()) <= lines.BANDS * 120
+
+
+def test_lines_meet_by_profile_before_texts(spark, monkeypatch):
+    """A large bucket of near copies and others: profiles are bounds, and blocks hold the lines outside its largest component alone."""
+    rng = random.Random(29)
+    letters = lambda n: "".join(rng.choice("abcdefgh ij") for _ in range(n))
+    stem = letters(160)
+    texts = [stem[:k] + rng.choice("XYZ") + stem[k:] for k in range(0, 160, 2)] + [stem[:100] + letters(60) for _ in range(6)] + ["-" * 30, "-" * 90, "short"]
+    monkeypatch.setattr(lines, "buckets", lambda found: found.select(F.lit(1).cast("long").alias("bucket"), lines.digest(F.col("line")).alias("digest")).distinct())
+    monkeypatch.setattr(lines, "BLOCK", 16)
+    seen, near = [], lines.can_be_near
+    monkeypatch.setattr(lines, "can_be_near", lambda lacking, x, y, s: seen.append((x, y)) or near(lacking, x, y, s))
+    got = {(r[0], r[1]): (r[2], r[3], r[4]) for r in lines.line_groups(documents(spark, texts)).collect()}
+    assert got == brute.near_lines(list(enumerate(texts))) and seen
+
+    table = spark.createDataFrame(list(enumerate(texts)), "id long, line string")
+    sets = table.select("id", lines.shingle_set(F.col("line")).alias("s"))
+    both = lines.profiles(table).join(sets, "id")
+    pairs = both.select(F.struct("*").alias("x")).crossJoin(both.select(F.struct("*").alias("y")))
+    apart = F.size(F.array_except("x.s", "y.s")) + F.size(F.array_except("y.s", "x.s"))
+    short = pairs.where((lines.lacking("x", "y") > lines.lacking_wide("x", "y")) | (lines.lacking_wide("x", "y") > apart))
+    assert short.count() == 0 and pairs.where(lines.lacking_wide("x", "y") > 0).count() > 1000
+
+
+def test_line_minima_are_those_of_their_ranges(spark):
+    texts = ["ab", "-" * 40, "the quick brown fox jumps over the lazy dog", "".join(chr(97 + k * k % 23) + chr(65 + k % 26) for k in range(400))]
+    found = spark.createDataFrame([(t,) for t in texts], "line string")
+    hashes = {bytes(r[0]): sorted(r[1]) for r in found.select(lines.digest(F.col("line")), lines.shingle_hashes(F.col("line"))).collect()}
+    got = {(bytes(r["digest"]), r["band"]): r["minima"] for r in lines.signatures(found).collect()}
+    assert len(got) == lines.BANDS * len(texts)
+    for (key, band), minima in got.items():
+        edges = [(band + lines.BANDS * row - lines.BINS // 2) * lines.STEP for row in range(lines.ROWS)]
+        assert minima == [next((h for h in hashes[key] if h >= e), hashes[key][0]) for e in edges]

@@ -5,16 +5,17 @@ blank lines are not rows of the result.  Equal lines form a class.  A line is th
 runs of ``SHINGLE`` characters (UTF-16 units; shorter lines are one run), and two lines are
 near when the Jaccard similarity of their sets is ``similarity`` or more.
 
-* Signature: each shingle is hashed once; the smallest ``SAMPLE`` distinct hashes of a line are
-  dealt into ``BANDS`` x ``ROWS`` bins, and an empty bin takes the minimum of the next filled
-  one.  All of it happens inside the row, so no minima are shuffled.
+* Signature: each shingle is hashed once; the hashes are cut into ``BANDS`` x ``ROWS`` equal ranges, and a
+  range's minimum is the smallest hash of the line from its lower edge on, so an empty range takes
+  that of the next filled one.  All of it happens inside the row, so no minima are shuffled.
 * Bands of ``ROWS`` minima are the buckets: with 8 x 3, a pair at 0.8 shares one with 99.7 %.
-* Star: every member of a bucket is compared with its hub, the smallest line, by exact Jaccard.
-  Members that this leaves in different components then meet each other, unless the triangle
-  inequality on the distances to the hub or the sizes rule the pair out.  Large buckets meet in
-  blocks of lines; there bitmaps of the shingle hashes bound the overlap from above, and only pairs
-  that all bounds leave open become rows.  No link of a bucket is lost; the bounds themselves are
-  still evaluated for each pair of a large bucket.
+* Profile: a line's number of shingles and a bitmap of them, which bound the overlap of two lines from above.  Texts
+  meet only for pairs that the bound leaves open; what links is the exact Jaccard similarity.
+* Star: every member of a bucket meets its hub.  Members that this leaves in different components then meet
+  each other; in large buckets the profiles of those outside the bucket's largest component meet
+  all others, in blocks of lines.  Of the pairs left open, the closest by profile are verified first, then
+  those that this has not joined.  No link of a bucket is lost; such a bucket costs its members times
+  those outside.
 * Only texts of lines in a bucket are fetched; a broadcast sieve of their digests keeps most others
   from being shuffled, an exact join follows.
 * Links are joined by distributed union-find; of each component the first line (smallest
@@ -27,6 +28,9 @@ ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,10 +38,11 @@ from .common import MASK_BITS, MASKS, text_or_empty, written
 from .components import components
 
 SHINGLE, BANDS, ROWS = 8, 8, 3
-BINS, BIN_AT = BANDS * ROWS, 58  # the bin's number lies above this bit
-SAMPLE = 96  # distinct hashes of a line, its smallest, that are dealt into the bins
+BINS = BANDS * ROWS
+STEP = 2**64 // BINS  # a range of hashes; range k begins at (k - BINS / 2) * STEP
 SMALL, BLOCK = 64, 256  # buckets of more members than SMALL are compared in blocks of about BLOCK
-WORDS = 64  # of 64 bits, in the bitmap of such a line
+TURNS = 2  # in which each line meets its nearest candidate before all pairs that are still apart
+WORDS, FOLDED = 64, 16  # of 64 bits, in a line's bitmap and in its coarse form
 SIEVE_BITS = 16  # bits for each digest that is looked for: about 6 % of the other lines pass
 BLANK = " \t\x0b\x0c\r"
 
@@ -46,7 +51,9 @@ def occurrences(docs: DataFrame) -> DataFrame:
     """(doc_id, row, line_no, line) of all lines that are not blank; ``row`` numbers the rows of ``docs``."""
     numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_or_empty().alias("text"))
     pieces = numbered.select("doc_id", "row", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
-    return pieces.withColumn("line", F.trim("line", F.lit(BLANK))).where("line <> ''")
+    # Trimming walks through the whole line, so only lines with white space at an end are trimmed.
+    padded = reduce(or_, [F.startswith("line", F.lit(c)) | F.endswith("line", F.lit(c)) for c in BLANK])
+    return pieces.withColumn("line", F.when(padded, F.trim("line", F.lit(BLANK))).otherwise(F.col("line"))).where("line <> ''")
 
 
 def digest(line: Column) -> Column:
@@ -56,41 +63,42 @@ def digest(line: Column) -> Column:
 def shingle_hashes(line: Column) -> Column:
     """Hashes of a line's shingles, repeats included; the outer lambda holds the units, so that no position copies them."""
     units = F.array(F.encode(line, "UTF-16BE"))
-    places = lambda u: F.sequence(F.lit(0), F.greatest(F.lit(0), F.shiftright(F.octet_length(u), 1) - SHINGLE))
-    return F.transform(units, lambda u: F.transform(places(u), lambda i: F.xxhash64(F.substring(u, F.shiftleft(i, 1) + 1, F.lit(2 * SHINGLE)))))[0]
+    places = lambda u: F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(u) - (2 * SHINGLE - 1)), F.lit(2))
+    return F.transform(units, lambda u: F.transform(places(u), lambda i: F.xxhash64(F.substring(u, i, F.lit(2 * SHINGLE)))))[0]
 
 
 def shingle_set(line: Column) -> Column:
     return F.array_distinct(shingle_hashes(line))
 
 
-def apart(x: Column, y: Column) -> list[Column]:
-    """Sizes of two sets and their Jaccard distance."""
+def distance(x: Column, y: Column) -> Column:
+    """The Jaccard distance of two sets."""
     same = F.size(F.array_intersect(x, y))
-    return [F.size(x).alias("nx"), F.size(y).alias("ny"), (1.0 - same / (F.size(x) + F.size(y) - same)).alias("d")]
+    return 1.0 - same / (F.size(x) + F.size(y) - same)
 
 
 def signatures(found: DataFrame) -> DataFrame:
-    """(digest, minima): the smallest hash of each of the bins, empty bins taking that of the next filled one."""
-    hashed = found.select(digest(F.col("line")).alias("digest"), F.sort_array(shingle_hashes(F.col("line"))).alias("h"))
-    low = hashed.select("digest", "h", F.array_distinct(F.slice("h", 1, 2 * SAMPLE)).alias("low"))
-    # Many repeats: the first hashes do not show enough distinct ones.
-    scarce = (F.size("h") > 2 * SAMPLE) & (F.size("low") < SAMPLE)
-    low = low.select("digest", F.slice(F.when(scarce, F.array_distinct("h")).otherwise(F.col("low")), 1, SAMPLE).alias("low"))
-    # The bin in the upper bits, the order of the hashes below: sorted, each bin begins with its minimum.
-    order = lambda x: F.shiftrightunsigned(x.bitwiseXOR(F.lit(-(2**63))), 64 - BIN_AT)
-    binned = low.select("digest", F.sort_array(F.transform("low", lambda x: F.shiftleft(F.pmod(x, F.lit(BINS)), BIN_AT).bitwiseOR(order(x)))).alias("y"))
-    bin_of = lambda y: F.shiftright(y, BIN_AT).cast("int")
-    before = lambda a, i: F.coalesce(bin_of(F.get(a, i - 1)), F.lit(-1))
-    runs = F.transform(F.array("y"), lambda a: F.transform(a, lambda y, i: F.array_repeat(y, bin_of(y) - before(a, i))))[0]
-    filled = binned.select("digest", "y", F.flatten(runs).alias("minima"))
-    return filled.select("digest", F.concat("minima", F.array_repeat(F.get("y", F.lit(0)), BINS - F.size("minima"))).alias("minima"))
+    """(digest, band, minima): the smallest hash in each of a band's ranges, empty ranges taking that of the next filled one."""
+    hashed = found.select(digest(F.col("line")).alias("digest"), shingle_hashes(F.col("line")).alias("h"))
+    edge = lambda k: (k - BINS // 2) * STEP
+    laid = hashed.select("digest", "h", F.sort_array(F.concat("h", F.array(*[F.lit(edge(k)) for k in range(BINS)]))).alias("y"))
+    laid = laid.select("digest", "h", "y", F.explode(F.array(*[F.lit(band) for band in range(BANDS)])).alias("band"))
+
+    def least(k: Column) -> Column:
+        """What follows the lower edge of range k.  After another edge or the end, it is sought among the hashes alone."""
+        place = F.array_position("y", edge(k)).cast("int")
+        after = F.get("y", place)
+        hashes = F.sort_array("h")  # the edge has as many of them before it as its place less the earlier edges
+        sought = F.coalesce(F.get(hashes, place - k.cast("int") - 1), F.get(hashes, F.lit(0)))
+        return F.when(after < edge(k + 1), after).otherwise(sought)
+
+    ranges = [F.col("band").cast("long") + BANDS * row for row in range(ROWS)]
+    return laid.select("digest", "band", F.array(*[least(k) for k in ranges]).alias("minima"))
 
 
 def buckets(found: DataFrame) -> DataFrame:
     """(bucket, digest) of all buckets with two or more different lines."""
-    keys = F.array(*[F.xxhash64(F.lit(band), *[F.get("minima", F.lit(band + BANDS * row)) for row in range(ROWS)]) for band in range(BANDS)])
-    members = signatures(found).select("digest", F.explode(keys).alias("bucket")).distinct()
+    members = signatures(found).select("digest", F.xxhash64("band", "minima").alias("bucket")).distinct()
     return members.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("n > 1").select("bucket", "digest")
 
 
@@ -108,74 +116,98 @@ def sieved(rows: DataFrame, wanted: DataFrame, masks: int = MASKS) -> DataFrame:
     return met.where(F.col("mask").bitwiseAND(one) != 0).select(rows.columns)
 
 
-def bitmaps(shingles: DataFrame) -> DataFrame:
-    """(digest, bits): a bitmap of the hashes of (digest, h), as words of 64."""
-    word, bit = F.pmod("h", F.lit(WORDS)), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 8) & 63 as int))")
-    words = [F.coalesce(F.bit_or(F.when(word == k, bit)), F.lit(0).cast("long")).alias(f"w{k}") for k in range(WORDS)]
-    return shingles.groupBy("digest").agg(*words).select("digest", F.array(*[f"w{k}" for k in range(WORDS)]).alias("bits"))
+def profiles(texts: DataFrame) -> DataFrame:
+    """(id, n, bits, coarse): the number of shingles of each of texts(id, line), repeats included, and bitmaps of their hashes as words of 64."""
+    units = texts.select("id", F.encode("line", "UTF-16BE").alias("units"))
+    units = units.select("id", "units", F.greatest(F.lit(1), F.shiftright(F.octet_length("units"), 1) - (SHINGLE - 1)).alias("n"))
+    each = units.select("id", "units", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    each = each.select("id", "n", F.xxhash64(F.substring("units", F.shiftleft("i", 1) + 1, F.lit(2 * SHINGLE))).alias("h"))
+    word, bit = F.pmod("h", F.lit(WORDS)).cast("int"), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 8) & 63 as int))")
+    each = each.select("id", "n", F.pmod(word, F.lit(FOLDED)).alias("place"), F.floor(word / FOLDED).cast("int").alias("fold"), bit.alias("bit"))
+    words = [F.coalesce(F.bit_or(F.when(F.col("place") == k, F.col("bit"))), F.lit(0).cast("long")).alias(f"w{k}") for k in range(FOLDED)]
+    parts = each.groupBy("id", "fold").agg(F.max("n").alias("n"), *words).select("id", "fold", "n", F.array(*[f"w{k}" for k in range(FOLDED)]).alias("part"))
+    none = F.array(*[F.lit(0).cast("long")] * FOLDED)
+    folds = [f"fold{f}" for f in range(WORDS // FOLDED)]
+    wide = parts.groupBy("id").agg(F.max("n").alias("n"), *[F.coalesce(F.max(F.when(F.col("fold") == f, F.col("part"))), none).alias(name) for f, name in enumerate(folds)])
+    folded = [reduce(lambda a, b: a.bitwiseOR(b), [F.get(name, F.lit(k)) for name in folds]) for k in range(FOLDED)]
+    return wide.select("id", "n", F.concat(*folds).alias("bits"), F.array(*folded).alias("coarse"))
+
+
+def lacking(x: str, y: str) -> Column:
+    """At most as many shingles as one of two lines lacks, as one differing bit stands for one or more."""
+    return reduce(add, [F.bit_count(F.get(f"{x}.coarse", F.lit(k)).bitwiseXOR(F.get(f"{y}.coarse", F.lit(k)))) for k in range(FOLDED)])
 
 
-def near_links(found: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between digests that join all near lines of the buckets into components."""
-    left = written(buckets(found), "line-members")
-    wanted = written(left.select("digest").distinct(), "line-wanted")
+def lacking_wide(x: str, y: str) -> Column:
+    return F.aggregate(F.zip_with(f"{x}.bits", f"{y}.bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), add)
+
+
+def can_be_near(lacking: Column, x: str, y: str, similarity: float) -> Column:
+    """Whether the profiles of two lines leave it open that they are near; repeats only widen the bound."""
+    return lacking <= (1.0 - similarity) / (1.0 + similarity) * (F.col(f"{x}.n") + F.col(f"{y}.n")) + 1e-6
+
+
+def near_links(found: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) that join all near lines of the buckets into components, and the (digest, id) that they speak of."""
+    members = written(buckets(found), "line-members")
+    wanted = written(members.select("digest").distinct().select("digest", F.monotonically_increasing_id().alias("id")), "line-wanted")
     named = found.select(digest(F.col("line")).alias("digest"), "line")
     # An inner join on distinct digests: Spark would push a semi-join below the sieve, and shuffle every text.
-    texts = sieved(named, wanted).join(wanted, "digest").select("digest", "line").dropDuplicates(["digest"])
+    texts = sieved(named, wanted.select("digest")).join(wanted, "digest").select("id", "line").dropDuplicates(["id"])
     texts = written(texts, "line-texts")
+    known = written(profiles(texts), "line-profiles")
 
-    def distances(pairs: DataFrame) -> DataFrame:
-        """pairs(a, b) with ``d``, the exact Jaccard distance, and the sizes; lines travel as text, an eighth of their shingle hashes."""
-        both = pairs.join(texts.select(F.col("digest").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("digest").alias("b"), F.col("line").alias("y")), "b")
-        return both.select("a", "b", shingle_set(F.col("x")).alias("x"), shingle_set(F.col("y")).alias("y")).select("a", "b", *apart(F.col("x"), F.col("y")))
+    def near(pairs: DataFrame) -> DataFrame:
+        """Those of pairs(a, b) whose exact Jaccard similarity suffices; lines travel as text, an eighth of their shingle hashes."""
+        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
+        sets = both.select("a", "b", shingle_set(F.col("x")).alias("x"), shingle_set(F.col("y")).alias("y"))
+        return sets.select("a", "b", distance(F.col("x"), F.col("y")).alias("d")).where(F.col("d") <= 1.0 - similarity + 1e-12).select("a", "b")
 
-    limit = 1.0 - similarity + 1e-12
     # The star of each bucket: every member meets the hub.
-    hubs = left.groupBy("bucket").agg(F.min("digest").alias("hub"), F.count(F.lit(1)).alias("members"))
-    seats = written(left.join(hubs, "bucket").where("digest <> hub"), "line-seats")
-    stars = written(distances(seats.select(F.col("hub").alias("a"), F.col("digest").alias("b")).distinct()), "line-stars")
-    links = stars.where(F.col("d") <= limit).select("a", "b")
+    left = members.join(wanted, "digest").select("bucket", "id")
+    hubs = left.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("members"))
+    seats = written(left.join(hubs, "bucket").where("id <> hub"), "line-seats")
+    profile = F.struct("id", "n", "coarse")
+    stars = seats.select("hub", "id").distinct().join(known.select("id", profile.alias("x")), "id").join(known.select(F.col("id").alias("hub"), profile.alias("y")), "hub")
+    stars = written(stars.where(can_be_near(lacking("x", "y"), "x", "y", similarity)).select(F.col("hub").alias("a"), F.col("id").alias("b")), "line-stars")
+    links = written(near(stars), "line-spokes")
     joined = written(components(links, "line-stars"), "line-joined")
     # Hubs have met every member.  Others meet where the stars left them in different components.
-    held = seats.join(stars.select(F.col("a").alias("hub"), F.col("b").alias("digest"), "d", F.col("ny").alias("n")), ["hub", "digest"])
-    held = held.join(joined.select(F.col("node").alias("digest"), "root"), "digest", "left")
-    held = held.select("bucket", "members", "digest", F.coalesce("root", "digest").alias("root"), "d", "n")
+    held = seats.join(joined.select(F.col("node").alias("id"), "root"), "id", "left").select("bucket", "members", "id", F.coalesce("root", "id").alias("root"))
     mixed = held.groupBy("bucket").agg((F.min("root") < F.max("root")).alias("mixed")).where("mixed").select("bucket")
-    held = written(held.join(mixed, "bucket"), "line-held")
-
-    def can_be_near(x: str, y: str) -> Column:
-        """Different components, and neither the hub's distances nor the sizes rule the pair out."""
-        at = lambda side, c: F.col(f"{side}.{c}")
-        sizes = F.least(at(x, "n"), at(y, "n")) >= (1.0 - limit) * F.greatest(at(x, "n"), at(y, "n"))
-        return (at(x, "root") != at(y, "root")) & (F.abs(at(x, "d") - at(y, "d")) <= limit) & sizes
+    held = written(held.join(mixed, "bucket").join(known, "id"), "line-held")
+    open_ = (F.col("x.root") != F.col("y.root")) & can_be_near(lacking("x", "y"), "x", "y", similarity)
 
-    few = held.where(F.col("members") <= SMALL).select("bucket", F.struct("digest", "root", "d", "n").alias("x"))
-    pairs = few.join(few.select("bucket", F.col("x").alias("y")), "bucket").where((F.col("x.digest") < F.col("y.digest")) & can_be_near("x", "y"))
-    near = distances(pairs.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct()).where(F.col("d") <= limit).select("a", "b")
-    links = links.union(written(near, "line-near"))
+    few = held.where(F.col("members") <= SMALL).select("bucket", F.struct("id", "root", "n", "coarse").alias("x"))
+    pairs = few.join(few.select("bucket", F.col("x").alias("y")), "bucket").where((F.col("x.id") < F.col("y.id")) & open_)
+    ends = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), lacking("x", "y").alias("lacking")]
+    pairs = pairs.select(*ends)
 
-    # In large buckets, bitmaps meet block by block and leave the pairs whose texts are fetched.
+    # In large buckets, blocks of the lines outside the largest component meet blocks of all lines.
     many = held.where(F.col("members") > SMALL)
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("digest"), blocks).cast("int")
-    shared = many.groupBy("digest").agg(F.collect_list("bucket").alias("of"))  # BANDS at most
-    known = shared.join(texts, "digest")
-    known = written(known.select("digest", "of").join(bitmaps(known.select("digest", F.explode(shingle_set(F.col("line"))).alias("h"))), "digest"), "line-bitmaps")
-    seated = many.select("bucket", blocks.alias("blocks"), own.alias("own"), "digest", "root", "d", "n").join(known, "digest")
-    full = seated.groupBy("bucket", "blocks", "own").agg(F.collect_list(F.struct("digest", "root", "d", "n", "of", "bits")).alias("lines"))
-    met = full.select("bucket", "own", "lines", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    low = met.where("own <= other").select("bucket", F.col("own").alias("i"), F.col("other").alias("j"), F.col("lines").alias("xs"))
-    high = met.where("other <= own").select("bucket", F.col("other").alias("i"), F.col("own").alias("j"), F.col("lines").alias("ys"))
-    rows = low.join(high, ["bucket", "i", "j"]).select("bucket", "i", "j", "ys", F.explode("xs").alias("x")).select("bucket", "i", "j", "x", F.explode("ys").alias("y"))
-    once = (F.col("i") < F.col("j")) | (F.col("x.digest") < F.col("y.digest"))
-    first = F.array_min(F.array_intersect("x.of", "y.of")) == F.col("bucket")
-    # Each differing bit stands for a shingle that one of the two lacks.
-    lacking = F.aggregate(F.zip_with("x.bits", "y.bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, k: n + k)
-    both = F.col("x.n") + F.col("y.n")
-    enough = (both - lacking) / 2 >= (1.0 - limit) / (2.0 - limit) * both - 1e-6
-    pairs = rows.where(once & can_be_near("x", "y") & first & enough).select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b"))
-    near = distances(written(pairs, "line-pairs")).where(F.col("d") <= limit).select("a", "b")
-    return links.union(written(near, "line-blocks"))
+    roots = many.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size"))
+    major = roots.groupBy("bucket").agg(F.max(F.struct("size", "root")).alias("major"), F.sum("size").alias("held"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    major = major.select("bucket", F.col("major.root").alias("major"), blocks(F.col("held")).alias("blocks"), blocks(F.col("held") - F.col("major.size")).alias("outer"))
+    seated = many.join(major, "bucket").withColumn("line", F.struct("id", "root", "n", "bits", "coarse")).withColumn("minor", F.col("root") != F.col("major"))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    full = seated.groupBy("bucket", own("blocks").alias("j")).agg(F.collect_list(F.struct("minor", "line")).alias("ys"))
+    outer = seated.where("minor").groupBy("bucket", "blocks", own("outer").alias("i")).agg(F.collect_list("line").alias("xs"))
+    outer = outer.select("bucket", "xs", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    rows = outer.join(full, ["bucket", "j"]).select("ys", F.explode("xs").alias("x")).select("x", F.explode("ys").alias("other")).select("x", F.col("other.minor").alias("minor"), F.col("other.line").alias("y"))
+    met = rows.where((~F.col("minor") | (F.col("x.id") < F.col("y.id"))) & open_)
+    met = met.where(can_be_near(lacking_wide("x", "y"), "x", "y", similarity)).select(*ends)
+    pairs = written(pairs.union(met).distinct(), "line-pairs")
+
+    # Each line first meets the one that the bounds put nearest; pairs that this joins are left out.
+    for turn in range(TURNS):
+        nearest = [pairs.groupBy(side).agg(F.min(F.struct("lacking", "a", "b")).alias("pair")).select("pair.a", "pair.b") for side in ("a", "b")]
+        links = links.union(written(near(nearest[0].union(nearest[1]).distinct()), f"line-near-{turn}"))
+        joined = written(components(links, f"line-turn-{turn}"), f"line-joined-{turn}")
+        root = lambda side: joined.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))  # noqa: E731, B023
+        rest = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+        pairs = written(rest.select("a", "b", "lacking"), f"line-rest-{turn}")
+    return links.union(written(near(pairs.select("a", "b")), "line-near")), wanted
 
 
 def line_groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -185,10 +217,11 @@ def line_groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     rows = written(found.select("doc_id", "row", "line_no", digest(F.col("line")).alias("digest")), "line-rows")
     classes = rows.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     classes = written(classes, "line-classes")
-    roots = components(near_links(found, similarity), "line-links")
+    links, wanted = near_links(found, similarity)
+    roots = components(links, "line-links")
     # Classes without links answer themselves.
-    of_root = classes.join(roots.select(F.col("node").alias("digest"), "root"), "digest").select("digest", "root", "first", "n")
-    of_root = of_root.union(classes.join(roots.select(F.col("root").alias("digest")).distinct(), "digest", "left_semi").select("digest", F.col("digest").alias("root"), "first", "n"))
+    linked = roots.union(roots.select(F.col("root").alias("node"), "root").distinct()).join(wanted, F.col("node") == F.col("id")).select("digest", "root")
+    of_root = classes.join(linked, "digest").select("digest", "root", "first", "n")
     of_root = written(of_root, "line-linked")
     best = of_root.groupBy("root").agg(F.min("first").alias("best"), F.sum("n").alias("total"))
     linked = of_root.join(best, "root").select("digest", "best", "total")
